@@ -8,12 +8,18 @@ a lost executor costs a re-read and never a lost result.
 from __future__ import annotations
 
 import atexit
+import os
+import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_SCRATCH: dict[str, str] = {}
+_SHIPPED: set[str] = set()
+_FOLDERS: set[str] = set()
 
 
 def build_session(app: str = "lockstep", master: str = "local[*]", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -31,7 +37,25 @@ def build_session(app: str = "lockstep", master: str = "local[*]", shuffle_parti
     )
     for key, value in conf.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship(spark)
+    return spark
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package to the executors, once per application, so that Python workers can import it."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    package = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="lockstep-code-")
+    atexit.register(shutil.rmtree, folder, True)
+    archive = os.path.join(folder, f"{package.name}.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for source in sorted(package.rglob("*.py")):
+            out.write(source, source.relative_to(package.parent))
+    spark.sparkContext.addPyFile(archive)
+    _SHIPPED.add(app)
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -48,7 +72,7 @@ def scratch_dir(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         _LOCAL_SCRATCH[app] = tempfile.mkdtemp(prefix="lockstep-")
-        atexit.register(__import__("shutil").rmtree, _LOCAL_SCRATCH[app], True)
+        atexit.register(shutil.rmtree, _LOCAL_SCRATCH[app], True)
     return _LOCAL_SCRATCH[app]
 
 
@@ -59,6 +83,12 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     lineage grow.
     """
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/lockstep-{uuid.uuid4().hex}/{name}"
+    folder = f"{scratch_dir(spark)}/lockstep-{spark.sparkContext.applicationId}"
+    if folder not in _FOLDERS:
+        _FOLDERS.add(folder)
+        local = folder.removeprefix("file://")
+        if local.startswith("/"):  # elsewhere the cluster clears its checkpoint folder
+            atexit.register(shutil.rmtree, local, True)
+    path = f"{folder}/{uuid.uuid4().hex}-{name}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
