@@ -1,20 +1,27 @@
 """All pairs of sets with Jaccard similarity at or above a threshold, by pigeonhole partitioning.
 
 Sets are rows ``(field, owner, value)``.  Values that only one set has cannot be
-shared, and a set with too few shared values has no partner; both go first.  Sets
-with the same values become one class.
-
-The universe of values is split by hash into segments, their number fixed by the
-length class (a power of two) of the larger set.  Two sets that are similar enough
-differ in at most ``H`` of the values left.  The larger set picks allowances for
-its segments, 0 (equal), 1 (equal but for one value) or none, so that their sum
-plus their number exceeds ``H``: by the pigeonhole principle one picked segment
-then differs no more than allowed.  Picks go to the segments whose rarest value is
-rarest, so values that a third of all sets have are not used.  Equal segments join
-on the hash of the segment, others on the hash with one value deleted from either
-side.  Sets whose segments cannot carry enough allowances (values piled into few
-segments) are joined by their rarest values instead, which is exact too.  Every
-candidate is verified on the values themselves.
+shared, and a set with too few shared values for any partner is dropped; so is a
+set without another of like size, before anything is collected.  Sets with the
+same values become one class.
+
+The universe of values is split into segments, their number depending on the length
+class (a power of two) of the larger set: rare values by hash, and apart from them
+the common ones.  Two sets that are similar enough differ in at most ``H`` of the
+values left.  The larger set picks allowances for its segments, 0 (equal), 1 (equal
+but for one value) or none, so that their sum plus their number exceeds ``H``: by
+the pigeonhole principle one picked segment then differs no more than allowed.
+Picks go to the segments that the fewest sets are expected to share.  Common values
+are split into the least number of segments that carries the allowances still
+needed, so that such a segment holds several of them and few sets share all.  Equal
+segments join on the hash of the segment, others on the hash with one value deleted
+from either side.  Sets whose segments cannot carry enough allowances (values piled
+into few segments) are joined by their rarest values instead, which is exact too.
+
+Candidates carry 64 parity bits of their values; as many bits as differ, so many
+values differ at least, which drops nearly all false candidates in the join.  What
+is left is verified on 64-bit hashes of all values, and what passes on the values
+themselves.
 
 Defined results: rows with null field, owner or value are ignored; repeated rows
 count once; sets below ``min_size`` are ignored; extra columns are ignored; an
@@ -23,117 +30,274 @@ empty table gives no pairs.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lockstep.session import cut
 
+_MASK = (1 << 64) - 1
+_SPREAD = 0x9E3779B97F4A7C15
+
 
-def _overlap(t: float) -> float:
-    """Two sets are similar if their overlap is at least this times the sum of their sizes."""
-    return t / (1 + t)
+def least_overlap(a: int, b: int, t: float) -> int:
+    """The least number of common values of similar sets of these sizes."""
+    return math.ceil(t / (1 + t) * (a + b) - 1e-9)
+
+
+def _keyed(rows: DataFrame) -> DataFrame:
+    """Rows with 64-bit ids of set and value; ids of different fields differ."""
+    rows = rows.select(*[F.col(c).cast("string").alias(c) for c in ("field", "owner", "value")])
+    rows = rows.filter("field is not null and owner is not null and value is not null")
+    return rows.withColumns({"oid": F.xxhash64("field", "owner"), "vid": F.xxhash64("value", "field")})
 
 
 def set_classes(rows: DataFrame, threshold: float, min_size: int = 1) -> tuple[DataFrame, DataFrame]:
-    """Sets that can have a partner, as classes of equal sets.
+    """Sets that can have a partner, as classes of equal sets, in terms of ids.
 
-    Returns ``classes(field, rep, size, values)`` with the values that other sets
-    share, rarest first, as structs ``(df, value)``, and ``members(field, rep,
-    owner)``.
+    Returns ``classes(sid, size, values, bits)`` with the values that other sets share,
+    rarest first, as structs ``(df, vid)``, and ``members(oid, sid)`` of classes
+    with two members or more.
     """
-    rows = cut(rows.select("field", "owner", "value").filter("field is not null and owner is not null and value is not null").distinct(), "sets")
-    sizes = rows.groupBy("field", "owner").agg(F.count("*").alias("size")).filter(F.col("size") >= min_size)
-    left = rows.join(sizes, ["field", "owner"])
-    for _ in range(2):
-        common = left.groupBy("field", "value").agg(F.count("*").alias("df")).filter("df > 1")
-        left = left.drop("df").join(common, ["field", "value"])
-        able = left.groupBy("field", "owner").agg(F.count("*").alias("shared"), F.first("size").alias("own"))
-        able = able.filter(F.col("shared") + 1e-9 >= F.col("own") * threshold)
-        left = left.join(able.select("field", "owner"), ["field", "owner"], "left_semi")
-    sets = left.groupBy("field", "owner", "size").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("values"))
-    sets = cut(sets, "arrays")
+    tokens = cut(_keyed(rows).select("oid", "vid").distinct(), "tokens")
+    sizes = tokens.groupBy("oid").agg(F.count("*").cast("int").alias("size")).filter(F.col("size") >= min_size)
+    # sizes that some other set is near enough to; there are at most as many as the root of twice the rows
+    kinds = sizes.groupBy("size").agg(F.count("*").alias("k"))
+    by_size = Window.orderBy("size")
+    before, after = F.lag("size").over(by_size), F.lead("size").over(by_size)
+    near = (F.col("k") > 1) | (before + 1e-9 >= F.col("size") * threshold) | (after * threshold <= F.col("size") + 1e-9)
+    kinds = kinds.withColumn("near", near).filter("near").select("size")
+    left = tokens.join(sizes.join(kinds, "size", "left_semi"), "oid")
+    common = left.groupBy("vid").agg(F.count("*").cast("int").alias("df")).filter("df > 1")
+    shared = left.join(common, "vid")
+    arrays = shared.groupBy("oid", "size").agg(F.array_sort(F.collect_list(F.struct("df", "vid"))).alias("values"))
+    smallest = F.greatest(F.lit(min_size), F.ceil(F.col("size") * threshold - 1e-9))
+    needed = F.ceil((F.col("size") + smallest) * (threshold / (1 + threshold)) - 1e-9)
+    # parity of how many values have each of 64 hash places
+    bit = lambda v: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(v["vid"], F.lit(64)).cast("int"))
+    parity = F.aggregate("values", F.lit(0).cast("long"), lambda b, v: b.bitwiseXOR(bit(v)))
+    arrays = cut(arrays.filter(F.size("values") >= needed).withColumn("bits", parity), "arrays")
     # a set with a value of its own equals no other
-    whole = F.size("values") == F.col("size")
-    key = F.when(whole, F.struct(F.xxhash64("values"), F.hash("values"), F.col("size"))).alias("key")
-    keyed = sets.select("field", "owner", "size", "values", key)
-    reps = keyed.filter("key is not null").groupBy("field", "key").agg(F.min("owner").alias("rep"))
-    equal = keyed.filter("key is not null").select("field", "owner", "key").join(reps, ["field", "key"]).select("field", "rep", "owner")
-    alone = keyed.filter("key is null").select("field", F.col("owner").alias("rep"), "owner")
-    members = equal.unionByName(alone)
-    heads = members.filter("rep = owner").select("field", "rep")
-    classes = sets.withColumnRenamed("owner", "rep").join(heads, ["field", "rep"], "left_semi")
+    whole = arrays.filter(F.size("values") == F.col("size")).select("oid", F.struct(F.xxhash64("values"), F.hash("values"), F.col("size")).alias("key"))
+    several = whole.groupBy("key").agg(F.min("oid").alias("sid"), F.count("*").alias("k")).filter("k > 1").select("key", "sid")
+    members = cut(whole.join(several, "key").select("oid", "sid"), "members")
+    classes = arrays.join(members.filter("oid <> sid").select("oid"), "oid", "left_anti").withColumnRenamed("oid", "sid")
     return classes, members
 
 
-def _segments(classes: DataFrame, threshold: float) -> DataFrame:
-    """Segments of every set for the length classes of itself and of larger partners.
+class Pigeonhole:
+    """Signatures of sets for one threshold and least size."""
 
-    ``(field, rep, size, shared, g, own, seg, x, hs, dfs)``: ``x`` is the combined
-    hash of the values in the segment, ``hs`` their hashes, ``dfs`` their
-    frequencies in order; ``own`` marks the set's own length class.
-    """
-    group = lambda size: F.floor(F.log2(size.cast("double") + 1e-6)).cast("int")
-    lo, hi = group(F.col("size")), group(F.floor(F.col("size") / threshold + 1e-9))
-    at = classes.select("field", "rep", "size", F.size("values").alias("shared"), F.explode(F.sequence(lo, hi)).alias("g"), (lo).alias("g0"), "values")
-    # the most that two sets of the length class can differ, plus one
-    most = F.floor(F.pow(F.lit(2.0), F.col("g") + 1) * (1 - threshold) * 2 / (1 + threshold)).cast("int") + 1
-    at = at.select("field", "rep", "size", "shared", "g", (F.col("g") == F.col("g0")).alias("own"), most.alias("m"), F.explode("values").alias("v"))
-    at = at.withColumn("h", F.xxhash64("v.value")).withColumn("seg", F.pmod(F.hash("v.value"), F.col("m")))
-    return at.groupBy("field", "rep", "size", "shared", "g", "own", "seg").agg(
-        F.bit_xor("h").alias("x"), F.collect_list("h").alias("hs"), F.array_sort(F.collect_list("v.df")).alias("dfs")
-    )
-
-
-def _signature(kind: int, x) -> F.Column:
-    return F.xxhash64("field", "g", "seg", F.lit(kind), x)
-
-
-def candidate_pairs(classes: DataFrame, threshold: float) -> DataFrame:
-    """Distinct ``(field, a, b)`` with ``a < b``: a superset of the similar pairs of different classes."""
-    segments = cut(_segments(classes, threshold), "segments")
-    # of the values left, a set differs from any similar one that is not larger in at most `slack`
-    slack = F.floor(F.col("shared") - F.col("size") * ((3 * threshold - 1) / (1 + threshold)) + 1e-9).cast("int")
-    index = segments.filter("own").withColumn("need", slack + 1)
-    k, low = F.size("hs"), F.col("dfs")[0]
-    second = F.when(k > 1, F.get(F.col("dfs"), F.lit(1)))
-    options = F.array(F.struct(F.lit(0).alias("allow"), low.alias("cost")), F.struct(F.lit(1).alias("allow"), (k * low + second).alias("cost")))
-    index = index.select("field", "rep", "size", "g", "seg", "x", "hs", "need", F.explode(options).alias("o")).filter("o.cost is not null")
-    by_cost = Window.partitionBy("field", "rep").orderBy("o.cost", "seg", "o.allow")
-    whole = Window.partitionBy("field", "rep")
-    index = index.withColumn("place", F.row_number().over(by_cost)).withColumn("offered", F.count("*").over(whole))
-    picked = index.filter(F.col("place") <= F.col("need"))
-    without = lambda kind: F.transform("hs", lambda h: _signature(kind, F.col("x").bitwiseXOR(h)))
-    posted = picked.select("field", F.col("rep").alias("s"), F.col("size").alias("size_s"), F.explode(F.when(F.col("o.allow") == 0, F.array(_signature(1, F.col("x")))).otherwise(F.concat(without(1), F.array(_signature(2, F.col("x")))))).alias("sig"))
-    probes = F.concat(F.array(_signature(1, F.col("x"))), F.when(F.size("hs") > 1, without(2)).otherwise(F.array().cast("array<bigint>")))
-    probe = segments.select("field", F.col("rep").alias("r"), F.col("size").alias("size_r"), F.explode(probes).alias("sig"))
-    similar_size = (F.col("size_r") <= F.col("size_s")) & (F.col("size_r") + 1e-9 >= F.col("size_s") * threshold) & (F.col("r") != F.col("s"))
-    by_segment = probe.join(posted.distinct(), ["field", "sig"]).filter(similar_size).select("field", "r", "s")
-    # sets that could not place all their allowances: joined by their rarest values
-    short = index.filter((F.col("offered") < F.col("need")) & (F.col("place") == 1)).select("field", "rep")
-    prefix_length = F.size("values") - F.ceil(F.col("size") * threshold - 1e-9).cast("int") + 1
-    prefix = classes.join(short, ["field", "rep"], "left_semi").select("field", F.col("rep").alias("s"), F.col("size").alias("size_s"), F.explode(F.slice("values", F.lit(1), prefix_length)).alias("v"))
-    prefix = prefix.select("field", "s", "size_s", "v.value")
-    spread = classes.select("field", F.col("rep").alias("r"), F.col("size").alias("size_r"), F.explode("values").alias("v")).select("field", "r", "size_r", "v.value")
-    by_value = spread.join(prefix, ["field", "value"]).filter(similar_size).select("field", "r", "s")
-    both = by_segment.unionByName(by_value)
-    return both.select("field", F.least("r", "s").alias("a"), F.greatest("r", "s").alias("b")).distinct()
+    def __init__(self, threshold: float, min_size: int, n_sets: int = 1, common: int = 64):
+        self.t, self.min_size, self.n_sets, self.common = threshold, max(1, min_size), max(1, n_sets), common
+        # within this many sizes the bound on the difference has passed its maximum
+        self.period = math.ceil((1 + threshold) / threshold) + 1
+
+    def most_different(self, g: int) -> int:
+        """The most values in which similar sets of length class ``g`` differ."""
+        top = (1 << (g + 1)) - 1
+        return max(2 * n - 2 * least_overlap(n, n, self.t) for n in range(max(1, top - self.period), top + 1))
+
+    def layouts(self, g: int) -> list[int]:
+        """Numbers of segments of common values in use for length class ``g``."""
+        out = [1]
+        while 2 * out[-1] < self.most_different(g) + 1:
+            out.append(2 * out[-1])
+        return out
+
+    def smallest(self, size: int) -> int:
+        """The smallest partner of a set."""
+        return max(self.min_size, math.ceil(size * self.t - 1e-9))
+
+    def slack(self, size: int, shared: int) -> int:
+        """The most values in which a set can differ from similar ones that are not larger."""
+        return max((n + shared - 2 * least_overlap(n, size, self.t) for n in range(max(self.smallest(size), size - self.period), size + 1)), default=-1)
+
+    def largest(self, size: int, shared: int) -> int:
+        """The largest partner of a set with ``shared`` values others have."""
+        return min(int(size / self.t + 1e-9), int(shared * (1 + self.t) / self.t - size + 1e-9))
+
+    def split(self, values: list[tuple[int, int]], g: int) -> tuple[dict[int, list], list[tuple[int, int]]]:
+        """Segments of the rare values, and the common values."""
+        m, parts, common = self.most_different(g) + 1, {}, []
+        for df, vid in values:
+            if df > self.common:
+                common.append((df, vid))
+            else:
+                parts.setdefault((vid >> 8) % m, []).append((df, vid))
+        return parts, common
+
+    @staticmethod
+    def pile(common: list[tuple[int, int]], m: int) -> dict[int, list]:
+        """Common values in ``m`` segments."""
+        parts: dict[int, list] = {}
+        for df, vid in common:
+            parts.setdefault((vid >> 8) % m, []).append((df, vid))
+        return parts
+
+    @staticmethod
+    def signature(kind: int, g: int, m: int, segment: int, x: int) -> int:
+        """A signed hash; ``m`` is 0 for segments of rare values."""
+        mixed = (x + ((g << 56) + (m << 29) + (segment << 2) + kind) * _SPREAD) & _MASK
+        return mixed - (1 << 64) if mixed >> 63 else mixed
+
+    @staticmethod
+    def combined(part: list[tuple[int, int]]) -> int:
+        x = 0
+        for _, vid in part:
+            x ^= vid
+        return x
+
+    def options(self, m: int, parts: dict[int, list]) -> list[tuple[float, int, int, int]]:
+        """Allowances on offer: expected number of sets that share the signatures, segments, segment, allowance."""
+        out = []
+        for segment, part in parts.items():
+            shares = [df / self.n_sets for df, _ in part]
+            whole = math.prod(shares)
+            out.append((self.n_sets * whole, m, segment, 0))
+            if len(part) > 1:
+                out.append((self.n_sets * (whole + sum(whole / s for s in shares)), m, segment, 1))
+        return out
+
+    def picks(self, size: int, values: list[tuple[int, int]]) -> tuple[list[tuple[int, int, int, list]], bool]:
+        """Picked segments ``(m, segment, allowance, values)``, and whether they suffice."""
+        need = self.slack(size, len(values)) + 1
+        if need <= 0:
+            return [], True
+        g = size.bit_length() - 1
+        rare, common = self.split(values, g)
+        offered = self.options(0, rare)
+        for m in [0, *self.layouts(g)]:
+            parts = {0: rare} | ({m: self.pile(common, m)} if m else {})
+            full = offered + (self.options(m, parts[m]) if m else [])
+            if len(full) >= need:
+                chosen: dict[tuple[int, int], int] = {}
+                for _, at, segment, allow in sorted(full)[:need]:
+                    chosen[at, segment] = max(allow, chosen.get((at, segment), 0))
+                return [(at, segment, allow, parts[at][segment]) for (at, segment), allow in chosen.items()], True
+        return [], False
+
+    def posted(self, size: int, values: list[tuple[int, int]]) -> list[int]:
+        """Signatures under which a set is found by partners that are not larger."""
+        g, out = size.bit_length() - 1, []
+        for m, segment, allow, part in self.picks(size, values)[0]:
+            x = self.combined(part)
+            out.append(self.signature(1, g, m, segment, x))
+            if allow:
+                out += [self.signature(1, g, m, segment, x ^ vid) for _, vid in part]
+                out.append(self.signature(2, g, m, segment, x))
+        return out
+
+    def short(self, size: int, values: list[tuple[int, int]]) -> list[int]:
+        """The rarest values of a set whose segments do not suffice, one of which any partner has."""
+        if self.picks(size, values)[1]:
+            return []
+        return [vid for _, vid in values[: max(0, len(values) - least_overlap(self.smallest(size), size, self.t) + 1)]]
+
+    def probes(self, size: int, values: list[tuple[int, int]]) -> list[int]:
+        """Signatures under which a set looks for partners that are not smaller."""
+        largest, out = self.largest(size, len(values)), []
+        if largest < size:
+            return out
+        for g in range(size.bit_length() - 1, largest.bit_length()):
+            rare, common = self.split(values, g)
+            for m, parts in [(0, rare), *[(m, self.pile(common, m)) for m in (self.layouts(g) if common else [])]]:
+                for segment, part in parts.items():
+                    x = self.combined(part)
+                    out.append(self.signature(1, g, m, segment, x))
+                    if len(part) > 1:
+                        out += [self.signature(2, g, m, segment, x ^ vid) for _, vid in part]
+        return out
+
+
+_SIGNED = "sig bigint, sid bigint, sizes bigint, bits bigint"
+
+
+def _signed(classes: DataFrame, make: str, rule: Pigeonhole) -> DataFrame:
+    """Rows ``(sig, sid, sizes, bits)``; ``sizes`` holds the size and, in the low half, the number of shared values."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(2)
+            offsets = lists.offsets.to_numpy()
+            flat = lists.flatten()
+            first = int(offsets[0]) if len(offsets) else 0
+            # ids as unsigned numbers, for the arithmetic on segments
+            dfs, vids = flat.field(0).to_pylist(), flat.field(1).to_numpy().astype(np.int64).view(np.uint64).tolist()
+            columns: list[list] = [[], [], [], []]
+            for i, (sid, size, bits) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist())):
+                lo, hi = int(offsets[i]) - first, int(offsets[i + 1]) - first
+                signatures = getattr(rule, make)(size, list(zip(dfs[lo:hi], vids[lo:hi])))
+                if make == "short":
+                    signatures = [v - ((v >> 63) << 64) for v in signatures]
+                n = len(signatures)
+                for column, value in zip(columns, (signatures, [sid] * n, [(size << 32) + hi - lo] * n, [bits] * n)):
+                    column += value
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["sig", "sid", "sizes", "bits"])
+
+    return classes.select("sid", "size", "values", "bits").mapInArrow(run, _SIGNED)
+
+
+def candidate_pairs(classes: DataFrame, threshold: float, min_size: int = 1) -> DataFrame:
+    """Distinct ``(a, b)`` of class ids with ``a < b``: a superset of the similar pairs of different classes."""
+    rule = Pigeonhole(threshold, min_size, classes.count())
+    names = ["sid", "sizes", "bits"]
+    as_side = lambda df, x: df.select("sig", *[F.col(n).alias(f"{n}_{x}") for n in names])
+    size, shared = (lambda x: F.shiftright(f"sizes_{x}", 32)), (lambda x: F.col(f"sizes_{x}").bitwiseAND(F.lit((1 << 32) - 1)))
+    needed = F.ceil((size("r") + size("s")) * (threshold / (1 + threshold)) - 1e-9)
+    possible = (F.col("sid_r") != F.col("sid_s")) & (size("r") <= size("s")) & (size("r") + 1e-9 >= size("s") * threshold)
+    possible = possible & (F.bit_count(F.col("bits_r").bitwiseXOR(F.col("bits_s"))) <= shared("r") + shared("s") - 2 * needed)
+    pair = [F.least("sid_r", "sid_s").alias("a"), F.greatest("sid_r", "sid_s").alias("b")]
+    posted, probes = _signed(classes, "posted", rule), _signed(classes, "probes", rule)
+    found = as_side(probes, "r").join(as_side(posted, "s"), "sig").filter(possible).select(*pair)
+    # few sets, so their table is mostly empty and known to be small once written
+    short = cut(_signed(classes, "short", rule), "short")
+    both = F.shiftleft(F.col("size").cast("long"), 32) + F.size("values")
+    spread = classes.select("sid", both.alias("sizes"), "bits", F.explode("values.vid").alias("sig"))
+    # a merge join hands on rows one by one; the values of a long set would be held in memory otherwise
+    by_value = as_side(spread, "r").hint("merge").join(as_side(short, "s"), "sig").filter(possible).select(*pair)
+    return found.unionByName(by_value).distinct()
+
+
+def _jaccard(values_a: Column, values_b: Column, size_a: Column, size_b: Column) -> tuple[Column, Column]:
+    overlap = F.size(F.array_intersect(values_a, values_b))
+    return overlap, overlap / (size_a + size_b - overlap)
 
 
 def similar_classes(rows: DataFrame, threshold: float = 0.5, min_size: int = 1) -> tuple[DataFrame, DataFrame]:
     """Similar pairs between class representatives ``(field, a, b, overlap, similarity)``, and ``members(field, rep, owner)``.
 
+    Members are those of classes with a similar class or of several owners.
     Members of one class have similarity 1 and are not listed as pairs.
     """
     if not 0 < threshold <= 1:
         raise ValueError("the threshold lies above 0 and at most at 1")
     classes, members = set_classes(rows, threshold, min_size)
-    pairs = candidate_pairs(classes, threshold)
-    side = lambda n: classes.select("field", F.col("rep").alias(n), F.col("size").alias(f"size_{n}"), F.col("values.value").alias(f"values_{n}"))
-    checked = pairs.join(side("a"), ["field", "a"]).join(side("b"), ["field", "b"])
-    checked = checked.select("field", "a", "b", "size_a", "size_b", F.size(F.array_intersect("values_a", "values_b")).alias("overlap"))
-    union = F.col("size_a") + F.col("size_b") - F.col("overlap")
-    checked = checked.filter(F.col("overlap") + 1e-9 >= union * threshold)
-    return checked.select("field", "a", "b", F.col("overlap").cast("long").alias("overlap"), (F.col("overlap") / union).alias("similarity")), members
+    pairs = candidate_pairs(classes, threshold, min_size)
+    side = lambda n: classes.select(F.col("sid").alias(n), F.col("size").alias(f"size_{n}"), F.col("values.vid").alias(f"values_{n}"))
+    overlap, similarity = _jaccard(F.col("values_a"), F.col("values_b"), F.col("size_a"), F.col("size_b"))
+    hits = pairs.join(side("a"), "a").join(side("b"), "b").filter(similarity + 1e-9 >= threshold).select("a", "b")
+    hits = cut(hits, "hits")
+    # names and values of what was found, from a second scan
+    ends = hits.select(F.explode(F.array("a", "b")).alias("oid"))
+    wanted = ends.unionByName(members.select("oid")).distinct()
+    named = _keyed(rows).join(cut(wanted, "wanted"), "oid", "left_semi").groupBy("oid", "field", "owner").agg(F.collect_set("value").alias("values"))
+    named = cut(named, "named")
+    one = lambda n: named.select(F.col("oid").alias(n), F.col("field").alias(f"field_{n}"), F.col("owner").alias(f"owner_{n}"), F.col("values").alias(f"values_{n}"))
+    checked = hits.join(one("a"), "a").join(one("b"), "b").filter("field_a = field_b")
+    overlap, similarity = _jaccard(F.col("values_a"), F.col("values_b"), F.size("values_a"), F.size("values_b"))
+    checked = checked.select(F.col("field_a").alias("field"), "owner_a", "owner_b", overlap.cast("long").alias("overlap"), similarity.alias("similarity"))
+    checked = checked.filter(F.col("similarity") + 1e-9 >= threshold)
+    checked = checked.select("field", F.least("owner_a", "owner_b").alias("a"), F.greatest("owner_a", "owner_b").alias("b"), "overlap", "similarity")
+    names = named.select("oid", "field", "owner")
+    reps = names.select(F.col("oid").alias("sid"), F.col("owner").alias("rep"))
+    several = members.join(names, "oid").join(reps, "sid").select("field", "rep", "owner")
+    alone = names.join(members.select("oid"), "oid", "left_anti").select("field", F.col("owner").alias("rep"), "owner")
+    return checked, several.unionByName(alone)
 
 
 def similar_pairs(rows: DataFrame, threshold: float = 0.5, min_size: int = 1) -> DataFrame:
