@@ -21,9 +21,9 @@ drops most pairs; for the rest ``n_ab`` is counted over all items with the exact
 times.  Baskets above ``max_basket`` members are not collected into arrays but
 joined, so no task holds an unbounded group.
 
-Defined results: null accounts, items or times must be filtered by the caller (they
-join nothing); of repeated rows the earliest counts; an empty table gives no
-pairs; other columns are ignored.
+Defined results: rows with null account, item or time are ignored; of repeated
+rows the earliest counts; an empty table gives no pairs; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -78,7 +78,8 @@ def cooccurring_pairs(events: DataFrame, window: int, min_count: int = 3, min_li
     (1 - n_ab / n_a)`` of a towards b, null where b follows without exception.
     """
     spark = events.sparkSession
-    first = cut(first_events(events.select("account", "item", "t")), "first")
+    rows = events.select("account", "item", "t").filter("account is not null and item is not null and t is not null")
+    first = cut(first_events(rows), "first")
     n = first.select("item").distinct().count()
     per_account = first.groupBy("account").agg(F.count("*").alias("n_items"))
     # n_ab <= min(n_a, n_b), so lift <= n / max(n_a, n_b)

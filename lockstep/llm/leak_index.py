@@ -21,6 +21,7 @@ rarity go to the earlier word; extra columns are ignored.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -59,7 +60,8 @@ class PositionalIndex:
         get = items.vocabulary.get
         streams, starts, at = [np.array([-1], np.int32)], [], 1
         for text in texts:
-            ids = np.array([get(w, -1) for w in words(text)], np.int32)
+            # a compact array, as a text may be very long
+            ids = np.frombuffer(array("i", (get(m[0], -1) for m in _WORD.finditer(text.lower()))) if text else array("i"), np.int32)
             starts.append(at)
             streams += [ids, np.array([-1], np.int32)]  # phrases do not run across documents
             at += len(ids) + 1
