@@ -15,7 +15,7 @@ def _draw(seed: int, iteration: Column, draw: Column, n: Column) -> Column:
     """A pseudo-random place below ``n``; integer arithmetic only, so any engine gives the same."""
     x = (iteration * 1_000_003 + draw * 7_919 + F.lit(seed) * 104_729 + 12_345) % _M
     for multiplier in (48_271, 69_621, 39_373):
-        x = (x * multiplier + 11) % _M
+        x = ((x * x) % _M * multiplier + x + 11) % _M  # the square keeps draws from being spread evenly
     return x % n
 
 

@@ -288,7 +288,8 @@ def _extract_sql(layout: str, what: str) -> str:
 _INC = (
     f"WITH {_T}, acc AS (SELECT account, row_number() OVER (ORDER BY account) - 1 AS idx FROM (SELECT DISTINCT account FROM t)), k AS (SELECT count(*) AS n FROM acc), "
     "d0 AS (SELECT iter, ((iter * 1000003 + draw * 7919 + 42 * 104729 + 12345) % 2147483647) AS x FROM (SELECT unnest(range(3)) AS iter), (SELECT unnest(range(n)) AS draw FROM k)), "
-    "d AS (SELECT DISTINCT iter, ((((x * 48271 + 11) % 2147483647 * 69621 + 11) % 2147483647 * 39373 + 11) % 2147483647) % n AS idx FROM d0, k) SELECT iter, account FROM d JOIN acc USING (idx)"
+    "d1 AS (SELECT iter, ((x * x) % 2147483647 * 48271 + x + 11) % 2147483647 AS x FROM d0), d2 AS (SELECT iter, ((x * x) % 2147483647 * 69621 + x + 11) % 2147483647 AS x FROM d1), "
+    "d3 AS (SELECT iter, ((x * x) % 2147483647 * 39373 + x + 11) % 2147483647 AS x FROM d2), d AS (SELECT DISTINCT iter, x % n AS idx FROM d3, k) SELECT iter, account FROM d JOIN acc USING (idx)"
 )
 
 ORACLE = {

@@ -56,7 +56,7 @@ def read_text_dataset(spark: SparkSession, folder: str) -> Dataset:
         raise KeyError(f"accounts without index: {missing[:5]}")
     names = spark.createDataFrame([(int(k), str(v)) for k, v in accounts.items()], "user_id bigint, account string")
     triple = r"\((\d+),\s*(\d+),\s*datetime(?:\.datetime)?\(((?:\d+,?\s*)+)"
-    found = spark.read.option("wholetext", "true").text(str(root / "RTs.txt")).select(F.explode(F.regexp_extract_all("value", F.lit("(" + triple + ")"), F.lit(1))).alias("e"))
+    found = spark.read.text(str(root / "RTs.txt"), wholetext=True).select(F.explode(F.regexp_extract_all("value", F.lit("(" + triple + ")"), F.lit(1))).alias("e"))
     part = lambda i: F.regexp_extract("e", triple, i)
     clock = F.split(F.regexp_replace(part(3), r"[,\s]+$", ""), r",\s*")
     number = lambda i: F.coalesce(F.get(clock, F.lit(i)).cast("int"), F.lit(0))
@@ -91,7 +91,7 @@ def read_samples(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 def read_ci_reports(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """``(file, method, mean, lower, upper)`` of CI text reports; signs are kept."""
     paths = [paths] if isinstance(paths, str) else list(paths)
-    text = spark.read.option("wholetext", "true").text(paths).select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file"), "value")
+    text = spark.read.text(paths, wholetext=True).select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file"), "value")
     number = r"(-?\d+(?:\.\d+)?)"
     block = rf"([^\n:]+):\s*\n\s*Mean:\s*{number}\s*\n\s*CI:\s*\[{number},\s*{number}\]"
     found = text.select("file", F.explode(F.regexp_extract_all("value", F.lit(f"({block})"), F.lit(1))).alias("b"))
