@@ -182,7 +182,10 @@ def leaks(documents: DataFrame, items: DataFrame, min_words: int = 12, part_word
     hits = phrase_matches(documents, items, part_words or min_words)
     # phrases of one copy have nearly the same shift between document and item
     near = hits.withColumn("band", F.explode(F.array(F.floor((F.col("doc_pos") - F.col("item_pos")) / (2 * slack)), F.floor((F.col("doc_pos") - F.col("item_pos") + slack) / (2 * slack)) + F.lit(1 << 40))))
-    per_band = near.groupBy("doc_id", "item_id", "band").agg(F.max("n_words").alias("longest"), F.sum("n_words").alias("covered"))
-    per_pair = per_band.groupBy("doc_id", "item_id").agg(F.max("longest").alias("longest"), F.max("covered").alias("covered"))
+    # words of the item covered, each once though a document may repeat them
+    word = F.explode(F.sequence(F.col("item_pos"), F.col("item_pos") + F.col("n_words") - 1))
+    covered = near.select("doc_id", "item_id", "band", word.alias("word")).distinct().groupBy("doc_id", "item_id", "band").agg(F.count("*").alias("covered"))
+    longest = hits.groupBy("doc_id", "item_id").agg(F.max("n_words").alias("longest"))
+    per_pair = covered.groupBy("doc_id", "item_id").agg(F.max("covered").alias("covered")).join(longest, ["doc_id", "item_id"]).select("doc_id", "item_id", "longest", "covered")
     kind = F.when(F.col("longest") >= min_words, "phrase").when(F.col("covered") >= min_words, "proximity")
     return per_pair.withColumn("kind", kind).filter("kind is not null")

@@ -57,6 +57,7 @@ def _retweets(spark: SparkSession, d: str) -> DataFrame:
 def p4_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Accounts that retweet the same tweets within a minute, with counts, lift and conviction."""
     pairs = cooccurring_pairs(_retweets(spark, d), WINDOW_MS, min_count=3, min_lift=5.0)
+    pairs = pairs.withColumns({c: F.round(c, 9) for c in ("lift", "conviction")})
     return pairs.withColumnsRenamed({"a": "userid_a", "b": "userid_b"})
 
 
@@ -172,6 +173,7 @@ r AS (
 ORACLE = {
     "p2_found": _ITEMS_SQL + "SELECT field, item FROM filled GROUP BY field, item HAVING count(*) * 100 >= (SELECT count(*) FROM filled f WHERE f.field = filled.field)",
     "p4_found": _PAIRS_SQL + "SELECT userid_a, userid_b FROM r",
+    "p4_pairs": _PAIRS_SQL + "SELECT userid_a, userid_b, n_ab, n_a, n_b, n, round(lift, 9) AS lift, round(conviction, 9) AS conviction FROM r",
     "p6_found": _ITEMS_SQL
     + """, sets AS (SELECT DISTINCT field, userid AS u, item FROM filled WHERE userid IS NOT NULL),
 sizes AS (SELECT field, u, count(*) AS k FROM sets GROUP BY 1, 2 HAVING count(*) >= 5),
