@@ -115,7 +115,65 @@ WITH posts AS (
   FROM posts WHERE object_id <> '' GROUP BY src, object_id
 )
 """
+_TAGS_SQL = r"""
+WITH RECURSIVE docs AS (SELECT row_id, CASE WHEN json_valid(payload) THEN payload::JSON END AS j FROM twitter_raw),
+posts AS (
+  SELECT row_id, CASE WHEN json_exists(j, '$.author_id') THEN j ELSE list_filter(json_extract(j, '$.*'), lambda x: json_exists(x, '$.author_id'))[1] END AS post
+  FROM docs WHERE json_type(j) = 'OBJECT'
+),
+raw_lists AS (SELECT row_id, '' AS up, post -> '$.referenced_tweets' AS r FROM posts),
+refs AS (
+  SELECT row_id, (k - 1)::VARCHAR AS ref_path, x[k] AS ref
+  FROM (SELECT *, unnest(range(1, len(x) + 1)) AS k FROM (SELECT row_id, CASE json_type(r) WHEN 'ARRAY' THEN json_extract(r, '$[*]') WHEN 'NULL' THEN [] ELSE [r] END AS x FROM raw_lists WHERE r IS NOT NULL))
+  UNION ALL
+  SELECT row_id, ref_path || '.' || (k - 1), x[k]
+  FROM (SELECT *, unnest(range(1, len(x) + 1)) AS k FROM (SELECT row_id, ref_path, CASE json_type(r) WHEN 'ARRAY' THEN json_extract(r, '$[*]') WHEN 'NULL' THEN [] ELSE [r] END AS x FROM (SELECT row_id, ref_path, ref -> '$.referenced_tweets' AS r FROM refs) WHERE r IS NOT NULL))
+),
+tags AS (
+  SELECT row_id, ref_path, k - 1 AS tag_pos, x[k] AS t
+  FROM (SELECT *, unnest(range(1, len(x) + 1)) AS k FROM (SELECT row_id, ref_path, CASE json_type(h) WHEN 'ARRAY' THEN json_extract(h, '$[*]') WHEN 'NULL' THEN [] ELSE [h] END AS x FROM (SELECT row_id, ref_path, ref -> '$.hashtags' AS h FROM refs) WHERE h IS NOT NULL))
+),
+found AS (
+  SELECT 'twitter_raw' AS src, row_id, ref_path, tag_pos,
+    CASE WHEN json_type(t) = 'OBJECT' THEN coalesce(nullif(t ->> '$.tag', ''), nullif(t ->> '$.text', ''), nullif(t ->> '$.name', '')) WHEN json_type(t) IN ('VARCHAR', 'BIGINT', 'UBIGINT', 'DOUBLE') THEN t ->> '$' END AS tag FROM tags
+  UNION ALL
+  SELECT 'twitter_posts', row_id, (i - 1)::VARCHAR, k - 1, coalesce(nullif(h[k].tag, ''), nullif(h[k]."text", ''), nullif(h[k]."name", ''))
+  FROM (SELECT *, unnest(range(1, len(h) + 1)) AS k FROM (SELECT row_id, i, r[i].hashtags AS h FROM (SELECT row_id, referenced_tweets AS r, unnest(range(1, len(referenced_tweets) + 1)) AS i FROM twitter_posts)))
+)
+SELECT src, row_id, ref_path, tag_pos::BIGINT AS tag_pos, tag FROM found WHERE tag <> ''
+"""
+_TIMES_SQL = r"""
+WITH w AS (
+  SELECT 'post_landing' AS src, row_id, coalesce(created_at, tweet_time, post_time) AS written, capture_zone FROM post_landing
+  UNION ALL SELECT 'twitter_posts', row_id, created_at, NULL FROM twitter_posts
+), a AS (SELECT *, upper(regexp_replace(written, '^\s+|\s+$', '', 'g')) AS t, regexp_replace(capture_zone, '^\s+|\s+$', '', 'g') AS host FROM w),
+b AS (
+  SELECT *, CASE WHEN regexp_full_match(t, '[0-9]+(\.[0-9]+)?(E[0-9]+)?') THEN t END AS number,
+    coalesce(nullif(regexp_extract(t, ':[0-9]{2}(\.[0-9]+)? ?([+-][0-9]{2}(:?[0-9]{2})?)( [0-9]{4})?$', 2), ''), nullif(regexp_extract(t, ' ?(Z|GMT|UTC|EST|EDT|CST|CDT|MST|MDT|PST|PDT|CET|CEST|EET|EEST|BST)$', 1), '')) AS z,
+    regexp_extract(t, ':[0-9]{2}\.([0-9]+)', 1) AS frac FROM a
+), c AS (
+  SELECT *, regexp_replace(regexp_replace(CASE WHEN z IS NULL THEN t ELSE regexp_replace(t, ' ?' || replace(z, '+', '\+') || '( [0-9]{4})?$', '\1') END, '(:[0-9]{2})\.[0-9]+', '\1'), '^[A-Z]{3},? ', '') AS bare FROM b
+), l AS (
+  SELECT *, try_strptime(bare, ['%Y-%m-%dT%H:%M:%S', '%Y-%m-%d %H:%M:%S', '%Y-%m-%dT%H:%M', '%Y-%m-%d %H:%M', '%d.%m.%Y %H:%M:%S', '%d.%m.%Y, %H:%M', '%m/%d/%Y %I:%M:%S %p', '%m/%d/%Y %I:%M %p', '%Y%m%dT%H%M%S', '%b %d %H:%M:%S %Y', '%d %b %Y %H:%M:%S']) AS wall,
+    CASE WHEN z[1] IN ('+', '-') THEN (CASE z[1] WHEN '-' THEN -1 ELSE 1 END) * (z[2:3]::INT * 60 + coalesce(nullif(replace(z, ':', '')[4:5], ''), '0')::INT)
+      ELSE map {'Z': 0, 'GMT': 0, 'UTC': 0, 'EST': -300, 'EDT': -240, 'CST': -360, 'CDT': -300, 'MST': -420, 'MDT': -360, 'PST': -480, 'PDT': -420, 'CET': 60, 'CEST': 120, 'EET': 120, 'EEST': 180, 'BST': 60}[z] END AS own_min,
+    CASE WHEN regexp_full_match(host, '[+-][0-9]{2}:[0-9]{2}') THEN (CASE host[1] WHEN '-' THEN -1 ELSE 1 END) * (host[2:3]::INT * 60 + host[5:6]::INT) END AS host_min FROM c
+), i AS (
+  SELECT *, epoch_us(wall) + coalesce(nullif(rpad(frac[1:6], 6, '0'), '000000'), '0')::BIGINT AS wall_us,
+    CASE WHEN number IS NULL AND z IS NULL AND host_min IS NULL AND host IS NOT NULL AND wall IS NOT NULL THEN timezone(host, wall) END AS late FROM l
+), k AS (
+  SELECT *, CASE WHEN timezone(host, late - INTERVAL 1 HOUR) = wall THEN late - INTERVAL 1 HOUR WHEN timezone(host, late) = wall THEN late END AS instant FROM i
+), n AS (SELECT *, try_cast(number AS DOUBLE) AS size, CASE WHEN number LIKE '%E%' THEN round(try_cast(split_part(number, 'E', 1) AS DOUBLE) * pow(10, try_cast(split_part(number, 'E', 2) AS DOUBLE)) * 1000)::BIGINT::DECIMAL(20, 0) * 0.001::DECIMAL(4, 3) ELSE try_cast(number AS DECIMAL(38, 6)) END AS v FROM k),
+u AS (
+  SELECT src, row_id, CASE WHEN number IS NOT NULL THEN floor(CASE WHEN size < 1e11 THEN v * 1000000 WHEN size < 1e14 THEN v * 1000 WHEN size < 1e17 THEN v ELSE v::HUGEINT // 1000 END)::BIGINT
+    WHEN z IS NOT NULL THEN wall_us - own_min::BIGINT * 60000000 WHEN host_min IS NOT NULL THEN wall_us - host_min::BIGINT * 60000000
+    ELSE epoch_us(instant) + wall_us - epoch_us(wall) END AS utc_us FROM n
+)
+"""
 ORACLE = {
+    "p1_found": _TAGS_SQL,
+    "p3_found": _TIMES_SQL + "SELECT src, row_id, utc_us FROM u WHERE utc_us IS NOT NULL",
+    "p3_set_apart": _TIMES_SQL + "SELECT src, row_id, written, capture_zone FROM u JOIN w USING (src, row_id) WHERE utc_us IS NULL",
     "p5_found": _OBJECTS_SQL + "SELECT src, object_id, first_row_id FROM objects WHERE n_timed >= 2",
     "p5_activity": _OBJECTS_SQL + "SELECT * FROM objects",
 }
