@@ -36,3 +36,27 @@ def dense_index(values: DataFrame, column: str, index: str = "idx", descending:
     """Distinct ``column`` values with their 0-based place."""
     order = F.col(column).desc() if descending else F.col(column).asc()
     return prefix_scan(values.select(column).distinct(), [order], index).withColumn(index, F.col(index) - 1)
+
+
+def rank_scan(df: DataFrame, key: Column, tie: str) -> DataFrame:
+    """``df`` with ``grp``, the 0-based place of ``key`` among its distinct values, and ``pos``, the 1-based place by key and ``tie``.
+
+    One scan over ranges: each is ranked by itself, and shifted by the rows and
+    distinct keys of the ranges before; a key that runs on from the range before
+    counts once.  ``key`` is not null.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = df.withColumn("_k", key)
+    ranged = cut(keyed.repartitionByRange(parts, "_k", tie).withColumn("_range", F.spark_partition_id()), "ranked")
+    per = ranged.groupBy("_range").agg(F.count("*").alias("_n"), F.count_distinct("_k").alias("_d"), F.min("_k").alias("_lo"), F.max("_k").alias("_hi"))
+    in_order = Window.orderBy("_range")
+    runs_on = F.coalesce((F.lag("_hi").over(in_order) == F.col("_lo")).cast("long"), F.lit(0))
+    before = in_order.rowsBetween(Window.unboundedPreceding, -1)
+    total = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
+    per = per.withColumn("_on", runs_on)
+    offsets = per.select("_range", total("_n").alias("_rows"), (total(F.col("_d") - F.col("_on")) - F.col("_on")).alias("_keys"))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy("_k", tie)) + F.col("_rows")
+    group = F.dense_rank().over(Window.partitionBy("_range").orderBy("_k")) - 1 + F.col("_keys")
+    # as many offsets as ranges
+    joined = ranged.join(F.broadcast(offsets), "_range")
+    return joined.select(*df.columns, group.cast("long").alias("grp"), place.cast("long").alias("pos"))

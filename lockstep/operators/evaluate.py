@@ -1,18 +1,19 @@
 """Rankings against labels: curves, areas, AUC, average precision, NDCG and counts.
 
 Everything is computed from tie groups ``(grp, n, ios, before, ios_before)``, one
-row per group, whose running sums come from a distributed scan.  Metrics are
-one-row tables.
+row per group, whose running sums are made in blocks of places.  Metrics are one-row
+tables.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lockstep.functions.scan import prefix_scan
+#: Places of a ranking that are summed in one task.
+BLOCK = 1 << 16
 
 
 def labelled(ranking: DataFrame, io: DataFrame) -> DataFrame:
@@ -24,9 +25,15 @@ def labelled(ranking: DataFrame, io: DataFrame) -> DataFrame:
 def groups(ranked: DataFrame, x_max: int | None = None) -> DataFrame:
     """Tie groups of a labelled ranking, cut to the first ``x_max`` users, with sums of the groups before."""
     rows = ranked if x_max is None else ranked.filter(F.col("pos") <= x_max)
-    per = rows.groupBy("grp").agg(F.count("*").alias("n"), F.count_if("is_io").alias("ios"))
-    scan = prefix_scan(per, [F.col("grp").asc()], "k", {"upto": "n", "ios_upto": "ios"})
-    return scan.select("grp", "n", "ios", (F.col("upto") - F.col("n")).alias("before"), (F.col("ios_upto") - F.col("ios")).alias("ios_before"))
+    per = rows.groupBy("grp").agg(F.count("*").alias("n"), F.count_if("is_io").alias("ios"), (F.min("pos") - 1).alias("before"))
+    # sums run inside blocks of places; the blocks before, a few rows, shift them
+    per = per.withColumn("block", F.floor(F.col("before") / BLOCK))
+    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    shift = F.coalesce(F.sum("s").over(earlier(Window.orderBy("block"))), F.lit(0))
+    blocks = per.groupBy("block").agg(F.sum("ios").alias("s")).select("block", shift.alias("shift"))
+    inside = F.coalesce(F.sum("ios").over(earlier(Window.partitionBy("block").orderBy("grp"))), F.lit(0))
+    joined = per.join(F.broadcast(blocks), "block")  # one row per 65,536 users
+    return joined.select("grp", "n", "ios", "before", (inside + F.col("shift")).alias("ios_before"))
 
 
 def detection_curve(ranked: DataFrame) -> DataFrame:
@@ -130,7 +137,5 @@ def method_ranks(scores: DataFrame) -> DataFrame:
     ``scores(dataset, metric, method, score)``; scores equal to 10 decimals tie.
     The window holds the methods of one dataset.
     """
-    from pyspark.sql import Window
-
     by = Window.partitionBy("dataset", "metric").orderBy(F.round("score", 10).desc())
     return scores.withColumn("rank", F.rank().over(by).cast("long"))

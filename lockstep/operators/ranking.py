@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lockstep.functions.scan import prefix_scan
+from lockstep.functions.scan import rank_scan
 
 _POWER = re.compile(r"L(\d+)")
 
@@ -88,9 +88,7 @@ def user_scores(pairs: DataFrame, mode: str = "Linf") -> DataFrame:
 
 def rank_users(scores: DataFrame) -> DataFrame:
     """Ranking of ``(account, score)``, best score first."""
-    groups = prefix_scan(scores.select("score").distinct(), [F.col("score").desc()], "g").select("score", (F.col("g") - 1).alias("grp"))
-    ranked = scores.join(groups, "score").select("account", "score", "grp")
-    return prefix_scan(ranked, [F.col("grp").asc(), F.col("account").asc()], "pos")
+    return rank_scan(scores.select("account", "score"), F.lit(0.0) - F.col("score"), "account")
 
 
 def legacy_ranking(pairs: DataFrame) -> DataFrame:
@@ -108,9 +106,6 @@ def refine(primary: DataFrame, *refiners: DataFrame) -> DataFrame:
     joined = primary.select("account", F.col("grp").alias("g0"))
     for i, other in enumerate(refiners, 1):
         joined = joined.join(other.select("account", F.col("grp").alias(f"g{i}")), "account", "left")
-    keys = [f"g{i}" for i in range(len(refiners) + 1)]
-    order = [F.col(k).asc_nulls_last() for k in keys]
-    groups = prefix_scan(joined.select(*keys).distinct(), order, "grp").withColumn("grp", F.col("grp") - 1).alias("g")
-    match = [F.col(f"j.{k}").eqNullSafe(F.col(f"g.{k}")) for k in keys]
-    ranked = joined.alias("j").join(groups, match).select("j.account", "g.grp")
-    return prefix_scan(ranked, [F.col("grp").asc(), F.col("account").asc()], "pos")
+    last = F.lit((1 << 63) - 1)
+    key = F.struct(*[F.coalesce(F.col(f"g{i}").cast("long"), last).alias(f"g{i}") for i in range(len(refiners) + 1)])
+    return rank_scan(joined, key, "account").select("account", "grp", "pos")

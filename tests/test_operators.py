@@ -179,6 +179,21 @@ def test_prefix_scan(spark):
     assert got == {k: (k + 1, k * (k + 1) // 2) for k in range(101)}
 
 
+def test_rank_scan_over_ranges(spark):
+    rng = random.Random(2)
+    rows = [(f"u{i:04}", float(rng.choice([1, 2, 2, 2, 3, rng.randrange(50)]))) for i in range(800)]
+    got = {r.account: (r.grp, r.pos) for r in ranking.rank_users(spark.createDataFrame(rows, "account string, score double").repartition(7)).collect()}
+    levels = sorted({s for _, s in rows}, reverse=True)
+    order = sorted(rows, key=lambda r: (-r[1], r[0]))
+    assert got == {a: (levels.index(s), i + 1) for i, (a, s) in enumerate(order)}
+
+
+def test_groups_over_blocks(spark, ranked, monkeypatch):
+    want = sorted(tuple(r) for r in evaluate.groups(ranked).collect())
+    monkeypatch.setattr(evaluate, "BLOCK", 2)
+    assert sorted(tuple(r) for r in evaluate.groups(ranked).collect()) == want == [(0, 3, 2, 0, 0), (1, 1, 0, 3, 2), (2, 1, 1, 4, 2)]
+
+
 def test_preparation(spark):
     triples = at(spark, [("a", "x", "2024-01-01T10:05:00"), ("a", "x", "2024-01-01T10:01:00"), ("a", "y", "2024-01-01T10:03:00"), ("b", "y", "2024-01-01T10:04:00")])
     assert sorted((r.account, r.object, r.ts.minute) for r in prepare.earliest(triples).collect()) == [("a", "x", 1), ("a", "y", 3), ("b", "y", 4)]
