@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lockstep.functions.scan import dense_index
 from lockstep.operators.coaction import coactions
+from lockstep.session import cut
 
 _M = 2_147_483_647
 
@@ -61,6 +64,71 @@ def replicate_auc(pairs: DataFrame, io: DataFrame) -> DataFrame:
     return sums.select("iter", value.alias("score"))
 
 
+def replicate_events(events: DataFrame, included: DataFrame) -> DataFrame:
+    """Events of every replicate's accounts; ``account`` and ``object`` become ``(iter, id)``.
+
+    Replicates so have no key in common, and whatever is counted per account,
+    pair or object is counted within its replicate.
+    """
+    known = events.filter("account is not null and object is not null and ts is not null").join(included, "account")
+    key = lambda c: F.struct("iter", F.col(c).alias("id")).alias(c)
+    return known.select(key("account"), key("object"), "ts")
+
+
+def replicate_pairs(pairs: DataFrame, included: DataFrame) -> DataFrame:
+    """``pairs(u1, u2, score)`` of every replicate that has both members, these as ``(iter, id)``; right for scores that do not hang on other accounts."""
+    one = included.select("iter", F.col("account").alias("u1"))
+    two = included.select("iter", F.col("account").alias("u2"))
+    key = lambda c: F.struct("iter", F.col(c).alias("id")).alias(c)
+    return pairs.join(one, "u1").join(two, ["iter", "u2"]).select(key("u1"), key("u2"), "score")
+
+
+def _places_gain(places: pd.Series) -> pd.Series:
+    """Sum of the NDCG discounts of the first so many places."""
+    gains = np.concatenate([[0.0], np.cumsum(1 / np.log2(np.arange(int(places.max() if len(places) else 0)) + 2.0))])
+    return pd.Series(gains[places.to_numpy(int)])
+
+
+def replicate_metrics(rankings: DataFrame, io: DataFrame, iterations: int, methods: list[str]) -> DataFrame:
+    """``(metric, method, iter, score)`` of ``rankings(method, iter, account, key)``: AUC, AP and NDCG, the greatest key first.
+
+    Every replicate is cut to the least number of users that a method ranks there;
+    a replicate in which some method ranks nobody scores 0.  Tie groups are windowed,
+    and users only of the one group that the cut divides, ids ascending.
+    """
+    flags = io.select("account").distinct().withColumn("is_io", F.lit(1))
+    users = cut(rankings.join(flags, "account", "left"), "replicate_users")
+    per = cut(users.groupBy("method", "iter", "key").agg(F.count("*").alias("n"), F.count("is_io").alias("ios")), "replicate_groups")
+    every = rankings.sparkSession.range(iterations).select(F.col("id").alias("iter"), F.explode(F.array(*[F.lit(m) for m in methods])).alias("method"))
+    sizes = every.join(per.groupBy("method", "iter").agg(F.sum("n").alias("users")), ["method", "iter"], "left")
+    x_max = sizes.groupBy("iter").agg(F.min(F.coalesce("users", F.lit(0))).alias("x_max"))
+    above = Window.partitionBy("method", "iter").orderBy(F.desc("key")).rowsBetween(Window.unboundedPreceding, -1)
+    before = lambda c: F.coalesce(F.sum(c).over(above), F.lit(0))
+    per = per.withColumns({"before": before("n"), "ios_before": before("ios")}).join(x_max, "iter").filter("before < x_max")
+    per = cut(per.withColumn("taken", F.least("n", F.col("x_max") - F.col("before"))), "replicate_cut")
+    divided = users.join(per.filter("taken < n").select("method", "iter", "key", "taken"), ["method", "iter", "key"])
+    place = F.row_number().over(Window.partitionBy("method", "iter").orderBy("account"))
+    inside = divided.withColumn("place", place).filter("place <= taken").groupBy("method", "iter").agg(F.count("is_io").alias("part"))
+    per = per.join(inside, ["method", "iter"], "left").withColumn("ios", F.when(F.col("taken") < F.col("n"), F.col("part")).otherwise(F.col("ios")))
+    gain = F.pandas_udf(_places_gain, "double")
+    end, others = F.col("before") + F.col("taken"), F.col("taken") - F.col("ios")
+    per = per.withColumns({"to": gain(end), "from": gain(F.col("before"))})
+    sums = per.groupBy("method", "iter").agg(
+        F.sum("ios").alias("p"),
+        F.sum(others).alias("q"),
+        F.sum(F.col("ios") * (F.col("before") - F.col("ios_before") + others / 2.0)).alias("lost"),
+        F.sum(F.col("ios") * (F.col("ios_before") + F.col("ios")) / end).alias("steps"),
+        F.sum(F.col("ios") * (F.col("to") - F.col("from")) / F.col("taken")).alias("dcg"),
+    )
+    p, q = F.col("p"), F.col("q")
+    auc = F.when((p > 0) & (q > 0), 1 - F.col("lost") / (p * q))
+    ndcg = F.when((p > 0) & (p + q >= 2), F.col("dcg") / F.col("best"))
+    scored = sums.withColumn("best", gain(p)).select("method", "iter", auc.alias("auc"), F.when(p > 0, F.col("steps") / p).alias("ap"), ndcg.alias("ndcg"))
+    scored = every.join(scored, ["method", "iter"], "left")
+    rows = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.round(F.coalesce(m, F.lit(0.0)), 9).alias("score")) for m in ("auc", "ap", "ndcg")]))
+    return scored.select("method", "iter", rows.alias("r")).select("r.metric", "method", "iter", "r.score")
+
+
 def percentile_ci(samples: DataFrame, by: list[str], value: str = "score", level: float = 95.0) -> DataFrame:
     """Mean and linearly interpolated percentile interval per group."""
     tail = (100.0 - level) / 200.0

@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lockstep.functions.columns import day_bucket, half_day_bucket
 from lockstep.operators.coaction import coactions
@@ -34,6 +35,7 @@ def weighted_pairs(events: DataFrame, variant: str = "1day", window_sec: float =
 
     A co-action over two buckets takes the mean of both.  ``min_coactions`` bounds
     the pair's distinct (buckets, object) combinations.  Weights of 0 are dropped.
+    Bootstrap replicates (objects that are ``(iter, id)``) have their own buckets each.
     """
     rule = VARIANTS[variant]
     bucketed = events.select("account", "object", "ts").withColumn("b", rule.of(F.col("ts")))
@@ -41,11 +43,12 @@ def weighted_pairs(events: DataFrame, variant: str = "1day", window_sec: float =
     if min_coactions > 1:
         enough = support.groupBy("u1", "u2").count().filter(F.col("count") >= min_coactions)
         support = support.join(enough.select("u1", "u2"), ["u1", "u2"], "left_semi")
-    buckets = support.select(F.explode(F.array("b0", "b1")).alias("b")).distinct()
+    part = (F.col("object.iter") if isinstance(events.schema["object"].dataType, StructType) else F.lit(0)).alias("part")
+    buckets = support.select(part, F.explode(F.array("b0", "b1")).alias("b")).distinct()
     objects = support.select("object").distinct()
     counted = bucketed.join(objects, "object", "left_semi")
     totals = counted.groupBy("object").agg(F.count("*").alias("total"))
-    popularity = counted.groupBy("object", "b").agg(F.count("*").alias("n")).join(buckets, "b", "left_semi")
+    popularity = counted.groupBy("object", "b").agg(F.count("*").alias("n")).select("*", part).join(buckets, ["part", "b"], "left_semi")
     popularity = popularity.select("object", "b", "n")
     looked = support.join(totals, "object")
     probes = {"p0": F.col("b0"), "p1": F.col("b1")}

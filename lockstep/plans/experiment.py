@@ -15,9 +15,11 @@ from pyspark.sql import functions as F
 
 from lockstep.functions.stats import choose_tests
 from lockstep.operators import bootstrap, evaluate
+from lockstep.operators.coaction import coaction_counts
 from lockstep.operators.extract import EXTRACTORS
 from lockstep.operators.prepare import earliest, first_labels, io_accounts
-from lockstep.plans.approaches import Approach, Lexicographic, all_approaches, create
+from lockstep.operators.ranking import user_scores
+from lockstep.plans.approaches import PLAIN, Approach, Lexicographic, all_approaches, create
 from lockstep.session import build_session, cut
 from lockstep.sources.readers import Dataset, Experiment, read_dataset, read_experiment, read_raw
 from lockstep.sources.writers import ci_report, load_result, matrix_report, save_result, write_dataset
@@ -100,11 +102,50 @@ def significance(scores: DataFrame, metric: str) -> dict[str, object]:
     return {"methods": methods, **choose_tests(np.array([[found[d, m] for m in methods] for d in datasets]))}
 
 
-def bootstrap_intervals(data: Dataset, dataset: str, approach: Approach, iterations: int = 1000, seed: int = 42, level: float = 95.0) -> DataFrame:
-    """AUC interval of the plain count ranking over user bootstraps."""
-    included = cut(bootstrap.inclusion(data.events.select("account").distinct(), iterations, seed), "included")
-    pairs = bootstrap.replicate_pair_counts(data.events, included, approach.window_sec, approach.min_coactions)
-    samples = bootstrap.replicate_auc(pairs, data.io).select(F.lit(dataset).alias("dataset"), F.lit("auc").alias("metric"), F.lit(approach.name).alias("method"), "iter", "score")
+def _replicate_keys(approach: Approach | Lexicographic, score: Callable[[Approach], DataFrame]) -> DataFrame:
+    """``(iter, account, key)`` of one approach; users that a later part does not rank come last."""
+    first, *rest = approach.parts if isinstance(approach, Lexicographic) else (approach,)
+    users = score(first).select("account", F.array("score").alias("key"))
+    for part in rest:
+        users = users.join(score(part), "account", "left").select("account", F.concat("key", F.array(F.coalesce("score", F.lit(float("-inf"))))).alias("key"))
+    return users.select("account.iter", F.col("account.id").alias("account"), "key")
+
+
+def bootstrap_samples(data: Dataset, approaches: list[Approach | Lexicographic], iterations: int = 1000, seed: int = 42) -> DataFrame:
+    """``(metric, method, iter, score)`` of every approach over the same replicates, cut to the users all of them rank.
+
+    Each approach scores, weighs and ranks within the replicate.  The plain count of
+    a pair does not hang on the other accounts, so its pairs are joined only once.
+    """
+    events = cut(data.events.select("account", "object", "ts"), "events")
+    included = cut(bootstrap.inclusion(events.select("account").distinct(), iterations, seed), "included")
+    sampled, found, plain = [], {}, {}
+
+    def pairs(a: Approach) -> DataFrame:
+        if a.key == PLAIN:
+            if a.window_sec not in plain:
+                plain[a.window_sec] = cut(coaction_counts(events, a.window_sec), "counts")
+            return bootstrap.replicate_pairs(plain[a.window_sec].filter(F.col("score") >= a.min_coactions), included)
+        if not sampled:
+            sampled.append(cut(bootstrap.replicate_events(events, included), "sampled"))
+        return a.pairs(sampled[0])
+
+    def score(a: Approach) -> DataFrame:
+        if a not in found:
+            found[a] = cut(user_scores(pairs(a), a.mode), "scores")
+        return found[a]
+
+    out = None
+    for a in {a.name: a for a in approaches}.values():
+        part = _replicate_keys(a, score).select(F.lit(a.name).alias("method"), "iter", "account", "key")
+        out = part if out is None else out.unionByName(part)
+    return bootstrap.replicate_metrics(out, data.io, iterations, sorted({a.name for a in approaches}))
+
+
+def bootstrap_intervals(data: Dataset, dataset: str, approaches: Approach | Lexicographic | list[Approach | Lexicographic], iterations: int = 1000, seed: int = 42, level: float = 95.0) -> DataFrame:
+    """AUC, AP and NDCG intervals over user bootstraps, one per approach and metric."""
+    approaches = approaches if isinstance(approaches, list) else [approaches]
+    samples = bootstrap_samples(data, approaches, iterations, seed).withColumn("dataset", F.lit(dataset))
     return bootstrap.percentile_ci(samples, ["dataset", "metric", "method"], level=level)
 
 
@@ -145,9 +186,9 @@ def main(arguments: list[str] | None = None) -> None:
     else:
         for dataset in config.datasets:
             data = read_dataset(spark, f"{config.data_dir}/{dataset}")
-            for a in approaches_of(config):
-                if isinstance(a, Approach):
-                    print(ci_report(bootstrap_intervals(data, dataset, a, options.iterations, options.seed, options.ci), dataset, "auc", options.ci))
+            intervals = cut(bootstrap_intervals(data, dataset, approaches_of(config), options.iterations, options.seed, options.ci), "intervals")
+            for name in evaluate.METRICS:
+                print(ci_report(intervals, dataset, name, options.ci))
 
 
 if __name__ == "__main__":

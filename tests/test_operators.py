@@ -12,7 +12,7 @@ from lockstep.functions.columns import half_day_bucket, normalise_text
 from lockstep.functions.scan import prefix_scan
 from lockstep.operators import bootstrap, coaction, daily, evaluate, extract, prepare, profile, ranking, weighted
 from lockstep.plans import approaches
-from lockstep.plans.experiment import analyse, bootstrap_intervals, measure, prepare as prepare_dataset, run, significance
+from lockstep.plans.experiment import analyse, bootstrap_intervals, bootstrap_samples, measure, prepare as prepare_dataset, run, significance
 from lockstep.sources import readers, writers
 from lockstep.streaming.live import live_activity, live_coactions
 
@@ -393,3 +393,26 @@ def test_live_coactions(spark, tmp_path):
         query.stop()
     assert [(r.u1, r.u2, r.object) for r in spark.table("met").collect()] == [("a", "b", "o")]
     assert {(r.object, r.n) for r in spark.table("act").collect()} == {("o", 3), ("p", 1)}
+
+
+def test_bootstrap_of_every_approach_against_single_replicates(spark):
+    rng = random.Random(4)
+    rows = {(f"u{rng.randrange(14)}", f"o{rng.randrange(5)}"): (rng.randrange(3) * 86_400 + rng.randrange(150)) for _ in range(110)}
+    seen = spark.createDataFrame([(a, o, T0 + timedelta(seconds=t)) for (a, o), t in rows.items()], "account string, object string, ts timestamp").cache()
+    data = readers.Dataset(seen, spark.createDataFrame([(f"u{i}",) for i in range(0, 14, 3)], "account string"))
+    lex = approaches.create({"name": "lexicographic", "approaches": ["coretweets", "coretweets_weighted_1day"], "ranking_modes": ["max", "L2"]})
+    methods = [approaches.create("coretweets"), approaches.create("coretweets[L1]", min_coactions=2), approaches.create("coretweets_weighted_2days[L2]"), lex]
+    got = {(r.metric, r.method, r.iter): r.score for r in bootstrap_samples(data, methods, 3).collect()}
+    included = bootstrap.inclusion(seen.select("account").distinct(), 3, 42).cache()
+    want = {}
+    for i in range(3):
+        mine = seen.join(included.filter(F.col("iter") == i), "account", "left_semi").cache()
+        ranks = {a.name: a.rank(mine).cache() for a in methods}
+        x_max = evaluate.common_x_max(*ranks.values())
+        for name, r in ranks.items():
+            for m in evaluate.METRICS:
+                want[m, name, i] = value(evaluate.metric(m, evaluate.labelled(r, data.io), x_max))
+    assert got.keys() == want.keys() and got == pytest.approx(want, abs=1e-8)
+    assert len({tuple(got["auc", a.name, i] for i in range(3)) for a in methods}) > 1
+    intervals = bootstrap_intervals(data, "X", methods, 3).collect()
+    assert {(r.metric, r.method) for r in intervals} == {(m, a.name) for m in evaluate.METRICS for a in methods}
