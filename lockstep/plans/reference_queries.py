@@ -154,8 +154,8 @@ QUERIES = {
     "coaction_pairs_min2": lambda s, d: _pairs(s, d, 2),
     "filter_events_semi": lambda s, d: coaction.synchronous_events(_kept(s, d), WINDOW, 2),
     "same_object_days": lambda s, d: coaction.same_object_days(_events(s, d), WINDOW),
-    "ignoring_object_days": lambda s, d: daily.coincide_any_object(_events(s, d), 1),
-    "shared_object_days": lambda s, d: daily.coincide_shared_objects(_events(s, d), 1),
+    "ignoring_object_days": lambda s, d: daily.coincide_any_object(_events(s, d), WINDOW),
+    "shared_object_days": lambda s, d: daily.coincide_shared_objects(_events(s, d), WINDOW),
     "weighted_1day": _weighted("1day"),
     "weighted_2days": _weighted("2days"),
     "weighted_12h": _weighted("12h"),

@@ -11,7 +11,7 @@ from lockstep.functions import stats
 from lockstep.functions.columns import half_day_bucket, normalise_text
 from lockstep.functions.scan import prefix_scan
 from lockstep.operators import bootstrap, coaction, daily, evaluate, extract, prepare, profile, ranking, weighted
-from lockstep.plans import approaches
+from lockstep.plans import approaches, reference_queries
 from lockstep.plans.experiment import analyse, bootstrap_intervals, bootstrap_samples, measure, prepare as prepare_dataset, run, significance
 from lockstep.sources import readers, writers
 from lockstep.streaming.live import live_activity, live_coactions
@@ -416,3 +416,11 @@ def test_bootstrap_of_every_approach_against_single_replicates(spark):
     assert len({tuple(got["auc", a.name, i] for i in range(3)) for a in methods}) > 1
     intervals = bootstrap_intervals(data, "X", methods, 3).collect()
     assert {(r.metric, r.method) for r in intervals} == {(m, a.name) for m in evaluate.METRICS for a in methods}
+
+
+@pytest.mark.parametrize("name", ["ignoring_object_days", "shared_object_days"])
+def test_registered_day_queries_use_the_minute(spark, tmp_path, name):
+    rows = [("a", 0, "x"), ("b", 45, "x"), ("c", 106, "x")]
+    posts = [(u, 1_704_100_000_000 + s * 1000, o, [], "", "1") for u, s, o in rows]
+    spark.createDataFrame(posts, "userid string, tweet_time bigint, retweet_tweetid string, hashtags array<string>, tweet_text string, good string").write.parquet(str(tmp_path / "cimaio_posts.parquet"))
+    assert [tuple(r) for r in reference_queries.QUERIES[name](spark, str(tmp_path)).collect()] == [("a", "b", 1)]
