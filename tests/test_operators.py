@@ -424,3 +424,11 @@ def test_registered_day_queries_use_the_minute(spark, tmp_path, name):
     posts = [(u, 1_704_100_000_000 + s * 1000, o, [], "", "1") for u, s, o in rows]
     spark.createDataFrame(posts, "userid string, tweet_time bigint, retweet_tweetid string, hashtags array<string>, tweet_text string, good string").write.parquet(str(tmp_path / "cimaio_posts.parquet"))
     assert [tuple(r) for r in reference_queries.QUERIES[name](spark, str(tmp_path)).collect()] == [("a", "b", 1)]
+
+
+def test_registered_bootstrap_has_all_replicates_and_metrics(spark, tmp_path):
+    rng = random.Random(2)
+    posts = [(f"u{rng.randrange(9)}", 1_704_100_000_000 + rng.randrange(200_000), f"o{rng.randrange(4)}", [], "", str(rng.randrange(2))) for _ in range(60)]
+    spark.createDataFrame(posts, "userid string, tweet_time bigint, retweet_tweetid string, hashtags array<string>, tweet_text string, good string").write.parquet(str(tmp_path / "cimaio_posts.parquet"))
+    per = reference_queries._samples(spark, str(tmp_path)).groupBy("metric", "method").agg(F.count_distinct("iter").alias("n")).collect()
+    assert {(r.metric, r.method): r.n for r in per} == {(m, k): 1000 for m in evaluate.METRICS for k in ("min1", "min2")}
