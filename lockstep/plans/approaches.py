@@ -52,8 +52,9 @@ def register_approach(key: str, name: str, scorer: Scorer) -> None:
 class Approach:
     """One pair scorer with its ranking mode.
 
-    With ``filtering`` events are first reduced to accounts with a co-action; the
-    plain count never needs it.
+    With ``filtering`` events are first reduced to accounts with a pair of
+    ``filter_min_coactions``, whatever ``min_coactions`` is; the plain count never
+    needs it.
     """
 
     key: str
@@ -61,6 +62,7 @@ class Approach:
     min_coactions: int = 1
     mode: str = "Linf"
     filtering: bool | None = None
+    filter_min_coactions: int = 1
 
     def __post_init__(self):
         if self.key not in KINDS:
@@ -85,7 +87,7 @@ class Approach:
         return {"approach_key": self.key, "approach_name": KINDS[self.key].name, "window_sec": self.window_sec, "min_coactions": self.min_coactions, "ranking_mode": self.mode}
 
     def pairs(self, events: DataFrame) -> DataFrame:
-        kept = synchronous_events(events, self.window_sec, self.min_coactions) if self.filtering else events
+        kept = synchronous_events(events, self.window_sec, self.filter_min_coactions) if self.filtering else events
         return KINDS[self.key].scorer(kept, self.window_sec, self.min_coactions)
 
     def rank(self, events: DataFrame) -> DataFrame:
@@ -131,9 +133,9 @@ def _spread(value, size: int, what: str) -> list:
     return value
 
 
-def _count(value) -> int:
+def _count(value, what: str = "min_coactions") -> int:
     if isinstance(value, bool) or not isinstance(value, int) or value < 1:
-        raise ValueError(f"min_coactions must be an integer of 1 or more, not {value!r}")
+        raise ValueError(f"{what} must be an integer of 1 or more, not {value!r}")
     return value
 
 
@@ -143,13 +145,15 @@ def _flag(value) -> bool | None:
     return value
 
 
-def create(spec: str | dict, window_sec: float = 60, min_coactions: int = 1, mode: str = "Linf") -> Approach | Lexicographic:
+def create(spec: str | dict, window_sec: float = 60, min_coactions: int = 1, mode: str = "Linf", filter_min_coactions: int | None = None) -> Approach | Lexicographic:
     """An approach from ``key``, ``key[mode]`` or a dictionary; raises ValueError for anything else.
 
     Dictionaries have ``name`` and may have ``min_coactions``, ``ranking_mode`` and
     ``need_filtering``; the name ``lexicographic`` takes ``approaches`` and, single
     or as lists, ``ranking_modes``, ``min_coactions`` and ``need_filtering``.
+    ``filter_min_coactions``, 1 where it is None, holds for all parts.
     """
+    enough = 1 if filter_min_coactions is None else _count(filter_min_coactions, "filter_min_coactions")
     if isinstance(spec, str):
         spec = {"name": spec}
     if not isinstance(spec, dict) or not spec.get("name"):
@@ -162,8 +166,8 @@ def create(spec: str | dict, window_sec: float = 60, min_coactions: int = 1, mod
         modes = _spread(spec.get("ranking_modes", mode), len(subs), "ranking_modes")
         least = _spread(spec.get("min_coactions", min_coactions), len(subs), "min_coactions")
         flags = _spread(spec.get("need_filtering", True), len(subs), "need_filtering")
-        return Lexicographic(tuple(Approach(k, window_sec, _count(c), m, _flag(f)) for k, m, c, f in zip(subs, modes, least, flags)))
-    base = Approach(name.split("[")[0] if name.endswith("]") else name, window_sec, _count(spec.get("min_coactions", min_coactions)), spec.get("ranking_mode", mode), _flag(spec.get("need_filtering")))
+        return Lexicographic(tuple(Approach(k, window_sec, _count(c), m, _flag(f), enough) for k, m, c, f in zip(subs, modes, least, flags)))
+    base = Approach(name.split("[")[0] if name.endswith("]") else name, window_sec, _count(spec.get("min_coactions", min_coactions)), spec.get("ranking_mode", mode), _flag(spec.get("need_filtering")), enough)
     return replace(base, mode=name[:-1].split("[", 1)[1], filtering=_flag(spec.get("need_filtering"))) if name.endswith("]") else base
 
 
@@ -172,9 +176,10 @@ def validate(spec: str | dict) -> None:
     create(spec)
 
 
-def all_approaches(window_sec: float = 60, min_coactions: int = 1, mode: str = "Linf") -> list[Approach]:
+def all_approaches(window_sec: float = 60, min_coactions: int = 1, mode: str = "Linf", filter_min_coactions: int | None = None) -> list[Approach]:
     """One approach per registered key."""
-    return [Approach(key, window_sec, min_coactions, mode) for key in KINDS]
+    enough = 1 if filter_min_coactions is None else _count(filter_min_coactions, "filter_min_coactions")
+    return [Approach(key, window_sec, min_coactions, mode, filter_min_coactions=enough) for key in KINDS]
 
 
 def approach_names() -> dict[str, str]:

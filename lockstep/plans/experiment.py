@@ -40,8 +40,8 @@ def prepare(spark: SparkSession, kind: str, paths: str | list[str], folder: str,
 def approaches_of(config: Experiment) -> list[Approach | Lexicographic]:
     """Approaches of an experiment; all registered ones where none are given."""
     if config.approaches is None:
-        return list(all_approaches(config.window_sec))
-    return [create(spec, config.window_sec) for spec in config.approaches]
+        return list(all_approaches(config.window_sec, filter_min_coactions=config.filter_min_coactions))
+    return [create(spec, config.window_sec, filter_min_coactions=config.filter_min_coactions) for spec in config.approaches]
 
 
 def process(data: Dataset, root: str, dataset: str, approach: Approach | Lexicographic, force: bool = False) -> bool | None:

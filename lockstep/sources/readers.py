@@ -110,6 +110,7 @@ class Experiment:
     approaches: list | None = None
     datasets: list[str] = field(default_factory=list)
     force: bool = False
+    filter_min_coactions: int | None = None
 
 
 def read_experiment(path: str) -> Experiment:

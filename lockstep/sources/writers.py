@@ -26,7 +26,7 @@ def write_dictionaries(accounts: DataFrame, objects: DataFrame, folder: str) ->
 def result_key(approach: Approach | Lexicographic) -> str:
     """Storage key with a hash of every parameter, so that no setting can hit another's result."""
     parts = approach.parts if isinstance(approach, Lexicographic) else (approach,)
-    said = json.dumps([[p.key, p.window_sec, p.min_coactions, p.mode, p.filtering] for p in parts])
+    said = json.dumps([[p.key, p.window_sec, p.min_coactions, p.mode, p.filtering, p.filter_min_coactions] for p in parts])
     return f"{approach.storage_key}-{hashlib.sha256(said.encode()).hexdigest()[:12]}"
 
 

@@ -12,7 +12,7 @@ from lockstep.functions.columns import half_day_bucket, normalise_text
 from lockstep.functions.scan import prefix_scan
 from lockstep.operators import bootstrap, coaction, daily, evaluate, extract, prepare, profile, ranking, weighted
 from lockstep.plans import approaches, reference_queries
-from lockstep.plans.experiment import analyse, bootstrap_intervals, bootstrap_samples, measure, prepare as prepare_dataset, run, significance
+from lockstep.plans.experiment import analyse, approaches_of, bootstrap_intervals, bootstrap_samples, measure, prepare as prepare_dataset, run, significance
 from lockstep.sources import readers, writers
 from lockstep.streaming.live import live_activity, live_coactions
 
@@ -432,3 +432,18 @@ def test_registered_bootstrap_has_all_replicates_and_metrics(spark, tmp_path):
     spark.createDataFrame(posts, "userid string, tweet_time bigint, retweet_tweetid string, hashtags array<string>, tweet_text string, good string").write.parquet(str(tmp_path / "cimaio_posts.parquet"))
     per = reference_queries._samples(spark, str(tmp_path)).groupBy("metric", "method").agg(F.count_distinct("iter").alias("n")).collect()
     assert {(r.metric, r.method): r.n for r in per} == {(m, k): 1000 for m in evaluate.METRICS for k in ("min1", "min2")}
+
+
+def test_filter_has_its_own_threshold(spark, tmp_path):
+    # c meets a only once, so it stays for the totals of x, of which a and b have two pairs
+    df = events(spark, [("a", "x", 0), ("b", "x", 10), ("c", "x", 86_400), ("a", "y", 500), ("b", "y", 510), ("c", "z", 0), ("a", "z", 20)])
+    spec = {"name": "coretweets_weighted_1day", "min_coactions": 2}
+    score = lambda a: {(r.u1, r.u2): r.score for r in a.pairs(df).collect()}
+    assert score(approaches.create(spec)) == {("a", "b"): pytest.approx(2 / 3 + 1)}
+    assert score(approaches.create(spec, filter_min_coactions=2)) == {("a", "b"): pytest.approx(2.0)}
+    assert writers.result_key(approaches.create(spec)) != writers.result_key(approaches.create(spec, filter_min_coactions=2))
+    (tmp_path / "c.json").write_text('{"name": "e", "filter_min_coactions": 3, "approaches": ["coretweets_weighted_12h", {"name": "lexicographic", "approaches": ["coretweets", "coretweets_weighted_1day"]}]}')
+    one, lex = approaches_of(readers.read_experiment(str(tmp_path / "c.json")))
+    assert [p.filter_min_coactions for p in (one, *lex.parts)] == [3, 3, 3]
+    with pytest.raises(ValueError):
+        approaches.create(spec, filter_min_coactions=0)
