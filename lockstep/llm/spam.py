@@ -93,7 +93,7 @@ def content_lines(text: str) -> list[str]:
 
 
 def line_kind(line: str) -> str:
-    """``data``, ``prose``, ``code``, ``head`` (a heading) or ``list``."""
+    """``data``, ``prose``, ``code``, ``head`` (a heading), ``reference`` (a link as prose or code may cite it) or ``list``."""
     low = line.lower()
     if any(c in low for c in "34015"):
         low = _plain(low)
@@ -102,7 +102,7 @@ def line_kind(line: str) -> str:
     if function >= 2 and function * 6 >= len(found) >= 4:
         return "prose"
     if _LINK.search(low):
-        return "code" if _REFERENCE.match(low) else "list"
+        return "reference" if _REFERENCE.match(low) else "list"
     if _HEADING.match(line):
         return "head"
     if len(_ITEMS.findall(line)) >= 3 and not _BRACKETS.search(line):
@@ -126,8 +126,8 @@ def measure(text: str | None) -> tuple[int, float, float, float]:
     lines = content_lines(text or "")
     if not lines:
         return 0, 1.0, 0.0, 0.0
-    size = {"data": 0, "prose": 0, "code": 0, "list": 0, "head": 0}
-    talk = 0
+    size = {"data": 0, "prose": 0, "code": 0, "list": 0, "head": 0, "reference": 0}
+    talk = cited = beside = 0
     for i, line in enumerate(lines):
         kind = line_kind(line)
         if i == 0 and len(lines) > 2 and len(line) <= 120:
@@ -136,6 +136,10 @@ def measure(text: str | None) -> tuple[int, float, float, float]:
             talk = len(line)  # a line of talk
             continue
         size[kind] += len(line)
+        cited += kind == "reference"
+        beside += kind in ("prose", "code", "data")
+    # references stand beside what refers to them; a page of them is a list of links
+    size["list" if cited > max(2, beside) else "code"] += size.pop("reference")
     total = sum(size.values()) - size["head"]
     body = "\n".join(lines)
     marks = len(re.findall(r"[^\W\d_]{2}[.!?](?:\s|$)", body)) / max(1, len(_WORD.findall(body)))
@@ -169,7 +173,7 @@ def redundancy(documents: DataFrame) -> DataFrame:
     return rows.join(expected, ["lang", "class"]).select("doc_id", "chars", "ratio", "expected", "listed", "marks")
 
 
-def stuffed_documents(documents: DataFrame, min_chars: int = 150, max_relative: float = 1.1, max_ratio: float = 0.7, min_listed: float = 0.6, max_marks: float = 0.04) -> DataFrame:
+def stuffed_documents(documents: DataFrame, min_chars: int = 1, max_relative: float = 1.1, max_ratio: float = 0.7, min_listed: float = 0.6, max_marks: float = 0.04) -> DataFrame:
     """Documents that are keyword stuffing or lists of links, with their measures.
 
     ``max_relative`` is the ratio against the class above which a document counts

@@ -317,3 +317,21 @@ def test_queries_have_their_columns(spark, sf):
     for name, wanted in columns.items():
         assert queries.QUERIES[name](spark, sf).columns == wanted.split(), name
     assert json.dumps(sorted(queries.ORACLE))
+
+
+def test_pages_of_reference_lines_and_short_stuffing(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abcdefghiklmnoprstuvw", k=7))
+    said = [f"Fix the {word()} of the {word()} before the {word()} is {word()}.\n    " for _ in range(60)]
+    texts = {
+        "labelled": "\n    ".join(f"cheap {w}: https://{w}{i}.example/x" for i, w in enumerate(["toys", "shoes", "bags"] * 8)),
+        "see": "\n    ".join(f"See https://shop{i}.example buy cheap toys" for i in range(20)),
+        "short": "buy cheap toys outlet " * 5,
+        "cited": "".join(said[:9]) + "Release notes: https://a.example/1\n    See https://b.example/2",
+        "brief": "Fix typo in parser",
+    }
+    filler = [*said, *["".join(said[i : i + 12]) for i in range(0, 48, 6)]]
+    names = [*texts, *[f"f{i}" for i in range(len(filler))]]
+    rows = [(i, HEAD + "note\n\n    " + t, "en") for i, t in enumerate([*texts.values(), *filler])]
+    got = {names[r.doc_id] for r in spam.stuffed_documents(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert got == {"labelled", "see", "short"}
