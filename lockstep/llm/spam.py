@@ -1,12 +1,12 @@
-"""Keyword-stuffed and link-list documents, by block-wise compression.
+"""Keyword-stuffed and link-list documents, by the kinds of their lines.
 
 For each document the content is taken apart from the commit header and the diff
-framing, and cut into blocks; the mean compression ratio of the blocks is divided
-by the median ratio of documents of the same language and length class, over the
-whole corpus.  A ratio clearly below its class marks redundancy.  Code, data files
-and generated lists are redundant too, so a document is confirmed only if most of
-its content is neither sentences (punctuated, with function words) nor code or
-data, apart from its first line and a line of talk.
+framing.  A document is reported if most of its content is neither sentences
+(punctuated, with function words) nor code or data, apart from its first line and
+a line of talk.  The mean compression ratio of its blocks, against the median of
+documents of the same language and length class over the whole corpus, is only a
+bound: it keeps out contents more diverse than their class, and decides little
+(figures in the README).
 
 Defined results: null and empty texts and contents below ``min_chars`` are no
 case; a null or unknown language forms a class of its own; texts are read whole;
