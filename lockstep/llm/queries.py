@@ -143,7 +143,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_redundancy(spark: SparkSession, d: str) -> DataFrame:
-    """Compression ratio of every document, what its class would have, and the shares that confirm spam."""
+    """Compression ratio of every document with content, what its language would have, and its sentence punctuation."""
     return redundancy(table(spark, d, "documents"))
 
 

@@ -1,41 +1,53 @@
-"""Keyword-stuffed and link-list documents, by the kinds of their lines.
-
-For each document the content is taken apart from the commit header and the diff
-framing.  A document is reported if most of its content is neither sentences
-(punctuated, with function words) nor code or data, apart from its first line and
-a line of talk.  The mean compression ratio of its blocks, against the median of
-documents of the same language and length class over the whole corpus, is only a
-bound: it keeps out contents more diverse than their class, and decides little
-(figures in the README).
-
-Defined results: null and empty texts and contents below ``min_chars`` are no
-case; a null or unknown language forms a class of its own; texts are read whole;
-repeated documents get the same answer each.
+"""Keyword-stuffed and link-list documents, by block-wise compression.
+
+The content of a document, apart from commit header and framing of diffs and
+merges, is split by language: message and files of prose (text, markup) have the
+document's language, other files that of their kind.  Of a diff the added and kept
+lines count, the removed ones only where nothing else is there.  Blocks of about
+512 bytes are compressed one by one, letters in lower case and digits that stand for
+letters spelled out.  What a block should come to is the median ratio of blocks of
+its length over the whole corpus, times the median factor of its language.  The
+redundancy of a document is how many robust deviations (median absolute deviation
+of its language) its content lies below that: extreme redundancy flags it.
+
+Flagged documents are confirmed by the density of sentence punctuation: the share
+of content on lines that are closed by the mark of a sentence (``. ! ?`` after a
+word) or of a statement (``; { } ) :``), tags left out and links taken as a word.  Keyword and link
+lists have hardly any.
+
+Defined results: null and empty texts, and contents below ``min_bytes``, which do
+not compress at all, are no case; a null or unknown language forms a class of its
+own, as do all kinds of files with fewer than ``RARE`` documents together; texts
+are read whole; repeated documents count each and get the same answer each; an
+empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lockstep.session import cut
 
 BLOCK = 512
-
-# Function words of English, German, Spanish and Portuguese.
-FUNCTION_WORDS = frozenset(
-    """the a an is are was were to of and or so that when if it its this then than but not no with without for from by as at be
-    been we you they he she our your their which while both can could would will must may now just only also after before until how what here
-    there into on off over under has have had do does did
-    der die das und ist nicht wenn wir auch ein eine mit für von auf wird sind jetzt nun weil sie des den dem bei als mehr zu im an aus
-    el la los las y que se un una de del en cuando para por ya si más
-    o os e não uma com quando está do da em ao""".split()
-)
+#: Languages of fewer documents are pooled.
+RARE = 20
+#: The least deviation of a language, so that one of equal files does not flag noise.
+LEAST_SPREAD = 0.05
+#: Sections below this do not enter the spread of their language.
+STEADY = 100
+
+# Kinds of files that hold prose.
+PROSE = frozenset("adoc htm html markdown md rst tex txt xhtml".split())
+# Digits that stand for letters in disguised words.
+_DISGUISE = str.maketrans("34015", "eaois")
 
 _HEADER = re.compile(
     r"(commit [0-9a-f]{7,64}|From [0-9a-f]{40} .*|(?:Author|AuthorDate|Commit|CommitDate|Date|From|Subject|Merge|Signed-off-by|Reviewed-by|"
@@ -45,142 +57,139 @@ _FRAMING = re.compile(
     r"(index [0-9a-f]+\.\.[0-9a-f]+.*|(?:---|\+\+\+) .*|@@ .*|(?:new|deleted) file mode .*|(?:old|new) mode .*|similarity index .*|"
     r"rename (?:from|to) .*|\\ No newline.*|GIT binary patch|Binary files .*|(?:literal|delta) \d+)$"
 )
-_BINARY = re.compile(r"[a-zA-Z][!-~]{30,}$")
-_MARKUP = re.compile(r"<[^<>]*>|https?://\S+|www\.\S+")
-_REFERENCE = re.compile(r'resolved "|"|see |\S+ = |[a-z][a-z -]{2,30}: https?://\S+$')
-_HEADING = re.compile(r"#{1,6} \S+(?: \S+){0,7}$")
-_ITEMS = re.compile(r"[^\W_][,;/|>] ")
-_BRACKETS = re.compile(r"[(){}=]")
-_WORD = re.compile(r"[^\W_]+")
-_LINK = re.compile(r"https?:|hxxps?:|www\.|href|\w ?(?:\.|\(\.\)|\[\.\]|\[dot\]|\(dot\)| dot ) ?(?:example|test|invalid|com|net|org|info|shop|biz|io)\b(?!\()", re.I)
-_CODE = re.compile(
-    r"""^[{}()\[\];,]+$|^(?://|\#\s|/\*|\*/|--\s)|\{$|\)\s*[;{]$|=[^=].*;$|:=|==|->|=>|\w\(.*\)
-    |^(?:def|class|import|from|return|func|fn|if|for|while|let|const|var|export|package|module|require|type|struct|(?:public|private)\ (?:static|final|class|void|int|String))\b
-    |^(?:SELECT|INSERT|ALTER|CREATE|UPDATE|DELETE|DROP|AND|OR|WHERE|JOIN|ORDER|GROUP)\b
-    |^[\w.\-"]+\s*[:=]\s*\S*$|^-\ name:|^/\S+/?\s+@|^[.\#][\w.\-]+(?::\w+)?[,\s]*\{?$|^"[^"]+":|^(?:version|resolved|integrity)\s
-    |^-----|^(?:<<<<<<<|>>>>>>>|=======)|^[\w./\-]+/[\w.\-]+\.\w{1,10}$|^(?:Authorization|Conflicts)\b""",
-    re.X,
-)
-# Digits that stand for letters in disguised words.
-_DISGUISE = str.maketrans("34015", "eaois")
-#: Longer lines are judged in pieces, which keeps the patterns' time in proportion to the text.
-_PIECE = 1000
+_CONFLICT = ("<<<<<<<", "=======", ">>>>>>>")
+_TAG = re.compile(r"<[^<>]*>")
+_LINK = re.compile(r"\]\([^()]*\)|[a-z]{1,10}://\S+|www\.\S+", re.I)
+_CLOSED = re.compile(r"(?:[^\W\d_]{2}[\"')]*[.!?]|[;{}):])[\"'`]*$")
+#: Closing marks that also separate the items of a list.
+_SEPARATORS = ";:"
 
 
-def _plain(text: str) -> str:
-    """Words that mix letters and digits, without their disguise."""
-    return _WORD.sub(lambda m: m[0].translate(_DISGUISE) if not (m[0].isalpha() or m[0].isdigit()) else m[0], text)
+def _kind(path: str) -> str:
+    name = path.rsplit("/", 1)[-1].lower()
+    return name.rsplit(".", 1)[-1]
 
 
-def content_lines(text: str) -> list[str]:
-    """Lines without commit header, diff framing and change marks; long ones in pieces."""
-    out, in_diff = [], False
+def sections(text: str, lang: str) -> dict[str, list[str]]:
+    """Lines of content per language."""
+    kept: dict[str, list[str]] = {}
+    removed: dict[str, list[str]] = {}
+    at, in_diff = lang, False
     for line in text.splitlines():
+        to = kept
         if line.startswith("diff --git "):
-            in_diff = True
+            in_diff, kind = True, _kind(line)
+            at = lang if kind in PROSE else f".{kind}"
             continue
         if in_diff:
             if _FRAMING.match(line):
                 continue
-            line = line[1:] if line[:1] in ("+", "-", " ") else line
+            mark = line[:1]
+            if mark in ("+", "-", " "):
+                line = line[1:]
+                to = removed if mark == "-" else kept
         elif _HEADER.match(line):
             continue
         line = line.strip()
-        for i in range(0, len(line), _PIECE):
-            if piece := line[i : i + _PIECE].strip():
-                out.append(piece)
-    return out
+        if line and not line.startswith(_CONFLICT):
+            to.setdefault(at, []).append(line)
+    for at, lines in removed.items():
+        kept.setdefault(at, lines)
+    return kept
 
 
-def line_kind(line: str) -> str:
-    """``data``, ``prose``, ``code``, ``head`` (a heading), ``reference`` (a link as prose or code may cite it) or ``list``."""
-    low = line.lower()
-    if any(c in low for c in "34015"):
-        low = _plain(low)
-    found = _WORD.findall(_MARKUP.sub(" ", low))
-    function = sum(w in FUNCTION_WORDS for w in found)
-    if function >= 2 and function * 6 >= len(found) >= 4:
-        return "prose"
-    if _LINK.search(low):
-        return "reference" if _REFERENCE.match(low) else "list"
-    if _HEADING.match(line):
-        return "head"
-    if len(_ITEMS.findall(line)) >= 3 and not _BRACKETS.search(line):
-        return "list"
-    if _BINARY.match(line):
-        return "data"
-    return "code" if _CODE.search(line) else "list"
-
-
-def compression(data: bytes) -> float:
-    """Mean ratio of compressed to raw size of blocks, the last two of about equal size."""
-    if not data:
-        return 1.0
-    parts = max(1, round(len(data) / BLOCK))
-    step = -(-len(data) // parts)
-    return sum(len(zlib.compress(data[i : i + step], 6)) for i in range(0, len(data), step)) / len(data)
-
-
-def measure(text: str | None) -> tuple[int, float, float, float]:
-    """Characters of content, compression ratio, share of lists, sentence marks per word."""
-    lines = content_lines(text or "")
-    if not lines:
-        return 0, 1.0, 0.0, 0.0
-    size = {"data": 0, "prose": 0, "code": 0, "list": 0, "head": 0, "reference": 0}
-    talk = cited = beside = 0
-    for i, line in enumerate(lines):
-        kind = line_kind(line)
-        if i == 0 and len(lines) > 2 and len(line) <= 120:
-            continue  # the subject
-        if kind == "prose" and not talk and len(line) <= 160:
-            talk = len(line)  # a line of talk
-            continue
-        size[kind] += len(line)
-        cited += kind == "reference"
-        beside += kind in ("prose", "code", "data")
-    # references stand beside what refers to them; a page of them is a list of links
-    size["list" if cited > max(2, beside) else "code"] += size.pop("reference")
-    total = sum(size.values()) - size["head"]
-    body = "\n".join(lines)
-    marks = len(re.findall(r"[^\W\d_]{2}[.!?](?:\s|$)", body)) / max(1, len(_WORD.findall(body)))
-    return len(body), compression(body.encode("utf-8", "replace")), size["list"] / total if total else 0.0, marks
+def closed(line: str) -> bool:
+    """Whether a line ends like a sentence or a statement."""
+    plain = _TAG.sub("", _LINK.sub("x", line)).rstrip()
+    if not _CLOSED.search(plain[-200:]):
+        return False
+    return plain[-1] not in _SEPARATORS or plain.count(plain[-1]) == 1
+
 
+def blocks(data: bytes) -> Iterator[tuple[int, int]]:
+    """Raw and compressed sizes of blocks, all but the last of equal size."""
+    if data:
+        step = -(-len(data) // max(1, round(len(data) / BLOCK)))
+        for i in range(0, len(data), step):
+            part = data[i : i + step]
+            yield len(part), len(zlib.compress(part, 9))
 
-_SCHEMA = "doc_id bigint, lang string, chars bigint, ratio double, listed double, marks double"
+
+def measure(text: str | None, lang: str) -> list[tuple[str, int, int, int, int, int]]:
+    """``(language, size_class, raw, packed, chars, closed_chars)`` per section and class of block lengths.
+
+    There are at most two classes in a section; the characters stand with the first.
+    """
+    out = []
+    for language, lines in sections(text or "", lang).items():
+        per: dict[int, list[int]] = {}
+        for raw, packed in blocks("\n".join(lines).lower().translate(_DISGUISE).encode("utf-8", "replace")):
+            sums = per.setdefault(int(4 * math.log2(raw)), [0, 0])
+            sums[0] += raw
+            sums[1] += packed
+        chars, shut = sum(map(len, lines)), sum(len(x) for x in lines if closed(x))
+        for size_class, (raw, packed) in per.items():
+            out.append((language, size_class, raw, packed, chars, shut))
+            chars = shut = 0
+    return out
+
+
+_SCHEMA = "rid bigint, doc_id bigint, language string, class int, raw bigint, packed bigint, chars bigint, closed bigint"
+_KINDS = [pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
 
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    at = TaskContext.get().partitionId() << 40  # tells apart rows with one doc_id; fixed once written
     for batch in batches:
-        rows = [measure(t) for t in batch.column(2).to_pylist()]
-        columns = list(zip(*rows)) if rows else [[], [], [], []]
-        kinds = [pa.int64(), pa.float64(), pa.float64(), pa.float64()]
-        arrays = [batch.column(0), batch.column(1), *[pa.array(c, k) for c, k in zip(columns, kinds)]]
-        yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "lang", "chars", "ratio", "listed", "marks"])
+        rows = []
+        for doc_id, lang, text in zip(*(c.to_pylist() for c in batch.columns)):
+            at += 1
+            rows += [(at, doc_id, *row) for row in measure(text, lang)]
+        columns = list(zip(*rows)) if rows else [[]] * len(_KINDS)
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, _KINDS)], names=[f.split()[0] for f in _SCHEMA.split(", ")])
+
+
+def _median(value) -> object:
+    """The exact median to three places; a group thus has few distinct values, which bounds its state."""
+    return F.percentile(F.round(value, 3), F.lit(0.5))
 
 
 def redundancy(documents: DataFrame) -> DataFrame:
-    """``(doc_id, chars, ratio, expected, listed, marks)`` of ``documents(doc_id, text, lang)``.
+    """``(doc_id, bytes, ratio, expected, deviations, closed)`` of ``documents(doc_id, text, lang)``, one row per document with content.
 
-    ``expected`` is the median ratio of the language and length class.  Classes
-    are few (languages times powers of two), which bounds the broadcast; a corpus
-    with more than a thousand languages is joined instead by the engine's choice.
+    ``ratio`` and ``expected`` are compressed to raw bytes; ``deviations`` is negative
+    where the content is more redundant than its language, weighted by the size of
+    the sections; ``closed`` is the density of sentence punctuation.  Statistics are
+    those of all documents.
     """
     lang = F.coalesce(F.nullif(F.lower(F.trim("lang")), F.lit("")), F.lit("und"))
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), lang.alias("lang"), F.col("text").cast("string").alias("text"))
-    rows = cut(rows.mapInArrow(_measure, _SCHEMA), "measured")
-    rows = rows.withColumn("class", F.floor(F.log2(F.col("chars").cast("double") + 1)))
-    expected = rows.groupBy("lang", "class").agg(F.percentile_approx("ratio", 0.5, 1000).alias("expected"))
-    return rows.join(expected, ["lang", "class"]).select("doc_id", "chars", "ratio", "expected", "listed", "marks")
-
-
-def stuffed_documents(documents: DataFrame, min_chars: int = 1, max_relative: float = 1.1, max_ratio: float = 0.7, min_listed: float = 0.6, max_marks: float = 0.04) -> DataFrame:
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), lang.alias("lang"), F.col("text").cast("string").alias("text"))
+    rows = cut(texts.mapInArrow(_measure, _SCHEMA), "measured")
+    # written tables, so their size is known to the engine, which broadcasts them if they are small
+    known = rows.groupBy("language").agg(F.count_distinct("rid").alias("k")).filter(F.col("k") >= RARE)
+    rows = rows.join(cut(known.select("language", F.lit(True).alias("known")), "languages"), "language", "left")
+    rows = rows.withColumn("language", F.when(F.col("known"), F.col("language")).otherwise("*"))
+    ratio = F.col("packed") / F.col("raw")
+    base = rows.groupBy("class").agg(_median(ratio).alias("base"))
+    based = rows.join(F.broadcast(base), "class")  # a block has at most 768 bytes, which makes 39 classes
+    factors = cut(based.groupBy("language").agg(_median(ratio / F.col("base")).alias("factor")), "factors")
+    based = based.join(factors, "language").withColumn("due", F.col("raw") * F.col("base") * F.col("factor"))
+    parts = based.groupBy("rid", "doc_id", "language").agg(*[F.sum(c).alias(c) for c in ("raw", "packed", "due", "chars", "closed")])
+    parts = cut(parts.withColumn("gap", F.log(F.col("packed") / F.col("due"))), "sections")
+    spread = 1.4826 * _median(F.abs(F.when(F.col("raw") >= STEADY, F.col("gap"))))
+    spreads = cut(parts.groupBy("language").agg(F.greatest(spread, F.lit(LEAST_SPREAD)).alias("spread")), "spreads")
+    scored = parts.join(spreads, "language").withColumn("off", F.col("gap") / F.col("spread") * F.col("raw"))
+    sums = scored.groupBy("rid", "doc_id").agg(*[F.sum(c).alias(c) for c in ("raw", "packed", "due", "off", "chars", "closed")])
+    raw = F.col("raw")
+    measures = {"ratio": F.col("packed") / raw, "expected": F.col("due") / raw, "deviations": F.col("off") / raw, "closed": F.col("closed") / F.col("chars")}
+    return sums.select("doc_id", raw.alias("bytes"), *[F.round(c, 6).alias(n) for n, c in measures.items()])
+
+
+def stuffed_documents(documents: DataFrame, deviations: float = 2.0, max_closed: float = 0.2, min_bytes: int = 64) -> DataFrame:
     """Documents that are keyword stuffing or lists of links, with their measures.
 
-    ``max_relative`` is the ratio against the class above which a document counts
-    as diverse, ``max_ratio`` the same without regard to the class (of which spam
-    may hold a large part), ``min_listed`` the least share of content that is
-    neither sentence, code nor data, ``max_marks`` the sentence marks per word.
+    ``deviations`` below its language make a content extremely redundant;
+    ``max_closed`` is the most sentence punctuation that confirms it.
     """
-    rows = redundancy(documents)
-    redundant = (F.col("ratio") <= F.col("expected") * max_relative) & (F.col("ratio") <= max_ratio)
-    return rows.filter((F.col("chars") >= min_chars) & redundant & (F.col("listed") >= min_listed) & (F.col("marks") <= max_marks))
+    flagged = redundancy(documents).filter((F.col("bytes") >= min_bytes) & (F.col("deviations") <= -deviations))
+    return flagged.filter(F.col("closed") <= max_closed)

@@ -4,6 +4,7 @@ import itertools
 import json
 import random
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pyarrow.parquet as pq
@@ -291,25 +292,49 @@ HAM = {
 }
 
 
-def test_spam_and_its_neighbours(spark):
-    diff = "Update\n\ndiff --git a/x.md b/x.md\nindex 044c60b..b321903 100644\n--- a/x.md\n+++ b/x.md\n@@ -1,1 +1,2 @@\n"
+def test_spam_and_its_neighbours(spark, sf):
+    files = {"code": "x.py", "sql": "x.sql", "owners": "CODEOWNERS", "resources": "x.md", "lock": "yarn.lock"}
+    diff = lambda name: f"Update\n\ndiff --git a/{name} b/{name}\nindex 044c60b..b321903 100644\n--- a/{name}\n+++ b/{name}\n@@ -1,1 +1,2 @@\n"
     filler = [f"Fix the {a} of the {b} before the {c} is read.\n    It turned out that the {b} had {i} entries for one {a}, so we check the {c} first." for i, (a, b, c) in enumerate(itertools.permutations(["cache", "reader", "writer", "parser", "lexer", "index"], 3))]
     rows = [(k, HEAD + "note\n\n    " + t, "en") for k, t in SPAM.items()]
-    rows += [(k, HEAD + (diff + t if t.startswith("+") else t), "en") for k, t in HAM.items()]
+    rows += [(k, HEAD + (diff(files[k]) + t if t.startswith("+") else t), "en") for k, t in HAM.items()]
     rows += [(f"f{i}", HEAD + t, "EN") for i, t in enumerate(filler)]
     rows += [("null", None, None), ("empty", "", "und"), ("long", "word " * 3 + "q" * 3_000_000, "en"), ("line", "a=b;" * 500_000, None)]
+    # what is redundant for a language only a corpus tells
+    rows += [(f"owners{k}", HEAD + diff("CODEOWNERS") + "\n".join(f"+/lib/part{i * k}/ @team-{i + k} @team-b" for i in range(10 + k)), "en") for k in range(spam.RARE)]
+    rows += [(f"corpus{d['doc_id']}", d["text"], d["lang"]) for d in pq.read_table(f"{Path(sf).parent}/sf0.01/documents.parquet").to_pylist()]
     ids = {i: r[0] for i, r in enumerate(rows)}
     df = spark.createDataFrame([(i, t, lang, 0) for i, (_, t, lang) in enumerate(rows)], "doc_id long, text string, lang string, ratio int")
     got = {ids[r.doc_id] for r in spam.stuffed_documents(df).collect()}
     assert got & SPAM.keys() == SPAM.keys()
-    assert not got & HAM.keys() and not {g for g in got if g.startswith("f")} and not got & {"null", "empty"}
+    # neither measure decides alone
+    assert len(got) < spam.stuffed_documents(df, deviations=-100.0).count() and len(got) < spam.stuffed_documents(df, max_closed=1.0).count()
+    assert not got & HAM.keys(), got & HAM.keys()
+    assert not {g for g in got if g.startswith("f")} and not got & {"null", "empty"}
     assert spam.stuffed_documents(df.limit(0)).count() == 0
 
 
 def test_compression_is_block_wise():
-    assert spam.compression(b"") == 1.0
+    assert list(spam.blocks(b"")) == []
     noise = bytes(np.random.default_rng(1).integers(0, 256, 5000, np.uint8))
-    assert spam.compression(b"ab" * 2000) < 0.1 < 0.9 < spam.compression(noise)
+    ratio = lambda data: sum(p for _, p in spam.blocks(data)) / len(data)
+    assert ratio(b"ab" * 2000) < 0.1 < 0.9 < ratio(noise)
+    # a block knows nothing of the others
+    assert sum(p for _, p in spam.blocks(noise[:512] * 8)) > 8 * 500
+    assert all(256 < raw <= 768 for raw, _ in spam.blocks(bytes(5000)))
+
+
+def test_lines_closed_like_sentences_or_statements():
+    for line in ("It is done.", "Really?", "x = 1;", "}", "def f(a):", "foo(a, b)", 'he said "so."'):
+        assert spam.closed(line), line
+    for line in ("cheap shoes", "best bags; cheap bags; new", "a b; c d;", "https://a.example/x.", "* [cheap](https://a.example)", "<a href='x'>bag</a>", ""):
+        assert not spam.closed(line), line
+
+
+def test_content_by_language():
+    diff = "diff --git a/x.SQL b/x.SQL\nindex 044c60b..b321903 100644\n--- a/x.SQL\n+++ b/x.SQL\n@@ -1,1 +1,2 @@\n-old\n+new\n same\ndiff --git a/y.md b/y.md\n-gone\n"
+    assert spam.sections(HEAD + "subject\n\n" + diff, "en") == {"en": ["subject"], ".sql": ["new", "same"]}
+    assert spam.sections(diff, "de") == {".sql": ["new", "same"], "de": ["gone"]}
 
 
 def test_queries_have_their_columns(spark, sf):
@@ -319,7 +344,7 @@ def test_queries_have_their_columns(spark, sf):
     assert json.dumps(sorted(queries.ORACLE))
 
 
-def test_pages_of_reference_lines_and_short_stuffing(spark):
+def test_pages_of_reference_lines_and_short_stuffing(spark, sf):
     rng = random.Random(3)
     word = lambda: "".join(rng.choices("abcdefghiklmnoprstuvw", k=7))
     said = [f"Fix the {word()} of the {word()} before the {word()} is {word()}.\n    " for _ in range(60)]
@@ -333,5 +358,6 @@ def test_pages_of_reference_lines_and_short_stuffing(spark):
     filler = [*said, *["".join(said[i : i + 12]) for i in range(0, 48, 6)]]
     names = [*texts, *[f"f{i}" for i in range(len(filler))]]
     rows = [(i, HEAD + "note\n\n    " + t, "en") for i, t in enumerate([*texts.values(), *filler])]
-    got = {names[r.doc_id] for r in spam.stuffed_documents(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
-    assert got == {"labelled", "see", "short"}
+    rows += [(len(names) + i, d["text"], d["lang"]) for i, d in enumerate(pq.read_table(f"{Path(sf).parent}/sf0.01/documents.parquet").to_pylist())]
+    found = spam.stuffed_documents(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert {names[r.doc_id] for r in found if r.doc_id < len(names)} == {"labelled", "see", "short"}
