@@ -11,46 +11,41 @@ from lockstep.operators.timestamps import normalise_times
 from lockstep.tables import table
 
 _REF, _TAG = "referenced_tweets", "hashtags"
-_SEPARATE, _INLINE = {_REF, _TAG}, {"tag", "text", "name", "type", "id"}
+#: Tables that are read below; in any data they repeat, which a plan finds by itself.
+_SEPARATE = {_REF, _TAG}
 
 
-def _raw(spark: SparkSession, d: str):
+def _posts(spark: SparkSession, d: str, element: str, attributes: list[str], typed: list[str]) -> DataFrame:
+    """Rows of one element of both tables of posts: the link columns, ``src`` and the attributes."""
     raw = table(spark, d, "twitter_raw").select("row_id", "payload")
-    plan = plan_inlining(schema_graph(raw, "payload", "post", "author_id"), "post", _SEPARATE, _INLINE)
-    return shred_json(raw, "row_id", "payload", plan, "author_id"), plan
-
-
-def _typed(spark: SparkSession, d: str) -> dict[str, DataFrame]:
-    return shred_typed(table(spark, d, "twitter_posts").select("row_id", _REF), "row_id", _REF)
+    plan = plan_inlining(schema_graph(raw, "payload", "post", "author_id"), "post", _SEPARATE)
+    elements = {element, *[a for a in attributes if a in plan.tables]}
+    found = relation(shred_json(raw, "row_id", "payload", plan, "author_id", elements), plan, element, attributes)
+    tables, _ = shred_typed(table(spark, d, "twitter_posts").select("row_id", *typed), "row_id", typed, "post", _SEPARATE)
+    both = found.withColumn("src", F.lit("twitter_raw")).unionByName(tables[element].withColumn("src", F.lit("twitter_posts")), True)
+    return both.withColumn("row_id", F.col("record"))
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     """Tags of references with the link to their post and reference."""
-    shredded, plan = _raw(spark, d)
-    tags = relation(shredded, plan, _TAG, ["tag", "text", "name", "value"]).filter(F.col("lineage").rlike(f"^({_REF}/)+{_TAG}$"))
-    kinds = {"src": F.lit("twitter_raw"), "row_id": F.col("record"), "ref_path": F.col("parent_path"), "tag_pos": F.col("pos")}
-    raw = tags.select(*[c.alias(n) for n, c in kinds.items()], first_filled(F.col("a_tag"), F.col("a_text"), F.col("a_name"), F.col("a_value")).alias("tag"))
-    typed = _typed(spark, d)[f"{_REF}.{_TAG}"]
-    kinds["src"] = F.lit("twitter_posts")
-    flat = typed.select(*[c.alias(n) for n, c in kinds.items()], first_filled(F.col("a_tag"), F.col("a_text"), F.col("a_name")).alias("tag"))
-    return raw.unionByName(flat).filter(F.col("tag").isNotNull())
+    tags = _posts(spark, d, _TAG, ["tag", "text", "name", "value"], [_REF]).filter(F.col("lineage").rlike(f"^({_REF}/)+{_TAG}$"))
+    tag = first_filled(F.col("a_tag"), F.col("a_text"), F.col("a_name"), F.col("a_value"))
+    return tags.select("src", "row_id", F.col("parent_path").alias("ref_path"), F.col("pos").alias("tag_pos"), tag.alias("tag")).filter(F.col("tag").isNotNull())
 
 
 def p1_references(spark: SparkSession, d: str) -> DataFrame:
     """The table of references: path, path of the parent reference (null below the post), type and id."""
-    shredded, plan = _raw(spark, d)
-    refs = relation(shredded, plan, _REF, ["type", "id"]).filter(F.col("lineage").rlike(f"^{_REF}(/{_REF})*$"))
-    path = F.concat_ws(".", F.when(F.col("parent_path") != "", F.col("parent_path")), F.col("pos").cast("string"))
+    refs = _posts(spark, d, _REF, ["type", "id"], [_REF]).filter(F.col("lineage").rlike(f"^{_REF}(/{_REF})*$"))
     parent = F.when(F.col("parent_path") != "", F.col("parent_path"))
-    cols = lambda src, p: [F.lit(src).alias("src"), F.col("record").alias("row_id"), p.alias("ref_path"), parent.alias("parent_path"), F.col("a_type").alias("type"), F.col("a_id").alias("ref_id")]
-    return refs.select(*cols("twitter_raw", path)).unionByName(_typed(spark, d)[_REF].select(*cols("twitter_posts", F.col("path"))))
+    path = F.concat_ws(".", parent, F.col("pos").cast("string"))
+    return refs.select("src", "row_id", path.alias("ref_path"), parent.alias("parent_path"), F.col("a_type").alias("type"), F.col("a_id").alias("ref_id"))
 
 
 def p1_posts(spark: SparkSession, d: str) -> DataFrame:
-    """The root table of the raw posts."""
-    shredded, plan = _raw(spark, d)
-    posts = relation(shredded, plan, "post", ["author_id", "created_at", "text", "user_username"])
-    return posts.select(F.col("record").alias("row_id"), F.col("a_author_id").alias("author_id"), F.col("a_created_at").alias("created_at"), F.col("a_text").alias("text"), F.col("a_user_username").alias("username"))
+    """The root table of the posts."""
+    posts = _posts(spark, d, "post", ["author_id", "created_at", "text", "user/username"], ["author_id", "created_at", "text", "user_info"])
+    username = F.coalesce("a_user_username", "a_user_info_username")
+    return posts.select("src", "row_id", F.col("a_author_id").alias("author_id"), F.col("a_created_at").alias("created_at"), F.col("a_text").alias("text"), username.alias("username"))
 
 
 def p1_schema_graph(spark: SparkSession, d: str) -> DataFrame:
@@ -115,7 +110,7 @@ WITH posts AS (
   FROM posts WHERE object_id <> '' GROUP BY src, object_id
 )
 """
-_TAGS_SQL = r"""
+_REFS_SQL = r"""
 WITH RECURSIVE docs AS (SELECT row_id, CASE WHEN json_valid(payload) THEN payload::JSON END AS j FROM twitter_raw),
 posts AS (
   SELECT row_id, CASE WHEN json_exists(j, '$.author_id') THEN j ELSE list_filter(json_extract(j, '$.*'), lambda x: json_exists(x, '$.author_id'))[1] END AS post
@@ -128,7 +123,9 @@ refs AS (
   UNION ALL
   SELECT row_id, ref_path || '.' || (k - 1), x[k]
   FROM (SELECT *, unnest(range(1, len(x) + 1)) AS k FROM (SELECT row_id, ref_path, CASE json_type(r) WHEN 'ARRAY' THEN json_extract(r, '$[*]') WHEN 'NULL' THEN [] ELSE [r] END AS x FROM (SELECT row_id, ref_path, ref -> '$.referenced_tweets' AS r FROM refs) WHERE r IS NOT NULL))
-),
+)
+"""
+_TAGS_SQL = _REFS_SQL + r""",
 tags AS (
   SELECT row_id, ref_path, k - 1 AS tag_pos, x[k] AS t
   FROM (SELECT *, unnest(range(1, len(x) + 1)) AS k FROM (SELECT row_id, ref_path, CASE json_type(h) WHEN 'ARRAY' THEN json_extract(h, '$[*]') WHEN 'NULL' THEN [] ELSE [h] END AS x FROM (SELECT row_id, ref_path, ref -> '$.hashtags' AS h FROM refs) WHERE h IS NOT NULL))
@@ -142,6 +139,25 @@ found AS (
 )
 SELECT src, row_id, ref_path, tag_pos::BIGINT AS tag_pos, tag FROM found WHERE tag <> ''
 """
+_REFERENCES_SQL = _REFS_SQL + r""",
+found AS (
+  SELECT 'twitter_raw' AS src, row_id, ref_path, CASE WHEN json_type(ref) = 'OBJECT' THEN ref ->> '$.type' END AS "type", CASE WHEN json_type(ref) = 'OBJECT' THEN ref ->> '$.id' END AS ref_id
+  FROM refs WHERE json_type(ref) <> 'NULL'
+  UNION ALL
+  SELECT 'twitter_posts', row_id, (i - 1)::VARCHAR, r[i]."type", r[i].id
+  FROM (SELECT row_id, referenced_tweets AS r, unnest(range(1, len(referenced_tweets) + 1)) AS i FROM twitter_posts) WHERE r[i] IS NOT NULL
+)
+SELECT src, row_id, ref_path, CASE WHEN ref_path LIKE '%.%' THEN regexp_replace(ref_path, '\.[0-9]+$', '') END AS parent_path, "type", ref_id FROM found
+"""
+_POSTS_SQL = _REFS_SQL + r"""
+SELECT 'twitter_raw' AS src, row_id, post ->> '$.author_id' AS author_id, post ->> '$.created_at' AS created_at, post ->> '$.text' AS "text", post ->> '$.user.username' AS username FROM posts WHERE post IS NOT NULL
+UNION ALL SELECT 'twitter_posts', row_id, author_id, created_at, "text", user_info.username FROM twitter_posts
+"""
+_EDGES_SQL = _REFS_SQL + r""",
+nodes AS (SELECT regexp_replace(n.fullkey, '\[[0-9]+\]', '', 'g') AS path, n.fullkey LIKE '%]' AS repeated, n."type" FROM posts, json_tree(posts.post) n WHERE post IS NOT NULL AND n."type" NOT IN ('ARRAY', 'NULL') AND n.fullkey <> '$')
+SELECT CASE WHEN path LIKE '$.%.%' THEN split_part(path, '.', -2) ELSE 'post' END AS parent, split_part(path, '.', -1) AS child, CASE "type" WHEN 'OBJECT' THEN 'object' ELSE 'scalar' END AS shape, repeated, count(*) AS n
+FROM nodes GROUP BY ALL
+"""
 _TIMES_SQL = r"""
 WITH w AS (
   SELECT 'post_landing' AS src, row_id, coalesce(created_at, tweet_time, post_time) AS written, capture_zone FROM post_landing
@@ -172,6 +188,9 @@ u AS (
 """
 ORACLE = {
     "p1_found": _TAGS_SQL,
+    "p1_references": _REFERENCES_SQL,
+    "p1_posts": _POSTS_SQL,
+    "p1_schema_graph": _EDGES_SQL,
     "p3_found": _TIMES_SQL + "SELECT src, row_id, utc_us FROM u WHERE utc_us IS NOT NULL",
     "p3_set_apart": _TIMES_SQL + "SELECT src, row_id, written, capture_zone FROM u JOIN w USING (src, row_id) WHERE utc_us IS NULL",
     "p5_found": _OBJECTS_SQL + "SELECT src, object_id, first_row_id FROM objects WHERE n_timed >= 2",

@@ -89,9 +89,49 @@ def test_typed_shred_edges(spark):
     df = spark.createDataFrame(
         [(1, [(None, None), ("a", ["x", None, ""])]), (2, None), (3, []), (4, [None])], "row int, refs array<struct<pos:string,tags:array<string>>>"
     )
-    t = shred_typed(df, "row", "refs")
-    assert [(r.record, r.path, r.a_pos) for r in t["refs"].orderBy("pos").collect()] == [(1, "0", None), (1, "1", "a")]
-    assert [(r.record, r.path, r.pos, r.a_value) for r in t["refs.tags"].orderBy("pos").collect()] == [(1, "1.0", 0, "x"), (1, "1.2", 2, "")]
+    t, plan = shred_typed(df, "row", ["refs"])
+    assert plan.tables == {"record", "refs", "tags"} and t["record"].count() == 4
+    assert [(r.record, r.parent_path, r.pos, r.a_pos) for r in t["refs"].orderBy("pos").collect()] == [(1, "", 0, None), (1, "", 1, "a")]
+    assert [(r.record, r.parent_path, r.pos, r.a_value, r.id, r.parent_id) for r in t["tags"].orderBy("pos").collect()] == [
+        (1, "1", 0, "x", "1/refs/1/tags/0", "1/refs/1"), (1, "1", 2, "", "1/refs/1/tags/2", "1/refs/1"),
+    ]
+
+
+def test_both_ways_give_the_same_tables(spark):
+    records = [
+        {"by": {"n": "a", "at": {"x": "1"}}, "refs": [{"id": "p", "tags": ["s", None, "t"]}, None, {"id": None, "tags": None}], "quote": {"by": {"n": "q", "at": None}}, "grid": [["u", None, "v"], None, ["w"]]},
+        {"by": None, "refs": [], "quote": None, "grid": None},
+    ]
+    kind = "by struct<n:string,at:struct<x:string>>"
+    df = spark.createDataFrame([("k/1", records[0]), ("~2", records[1])], f"k string, r struct<{kind},refs:array<struct<id:string,tags:array<string>>>,quote:struct<{kind.replace(' ', ':', 1)}>,grid:array<array<string>>>".replace("struct<by struct", "struct<by:struct"))
+    typed, plan = shred_typed(df.select("k", "r.*"), "k", ["by", "refs", "quote", "grid"], "post")
+    text = spark.createDataFrame([("k/1", json.dumps(records[0])), ("~2", json.dumps(records[1]))], "k string, payload string")
+    cells = shred_json(text, "k", "payload", plan)
+    assert plan.tables == {"post", "by", "refs", "tags", "grid"} == typed.keys()
+    for element in plan.tables:
+        want = relation(cells, plan, element)
+        assert sorted(map(str, typed[element].select(*want.columns).collect())) == sorted(map(str, want.collect())), element
+
+
+def test_repeated_values_and_clashing_names_lose_nothing(spark):
+    texts = ['{"tags": [{"tag": ["x", "y"], "n": 1}, {"tag": "z"}], "user": {"username": "a", "Name": "b"}, "user_username": "c", "user/username": "d", "user_name": "e"}']
+    cells, plan = shredded(spark, texts)
+    assert {(r.parent_id, r.pos, r.a_value) for r in relation(cells, plan, "tag").collect()} == {("0/tags/0", 0, "x"), ("0/tags/0", 1, "y"), ("0/tags/1", 0, "z")}
+    assert [r.a_tag for r in relation(cells, plan, "tags", ["tag", "n"]).orderBy("pos").collect()] == ["x", "z"]
+    post = relation(cells, plan, "post")
+    row = post.first().asDict()
+    assert sorted(v for k, v in row.items() if k.startswith("a_")) == ["a", "b", "c", "d", "e"] and len({c.lower() for c in post.columns}) == len(post.columns)
+    assert plan.columns["post"]["user~1username"] == "user/username" and plan.columns["post"]["user_username"] == "user_username"
+    df = spark.createDataFrame([(1, '{"tag": [1, 2]}')], "k int, payload string")
+    with pytest.raises(Exception, match="plan of other rows"):
+        shred_json(df, "k", "payload", plan_inlining(schema_graph(df.limit(0), "payload", "post"), "post")).collect()
+
+
+def test_only_wanted_tables_come_out(spark):
+    cells, plan = shredded(spark, ['{"refs": [{"tags": ["a"]}, {"urls": [{"u": 1}]}], "other": [[1]]}'])
+    df = spark.createDataFrame([(0, '{"refs": [{"tags": ["a"]}, {"urls": [{"u": 1}]}], "other": [[1]]}')], "k int, payload string")
+    some = shred_json(df, "k", "payload", plan, elements={"tags"})
+    assert [r.element for r in some.collect()] == ["tags"] and some.drop("cells").collect() == cells.filter("element = 'tags'").drop("cells").collect()
 
 
 # ---- times
