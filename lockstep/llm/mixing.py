@@ -25,7 +25,8 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import SparkFiles
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,10 +37,8 @@ SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: Leaves are combinations of a few categories; the budget is made on the driver.
 MAX_LEAVES = 200_000
 BUCKETS = 1 << 16
-#: Runs of one kind of character above this are cut before merging, as merge time grows faster than length.
-_LONG_RUN = 2000
-
 _LOADED: dict[str, object] = {}
+_SENT: set[tuple[str, str]] = set()
 
 
 def _tokenizer(path: str):
@@ -51,7 +50,7 @@ def _tokenizer(path: str):
             with open(path, "rb") as lines:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
             encoding = tiktoken.Encoding(path, pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
-            _LOADED[path] = lambda text: len(encoding.encode_ordinary(text))
+            _LOADED[path] = lambda text: len(encoding.encode_to_numpy(text, disallowed_special=()))
         elif path.endswith(".json"):
             from tokenizers import Tokenizer
 
@@ -67,41 +66,34 @@ def _tokenizer(path: str):
 
 
 def count_tokens(text: str | None, path: str = TOKENIZER) -> int:
-    """Tokens of a text, read whole.
+    """Tokens of a text, which is encoded as one, whatever its length."""
+    return _tokenizer(path)(text) if text else 0
 
-    Texts are cut at line ends into pieces of bounded length before encoding (a
-    line end starts a new token in any case), and endless lines every
-    ``_LONG_RUN`` characters; this keeps time in proportion to length.
-    """
-    if not text:
-        return 0
-    count = _tokenizer(path)
-    if len(text) <= 20 * _LONG_RUN:
-        return count(text)
-    total, part, size = 0, [], 0
-    for line in text.splitlines(keepends=True):
-        for i in range(0, len(line), _LONG_RUN):
-            part.append(line[i : i + _LONG_RUN])
-            size += len(part[-1])
-            if size >= _LONG_RUN:
-                total += count("".join(part))
-                part, size = [], 0
-    return total + (count("".join(part)) if part else 0)
+
+def _send(spark: SparkSession, path: str) -> str:
+    """Send the file of a tokenizer to the executors once; its name there."""
+    app = spark.sparkContext.applicationId
+    if (app, path) not in _SENT:
+        spark.sparkContext.addFile(path)
+        _SENT.add((app, path))
+    return path.rsplit("/", 1)[-1]
 
 
 def token_sizes(documents: DataFrame, keep: list[str], path: str = TOKENIZER) -> DataFrame:
     """The columns ``keep`` of ``documents``, and ``n_tokens`` of ``text``."""
     schema = T.StructType([*[documents.schema[c] for c in keep], T.StructField("n_tokens", T.LongType())])
+    name = _send(documents.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        there = SparkFiles.get(name)
         for batch in batches:
-            sizes = pa.array([count_tokens(t, path) for t in batch.column(len(keep)).to_pylist()], pa.int64())
+            sizes = pa.array([count_tokens(t, there) for t in batch.column(len(keep)).to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], sizes], names=schema.names)
 
     return documents.select(*keep, F.col("text").cast("string").alias("_text")).mapInArrow(run, schema)
 
 
-@dataclass
+@dataclass(eq=False)
 class Node:
     """A node of the budget tree."""
 
@@ -118,16 +110,20 @@ class Node:
         return self.wanted > self.capacity
 
 
+def _share(node: Node) -> None:
+    """What each child would contribute if none were short."""
+    whole = sum(c.weight for c in node.children.values())
+    for c in node.children.values():
+        c.wanted = node.wanted * c.weight / whole if whole else 0.0
+        _share(c)
+
+
 def _fill(node: Node) -> None:
     """Divide the node's budget among its children by weight, none above its capacity."""
-    children = [c for c in node.children.values() if c.weight > 0]
-    whole = sum(c.weight for c in children)
-    for c in children:
-        c.wanted = node.budget * c.weight / whole
-    left, open_ = node.budget, children
+    left, open_ = node.budget, [c for c in node.children.values() if c.weight > 0]
     while open_:
         weight = sum(c.weight for c in open_)
-        full = [c for c in open_ if left * c.weight / weight >= c.capacity]
+        full = {c for c in open_ if left * c.weight / weight >= c.capacity}
         if not full:
             for c in open_:
                 c.budget = left * c.weight / weight
@@ -145,7 +141,8 @@ def budget_tree(leaves: list[tuple], weights: dict[tuple, float], repeats: dict[
 
     ``weights`` and ``repeats`` are given for paths of any length; a node's
     repeats hold for all below it.  Among siblings without a given weight the
-    size is the weight; siblings of weighted nodes without one get nothing.
+    size is the weight; siblings of weighted nodes without one get nothing.  A node
+    cannot take what its children without weight hold.
     """
     root = Node()
     for path in [*weights, *[leaf[:-1] for leaf in leaves]]:
@@ -167,22 +164,19 @@ def budget_tree(leaves: list[tuple], weights: dict[tuple, float], repeats: dict[
             child.weight = weights.get((*path, step), 0.0 if given else float(child.size))
             settle(child, (*path, step))
         if node.children:
-            node.capacity = sum(c.capacity for c in node.children.values())
+            node.capacity = sum(c.capacity for c in node.children.values() if c.weight > 0)
 
     settle(root, ())
-    root.budget = root.wanted = float(root.size if total is None else total)
-    root.budget = min(root.budget, sum(c.capacity for c in root.children.values() if c.weight > 0))
-    demand = root.wanted
-    whole = sum(c.weight for c in root.children.values())
+    root.wanted = float(root.size if total is None else total)
+    root.budget = min(root.wanted, root.capacity)
+    _share(root)
     _fill(root)
-    for c in root.children.values():
-        c.wanted = demand * c.weight / whole if whole else 0.0
     return root
 
 
 def leaf_sizes(sized: DataFrame, levels: list[str]) -> list[tuple]:
     """Tokens per leaf, on the driver; their number is checked."""
-    rows = sized.groupBy(*levels).agg(F.sum("n_tokens").alias("n")).limit(MAX_LEAVES + 1).collect()
+    rows = sized.groupBy(*levels).agg(F.sum("n_tokens").alias("n")).limit(MAX_LEAVES + 1).collect()  # a check, not a cut
     if len(rows) > MAX_LEAVES:
         raise ValueError(f"more than {MAX_LEAVES} leaves; use coarser levels")
     return [(*r[:-1], r[-1] or 0) for r in rows]

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lockstep.llm.cooccurrence import cooccurring_pairs
 from lockstep.llm.heavy_hitters import frequent_items, misra_gries
 from lockstep.llm.leak_index import leaks, phrase_matches
-from lockstep.llm.mixing import TOKENIZER, budget_tree, leaf_sizes, select_mixture, token_sizes, totals
+from lockstep.llm.mixing import MAX_LEAVES, TOKENIZER, Node, budget_tree, leaf_sizes, leaves_of, select_mixture, token_sizes, totals
 from lockstep.llm.setjoin import similar_classes, similar_pairs
 from lockstep.llm.spam import redundancy, stuffed_documents
 from lockstep.session import cut
@@ -101,39 +103,80 @@ def _source(column):
     return F.regexp_replace(F.lower(_trim(column)), "-", "_")
 
 
+#: Where sources come from; sources of one domain take each other's shortages first.
+DOMAINS = {"forge_mirror": "hosting", "campus_git": "hosting", "bitbarn": "hosting", "mail_patches": "lists", "kernel_archive": "lists", "tarball_crawl": "archives", "legacy_cvs": "archives", "docs_wiki": "archives"}
+LEVELS = ["domain", "lang", "name"]
+
+
+def _tree(leaves: list[tuple], targets: list) -> Node:
+    """The tree of domains, languages and sources.
+
+    A target is given per source; in each language the source has the part of it
+    that its tokens have there, and inner nodes the sum of what is below.  A source
+    without tokens stands below the language ``und``.
+    """
+    shares = {t["name"]: t["target_share"] for t in targets}
+    if len(shares) < len(targets):
+        raise ValueError("several targets name one source")
+    repeats = {t["name"]: t["max_repeats"] for t in targets}
+    sizes = Counter()
+    for *_, name, size in leaves:
+        sizes[name] += size
+    weights, caps = Counter(), {}
+    ghosts = [(DOMAINS.get(name, "other"), "und", name, 0) for name in shares if not sizes[name]]
+    for *path, size in [*leaves, *ghosts]:
+        name = path[-1]
+        own = shares.get(name, 0.0) * (size / sizes[name] if sizes[name] else 1.0)
+        for depth in range(1, len(path) + 1):
+            weights[tuple(path[:depth])] += own
+        caps[tuple(path)] = repeats.get(name, 0)
+    return budget_tree([*leaves, *ghosts], weights, caps)
+
+
 def _budgets(spark: SparkSession, d: str, tokenizer: str = TOKENIZER):
-    """Sized documents, the rows of the targets, and the filled tree of sources and languages."""
+    """Sized documents, the rows of the targets, the filled tree, and its leaves by source."""
     lang = F.coalesce(F.nullif(F.lower(F.trim("lang")), F.lit("")), F.lit("und"))
-    documents = table(spark, d, "documents").select("doc_id", _source(F.col("source")).alias("name"), lang.alias("lang"), "text")
-    sized = cut(token_sizes(documents, ["doc_id", "name", "lang"], tokenizer), "sized")
-    # one row per source of a mixture, which people write by hand
-    targets = table(spark, d, "mix_targets").select("source", _source(F.col("source")).alias("name"), "target_share", "max_repeats").collect()
-    weights = {(t["name"],): t["target_share"] for t in targets}
-    repeats = {(t["name"],): t["max_repeats"] for t in targets}
-    return sized, targets, budget_tree(leaf_sizes(sized, ["name", "lang"]), weights, repeats)
+    name = _source(F.col("source"))
+    domain = F.coalesce(F.create_map(*[F.lit(x) for kv in DOMAINS.items() for x in kv])[name], F.lit("other"))
+    documents = table(spark, d, "documents").select("doc_id", domain.alias("domain"), lang.alias("lang"), name.alias("name"), "text")
+    sized = cut(token_sizes(documents, ["doc_id", *LEVELS], tokenizer), "sized")
+    # one row per source of a mixture, which people write by hand; checked as leaves are
+    targets = table(spark, d, "mix_targets").select("source", _source(F.col("source")).alias("name"), "target_share", "max_repeats").limit(MAX_LEAVES + 1).collect()
+    if len(targets) > MAX_LEAVES:
+        raise ValueError(f"more than {MAX_LEAVES} targets")
+    root = _tree(leaf_sizes(sized, LEVELS), targets)
+    by_source = defaultdict(list)
+    for *path, node in leaves_of(root, len(LEVELS)):
+        by_source[path[-1]].append(node)
+    return sized, targets, root, by_source
+
+
+def _short(nodes: list[Node]) -> bool:
+    return sum(n.wanted for n in nodes) > sum(n.capacity for n in nodes)
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     """Sources that fall short in a mixture as large as all documents."""
-    _, targets, root = _budgets(spark, d)
-    return spark.createDataFrame([(t["source"],) for t in targets if root.children[t["name"]].short], "source string")
+    _, targets, _, leaves = _budgets(spark, d)
+    return spark.createDataFrame([(t["source"],) for t in targets if _short(leaves[t["name"]])], "source string")
 
 
 def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
     """How often each document is used in the mixture."""
-    sized, _, root = _budgets(spark, d)
-    return select_mixture(sized, "doc_id", ["name", "lang"], root, seed=7).withColumnRenamed("name", "source")
+    sized, _, root, _ = _budgets(spark, d)
+    return select_mixture(sized, "doc_id", LEVELS, root, seed=7).withColumnRenamed("name", "source")
 
 
 def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     """Target, size, budget and share reached of each source."""
-    sized, targets, root = _budgets(spark, d)
-    reached = totals(select_mixture(sized, "doc_id", ["name", "lang"], root, seed=7), "name")
+    sized, targets, root, leaves = _budgets(spark, d)
+    reached = totals(select_mixture(sized, "doc_id", LEVELS, root, seed=7), "name")
     whole = sum(reached.values()) or 1
     rows = []
     for t in targets:
-        node, got = root.children[t["name"]], reached.get(t["name"], 0)
-        rows.append((t["source"], t["target_share"], t["max_repeats"], node.size, node.wanted, node.budget, got, got / whole, node.short))
+        nodes, got = leaves[t["name"]], reached.get(t["name"], 0)
+        size, wanted, budget = sum(n.size for n in nodes), sum(n.wanted for n in nodes), sum(n.budget for n in nodes)
+        rows.append((t["source"], t["target_share"], t["max_repeats"], size, wanted, budget, got, got / whole, _short(nodes)))
     return spark.createDataFrame(rows, "source string, target_share double, max_repeats int, size bigint, wanted double, budget double, tokens bigint, share double, short boolean")
 
 

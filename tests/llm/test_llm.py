@@ -9,6 +9,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
+import regex
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -255,7 +256,48 @@ def test_selected_prefixes_fit_their_budgets(spark):
 def test_token_counts_of_whole_texts():
     assert mixing.count_tokens(None) == mixing.count_tokens("") == 0
     assert mixing.count_tokens("a line\n" * 30_000) == 30_000 * mixing.count_tokens("a line\n")
-    assert mixing.count_tokens("z" * 500_000) > 0
+    # pieces of the split pattern, encoded one by one, add up at every length
+    pattern, whole = regex.compile(mixing.SPLIT), mixing._tokenizer(mixing.TOKENIZER)
+    rng = random.Random(4)
+    texts = ["".join(rng.choices("abcdefgh", k=60_000)), "x = 1\n\n\n    y\n" * 6000, "\n \t" * 30_000 + "end", "word " * 9000 + " " * 50_000 + "?!" * 9000]
+    for text in texts:
+        assert len(text) > 40_000 and mixing.count_tokens(text) == sum(whole(m[0]) for m in pattern.finditer(text))
+
+
+def fill_by_hand(weights, capacities, budget):
+    """Water filling by bisection."""
+    lo, hi = 0.0, 1e18
+    for _ in range(300):
+        level = (lo + hi) / 2
+        lo, hi = (level, hi) if sum(min(c, w * level) for w, c in zip(weights, capacities)) < budget else (lo, level)
+    return [min(c, w * hi) for w, c in zip(weights, capacities)]
+
+
+def test_three_levels_of_budgets(spark, sf):
+    _, targets, root, by_source = queries._budgets(spark, sf)
+    assert root.budget == pytest.approx(sum(c.budget for c in root.children.values()))
+    stack = [root]
+    while stack:
+        node = stack.pop()
+        kids = [c for c in node.children.values() if c.weight > 0]
+        if kids:
+            want = fill_by_hand([c.weight for c in kids], [c.capacity for c in kids], node.budget)
+            assert [c.budget for c in kids] == pytest.approx(want, abs=1e-3)
+        stack += node.children.values()
+    for t in targets:
+        assert sum(n.wanted for n in by_source[t["name"]]) == pytest.approx(t["target_share"] * root.size)
+    assert {len(path) for *path, _ in mixing.leaves_of(root, 3)} == {3}
+
+
+def test_shortage_goes_to_the_sibling_first():
+    row = lambda name, share, cap: {"name": name, "target_share": share, "max_repeats": cap}
+    targets = [row("bitbarn", 0.4, 1), row("campus_git", 0.1, 9), row("mail_patches", 0.5, 9), row("ghost", 0.0, 1)]
+    leaves = [("hosting", "en", "bitbarn", 100), ("hosting", "en", "campus_git", 400), ("lists", "en", "mail_patches", 500)]
+    leaf = {path[-2]: path[-1] for path in mixing.leaves_of(queries._tree(leaves, targets), 3)}
+    assert leaf["bitbarn"].short and leaf["bitbarn"].budget == 100
+    assert leaf["campus_git"].budget == pytest.approx(400) and leaf["mail_patches"].budget == pytest.approx(500)
+    with pytest.raises(ValueError):
+        queries._tree(leaves, [*targets, row("ghost", 0.0, 1)])
 
 
 def test_p8_found_against_tokens(spark, sf):
