@@ -1,25 +1,27 @@
 """Accounts that act on the same items together, by basket collapsing.
 
-A basket is what acted on one item within one time cell: its residents, and its
-guests from the cell before.  Events at most a window apart are resident and
-resident or resident and guest of exactly one basket.  Baskets with the same
-members are collapsed into one with a weight, pairs are enumerated once per
-distinct basket, and weights are summed.
+A basket is what acted on one item within one time cell as wide as the window, so
+all its members are close enough.  Baskets with the same members are collapsed into
+one with a weight, pairs are enumerated once per distinct basket, and weights are
+summed.  Members of neighbouring cells are paired by their exact times, which only
+the borders of cells need.  The sums are the counts themselves.
+
+A basket of many members is split by hash of the member into parts of about
+``part`` members, and pairs of parts are baskets; all baskets go this way, most as
+one part with itself, so no array grows with the data.
 
 What can be left out without losing a pair is left out first:
 
 * accounts with fewer than ``min_count`` items, and accounts with so many that no
   partner could lift the pair to ``min_lift`` (``n_ab <= min(n_a, n_b)``);
 * items that only one remaining account touched;
-* of each account, its ``min_count - 1`` most popular items: a pair with
-  ``min_count`` common items shares one outside these on both sides.  An item
-  that holds a third of all rows is thus in nobody's baskets, unless all of an
-  account's items are such.
-
-The summed weight (plus ``min_count - 1``) bounds ``n_ab`` from above, which
-drops most pairs; for the rest ``n_ab`` is counted over all items with the exact
-times.  Baskets above ``max_basket`` members are not collected into arrays but
-joined, so no task holds an unbounded group.
+* of each account, its ``min_count - 1`` most popular items.  Of the common items of a
+  pair, in order of popularity, only the first ``min_count - 1`` can be among these of
+  either side; so a pair with ``min_count`` common items meets in a basket, and the
+  summed weight lacks at most ``min_count - 1``.  For the pairs whose weight can
+  suffice, the items left out, which are a constant number per account, are looked up
+  and added.  An item that holds a third of all rows is thus in nobody's baskets,
+  unless all of an account's items are such.
 
 Defined results: rows with null account, item or time are ignored; of repeated
 rows the earliest counts; an empty table gives no pairs; other columns are
@@ -39,36 +41,50 @@ def first_events(events: DataFrame) -> DataFrame:
     return events.groupBy("account", "item").agg(F.min("t").alias("t"))
 
 
+def collapsed_baskets(seated: DataFrame) -> DataFrame:
+    """Distinct baskets ``(one, other, weight)`` of ``seated(item, cell, account, part, parts)``.
+
+    ``other`` is empty if the pairs are those inside ``one``, else they run across.
+    """
+    own, last = F.col("part"), F.col("parts") - 1
+    seat = lambda i, j, right: F.struct(i.alias("i"), j.alias("j"), F.lit(right).alias("right"))
+    left = F.transform(F.sequence(own, last), lambda j: seat(own, j, False))
+    right = F.when(own > 0, F.transform(F.sequence(F.lit(0).cast("long"), own - 1), lambda i: seat(i, own, True)))
+    seats = seated.select("item", "cell", "account", F.explode(F.concat(left, F.coalesce(right, F.array()))).alias("s"))
+    member = lambda right: F.array_sort(F.collect_list(F.when(F.col("s.right") == right, F.col("account"))))
+    baskets = seats.groupBy("item", "cell", "s.i", "s.j").agg(member(False).alias("one"), member(True).alias("other"))
+    full = F.when(F.col("i") == F.col("j"), F.size("one") > 1).otherwise((F.size("one") > 0) & (F.size("other") > 0))
+    return baskets.filter(full).groupBy("one", "other").agg(F.count("*").alias("weight"))
+
+
 def _pairs_of_baskets(baskets: DataFrame) -> DataFrame:
-    """Pairs with weights of distinct baskets ``(residents, guests, weight)``."""
-    one = baskets.select("weight", "residents", "guests", F.posexplode("residents").alias("i", "a"))
-    rest = F.concat(F.slice("residents", F.col("i") + 2, F.size("residents")), F.col("guests"))
-    pairs = one.select("weight", "a", F.explode(rest).alias("b"))
+    members = baskets.select("weight", "one", "other", F.posexplode("one").alias("i", "a"))
+    rest = F.when(F.size("other") == 0, F.slice("one", F.col("i") + 2, F.size("one"))).otherwise(F.col("other"))
+    pairs = members.select("weight", "a", F.explode(rest).alias("b"))
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "weight")
 
 
-def basket_pairs(events: DataFrame, window: int, max_basket: int) -> DataFrame:
-    """``(a, b, weight)``: items of ``events(account, item, t)`` where a and b share a cell or neighbouring cells."""
-    cell = F.floor(F.col("t") / window)
-    at = events.select("account", "item", cell.alias("cell"))
-    seats = at.select("item", F.explode(F.array(F.struct("cell", F.lit(False).alias("guest")), F.struct((F.col("cell") + 1).alias("cell"), F.lit(True).alias("guest")))).alias("seat"), "account")
-    seats = seats.select("item", "seat.cell", "seat.guest", "account")
-    sizes = seats.groupBy("item", "cell").agg(F.count("*").alias("size"), F.min("guest").alias("only_guests"))
-    sizes = sizes.filter((F.col("size") > 1) & ~F.col("only_guests"))
-    seated = seats.join(sizes.select("item", "cell", "size"), ["item", "cell"])
-    small = seated.filter(F.col("size") <= max_basket)
-    member = lambda guest: F.array_sort(F.collect_list(F.when(F.col("guest") == guest, F.col("account"))))
-    baskets = small.groupBy("item", "cell").agg(member(False).alias("residents"), member(True).alias("guests"))
-    distinct = baskets.groupBy("residents", "guests").agg(F.count("*").alias("weight"))
-    big = seated.filter(F.col("size") > max_basket)
-    left = big.filter(~F.col("guest")).select("item", "cell", F.col("account").alias("a"))
-    right = big.select("item", "cell", F.col("account").alias("b"), F.col("guest"))
-    joined = left.join(right, ["item", "cell"]).filter(F.col("guest") | (F.col("a") < F.col("b")))
-    joined = joined.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.lit(1).cast("long").alias("weight"))
-    return _pairs_of_baskets(distinct).unionByName(joined).groupBy("a", "b").agg(F.sum("weight").alias("weight"))
-
-
-def cooccurring_pairs(events: DataFrame, window: int, min_count: int = 3, min_lift: float = 5.0, max_basket: int = 256) -> DataFrame:
+def basket_pairs(events: DataFrame, window: int, part: int = 256) -> DataFrame:
+    """``(a, b, weight)``: the number of items that a and b touched at most ``window`` apart.
+
+    ``events(account, item, t)`` has one row per account and item.
+    """
+    at = events.select("account", "item", "t", F.floor(F.col("t") / window).alias("cell"))
+    sizes = at.groupBy("item", "cell").agg(F.count("*").alias("size"))
+    large = cut(sizes.filter(F.col("size") > part).select("item", "cell", F.ceil(F.col("size") / part).alias("parts")), "large")
+    at = at.join(large, ["item", "cell"], "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("long")))
+    at = at.withColumn("part", F.pmod(F.xxhash64("account"), F.col("parts")))
+    inside = _pairs_of_baskets(collapsed_baskets(at))
+    guests = at.select("item", (F.col("cell") + 1).alias("cell"), "part", F.col("account").alias("b"), F.col("t").alias("t_b"))
+    before = large.select("item", (F.col("cell") + 1).alias("cell"), F.col("parts").alias("hosts"))
+    hosts = at.select("item", "cell", F.col("account").alias("a"), F.col("t").alias("t_a")).join(before, ["item", "cell"], "left")
+    hosts = hosts.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("hosts", F.lit(1).cast("long")) - 1)))
+    across = hosts.join(guests, ["item", "cell", "part"]).filter(F.col("t_a") - F.col("t_b") <= window)
+    across = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.lit(1).cast("long").alias("weight"))
+    return inside.unionByName(across).groupBy("a", "b").agg(F.sum("weight").alias("weight"))
+
+
+def cooccurring_pairs(events: DataFrame, window: int, min_count: int = 3, min_lift: float = 5.0, part: int = 256) -> DataFrame:
     """Pairs of accounts with ``n_ab >= min_count`` and lift ``>= min_lift``.
 
     ``events(account, item, t)``, ``t`` and ``window`` in one unit.  Result
@@ -77,7 +93,6 @@ def cooccurring_pairs(events: DataFrame, window: int, min_count: int = 3, min_li
     items in all, ``lift = n_ab * n / (n_a * n_b)`` and ``conviction = (1 - n_b / n) /
     (1 - n_ab / n_a)`` of a towards b, null where b follows without exception.
     """
-    spark = events.sparkSession
     rows = events.select("account", "item", "t").filter("account is not null and item is not null and t is not null")
     first = cut(first_events(rows), "first")
     n = first.select("item").distinct().count()
@@ -90,20 +105,23 @@ def cooccurring_pairs(events: DataFrame, window: int, min_count: int = 3, min_li
     still = live.groupBy("account").agg(F.count("*").alias("n_live")).filter(F.col("n_live") >= min_count)
     live = cut(live.join(still.select("account"), "account", "left_semi"), "live")
     top = Window.partitionBy("account").orderBy(F.desc("popularity"), "item")
-    popular = live.withColumn("place", F.row_number().over(top)).filter(F.col("place") <= min_count - 1)
-    prefix = live.join(popular.select("account", "item"), ["account", "item"], "left_anti")
-    pairs = basket_pairs(prefix, window, max_basket)
-    sizes = live.select("account", "n_items").distinct()
+    spared = live.withColumn("place", F.row_number().over(top)).filter(F.col("place") <= min_count - 1)
+    spared = cut(spared.select("account", "item", "t"), "spared")
+    kept = cut(live.join(spared.select("account", "item"), ["account", "item"], "left_anti"), "kept")
+    pairs = basket_pairs(kept, window, part)
+    sizes = able.join(still.select("account"), "account", "left_semi")
     for side in ("a", "b"):
         pairs = pairs.join(sizes.select(F.col("account").alias(side), F.col("n_items").alias(f"n_{side}")), side)
-    bound = F.col("weight") + (min_count - 1)
-    pairs = cut(pairs.filter(bound * n >= F.col("n_a") * F.col("n_b") * F.lit(float(min_lift))), "pairs")
-    of_a = live.select(F.col("account").alias("a"), "item", F.col("t").alias("t_a"))
-    of_b = live.select(F.col("account").alias("b"), "item", F.col("t").alias("t_b"))
-    met = pairs.join(of_a, "a").join(of_b, ["b", "item"]).filter(F.abs(F.col("t_a") - F.col("t_b")) <= window)
-    counted = met.groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("n_ab")).filter(F.col("n_ab") >= min_count)
+    enough = lambda count: (count >= min_count) & (count * F.lit(n) >= F.col("n_a") * F.col("n_b") * F.lit(float(min_lift)))
+    pairs = cut(pairs.filter(enough(F.col("weight") + (min_count - 1))), "pairs")
+    side = lambda df, x: df.select(F.col("account").alias(x), "item", F.col("t").alias(f"t_{x}"))
+    # what one side spared meets all of the other side, what only the other spared meets what the one kept
+    met_a = pairs.join(side(spared, "a"), "a").join(side(live, "b"), ["b", "item"])
+    met_b = pairs.join(side(spared, "b"), "b").join(side(kept, "a"), ["a", "item"])
+    close = F.abs(F.col("t_a") - F.col("t_b")) <= window
+    added = met_a.filter(close).select("a", "b").unionByName(met_b.filter(close).select("a", "b")).groupBy("a", "b").agg(F.count("*").alias("more"))
+    full = pairs.join(added, ["a", "b"], "left").withColumn("n_ab", F.col("weight") + F.coalesce("more", F.lit(0)))
+    full = full.filter(enough(F.col("n_ab"))).withColumn("n", F.lit(n).cast("long"))
     lift = F.col("n_ab") * F.lit(float(n)) / (F.col("n_a") * F.col("n_b"))
-    full = counted.withColumn("n", F.lit(n).cast("long")).withColumn("lift", lift)
-    kept = full.filter(F.col("n_ab") * F.col("n") >= F.col("n_a") * F.col("n_b") * F.lit(float(min_lift)))
     conviction = (1 - F.col("n_b") / n) / F.expr("nullif(1 - n_ab / n_a, 0)") if n else F.lit(None).cast("double")
-    return kept.select("a", "b", "n_ab", "n_a", "n_b", "n", "lift", conviction.alias("conviction"))
+    return full.select("a", "b", "n_ab", "n_a", "n_b", "n", lift.alias("lift"), conviction.alias("conviction"))

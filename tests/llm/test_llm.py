@@ -71,14 +71,14 @@ def pairs_by_hand(rows, window, least, lift):
     return out
 
 
-@pytest.mark.parametrize("seed,max_basket,lift", [(1, 256, 2.0), (2, 3, 1.0), (3, 2, 0.0)])
-def test_cooccurrence_against_brute_force(spark, seed, max_basket, lift):
+@pytest.mark.parametrize("seed,part,lift", [(1, 256, 2.0), (2, 3, 1.0), (3, 2, 0.0), (4, 1, 1.0)])
+def test_cooccurrence_against_brute_force(spark, seed, part, lift):
     rng = random.Random(seed)
     rows = [(f"u{rng.randrange(25)}", "hot" if rng.random() < 0.35 else f"i{int(rng.paretovariate(0.7)) % 80}", rng.randrange(0, 300)) for _ in range(700)]
     rows += [(f"bot{b}", f"i{i}", 1000 * i + rng.randrange(70)) for i in range(6) for b in range(4)]
     rows += [(None, "i1", 3), ("u1", None, 3), ("u1", "i1", None), *rows[:30]]
     df = spark.createDataFrame([(*r, "x") for r in rows], "account string, item string, t long, weight string")
-    got = cooccurrence.cooccurring_pairs(df, 60, 3, lift, max_basket).collect()
+    got = cooccurrence.cooccurring_pairs(df, 60, 3, lift, part).collect()
     assert {(r.a, r.b): (r.n_ab, r.n_a, r.n_b, r.n) for r in got} == pairs_by_hand(rows, 60, 3, lift)
     assert got and len({(r.a, r.b) for r in got}) == len(got)
 
@@ -93,6 +93,20 @@ def test_collapsed_baskets_weigh_the_same(spark):
     df = spark.createDataFrame(rows, "account string, item string, t long")
     got = {(r.a, r.b): r.weight for r in cooccurrence.basket_pairs(df, 60, 100).collect()}
     assert got == {("a", "b"): 5, ("a", "c"): 5, ("b", "c"): 5}
+    seated = df.selectExpr("account", "item", "t as cell", "0L as part", "1L as parts")
+    assert [tuple(r) for r in cooccurrence.collapsed_baskets(seated).collect()] == [(["a", "b", "c"], [], 5)]
+
+
+@pytest.mark.parametrize("part", [1, 4, 1000])
+def test_weights_are_the_counts(spark, part):
+    rng = random.Random(part)
+    events = {(f"u{rng.randrange(40)}", f"i{rng.randrange(3)}"): rng.randrange(200) for _ in range(300)}
+    df = spark.createDataFrame([(*k, t) for k, t in events.items()], "account string, item string, t long")
+    want = Counter()
+    for ((a, i), t), ((b, j), u) in itertools.combinations(sorted(events.items()), 2):
+        want[a, b] += i == j and a != b and abs(t - u) <= 60
+    got = {(r.a, r.b): r.weight for r in cooccurrence.basket_pairs(df, 60, part).collect()}
+    assert got == {k: n for k, n in want.items() if n} and got
 
 
 # ---- similar sets
