@@ -67,18 +67,27 @@ def _pairs_of_baskets(baskets: DataFrame) -> DataFrame:
 def basket_pairs(events: DataFrame, window: int, part: int = 256) -> DataFrame:
     """``(a, b, weight)``: the number of items that a and b touched at most ``window`` apart.
 
-    ``events(account, item, t)`` has one row per account and item.
+    ``events(account, item, t)`` has one row per account and item.  Residents of a
+    cell, and guests, who come from the cell before, are first reduced to cells with
+    company, by a hash of the cell: a collision keeps a row for nothing.
     """
-    at = events.select("account", "item", "t", F.floor(F.col("t") / window).alias("cell"))
-    sizes = at.groupBy("item", "cell").agg(F.count("*").alias("size"))
+    seat = F.explode(F.array(F.lit(0), F.lit(1))).alias("guest")
+    seats = events.select("account", "item", "t", seat).withColumn("cell", F.floor(F.col("t") / window) + F.col("guest"))
+    seats = seats.withColumn("key", F.xxhash64("item", "cell"))
+    company = seats.groupBy("key").agg(F.count("*").alias("k"), F.min("guest").alias("g")).filter("k > 1 and g = 0")
+    near = cut(seats.join(cut(company.select("key"), "company"), "key", "left_semi").drop("key"), "near")
+    residents = near.filter("guest = 0").drop("guest")
+    sizes = residents.groupBy("item", "cell").agg(F.count("*").alias("size"))
     large = cut(sizes.filter(F.col("size") > part).select("item", "cell", F.ceil(F.col("size") / part).alias("parts")), "large")
-    at = at.join(large, ["item", "cell"], "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("long")))
-    at = at.withColumn("part", F.pmod(F.xxhash64("account"), F.col("parts")))
-    inside = _pairs_of_baskets(collapsed_baskets(at))
-    guests = at.select("item", (F.col("cell") + 1).alias("cell"), "part", F.col("account").alias("b"), F.col("t").alias("t_b"))
-    before = large.select("item", (F.col("cell") + 1).alias("cell"), F.col("parts").alias("hosts"))
-    hosts = at.select("item", "cell", F.col("account").alias("a"), F.col("t").alias("t_a")).join(before, ["item", "cell"], "left")
-    hosts = hosts.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("hosts", F.lit(1).cast("long")) - 1)))
+    parted = lambda df: df.withColumn("parts", F.coalesce("parts", F.lit(1).cast("long")))
+    seated = parted(residents.join(large, ["item", "cell"], "left")).withColumn("part", F.pmod(F.xxhash64("account"), F.col("parts")))
+    inside = _pairs_of_baskets(collapsed_baskets(seated))
+    # guests are split as in their own cell, and residents meet every part of them
+    before = large.select("item", (F.col("cell") + 1).alias("cell"), "parts")
+    guests = parted(near.filter("guest = 1").join(before, ["item", "cell"], "left"))
+    guests = guests.select("item", "cell", F.pmod(F.xxhash64("account"), F.col("parts")).alias("part"), F.col("account").alias("b"), F.col("t").alias("t_b"))
+    hosts = parted(residents.join(before, ["item", "cell"], "left"))
+    hosts = hosts.select("item", "cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("account").alias("a"), F.col("t").alias("t_a"))
     across = hosts.join(guests, ["item", "cell", "part"]).filter(F.col("t_a") - F.col("t_b") <= window)
     across = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.lit(1).cast("long").alias("weight"))
     return inside.unionByName(across).groupBy("a", "b").agg(F.sum("weight").alias("weight"))
@@ -97,21 +106,22 @@ def cooccurring_pairs(events: DataFrame, window: int, min_count: int = 3, min_li
     first = cut(first_events(rows), "first")
     n = first.select("item").distinct().count()
     per_account = first.groupBy("account").agg(F.count("*").alias("n_items"))
-    # n_ab <= min(n_a, n_b), so lift <= n / max(n_a, n_b)
-    able = per_account.filter((F.col("n_items") >= min_count) & (F.col("n_items") * F.lit(float(min_lift)) <= n))
-    live = first.join(able, "account")
+    # n_ab <= min(n_a, n_b), so lift <= n / max(n_a, n_b); tables per account are written, so that small ones are broadcast
+    able = cut(per_account.filter((F.col("n_items") >= min_count) & (F.col("n_items") * F.lit(float(min_lift)) <= n)), "able")
+    live = first.join(able, "account", "left_semi")
     shared = live.groupBy("item").agg(F.count("*").alias("popularity")).filter("popularity > 1")
-    live = live.join(shared, "item")
+    live = cut(live.join(shared, "item"), "live")
     still = live.groupBy("account").agg(F.count("*").alias("n_live")).filter(F.col("n_live") >= min_count)
-    live = cut(live.join(still.select("account"), "account", "left_semi"), "live")
+    still = cut(still.select("account"), "still")
+    live = live.join(still, "account", "left_semi")
     top = Window.partitionBy("account").orderBy(F.desc("popularity"), "item")
-    spared = live.withColumn("place", F.row_number().over(top)).filter(F.col("place") <= min_count - 1)
-    spared = cut(spared.select("account", "item", "t"), "spared")
-    kept = cut(live.join(spared.select("account", "item"), ["account", "item"], "left_anti"), "kept")
+    spared = cut(live.withColumn("place", F.row_number().over(top)).filter(F.col("place") <= min_count - 1), "spared")
+    last = spared.filter(F.col("place") == min_count - 1).select("account", F.col("popularity").alias("p"), F.col("item").alias("i"))
+    after = F.col("p").isNull() | (F.col("popularity") < F.col("p")) | ((F.col("popularity") == F.col("p")) & (F.col("item") > F.col("i")))
+    kept = live.join(last, "account", "left").filter(after).select("account", "item", "t")
     pairs = basket_pairs(kept, window, part)
-    sizes = able.join(still.select("account"), "account", "left_semi")
     for side in ("a", "b"):
-        pairs = pairs.join(sizes.select(F.col("account").alias(side), F.col("n_items").alias(f"n_{side}")), side)
+        pairs = pairs.join(able.select(F.col("account").alias(side), F.col("n_items").alias(f"n_{side}")), side)
     enough = lambda count: (count >= min_count) & (count * F.lit(n) >= F.col("n_a") * F.col("n_b") * F.lit(float(min_lift)))
     pairs = cut(pairs.filter(enough(F.col("weight") + (min_count - 1))), "pairs")
     side = lambda df, x: df.select(F.col("account").alias(x), "item", F.col("t").alias(f"t_{x}"))
