@@ -22,7 +22,7 @@ def rounds_for(chunks: int, fan_in: int) -> int:
     return max(1, math.ceil(math.log(max(chunks, 2), fan_in) - 1e-9))
 
 
-def tree_aggregate(df: DataFrame, keys: list[str], merge: dict[str, Column], chunks: int, fan_in: int = 16) -> DataFrame:
+def tree_aggregate(df: DataFrame, keys: list[str], merge: dict[str, Column], chunks: int, fan_in: int = 64) -> DataFrame:
     """Merge rows per ``keys`` in rounds of ``fan_in``.
 
     ``merge`` maps a column to an aggregate over the same column, which must be
@@ -36,7 +36,7 @@ def tree_aggregate(df: DataFrame, keys: list[str], merge: dict[str, Column], chu
     return at.groupBy(*keys).agg(*[c.alias(n) for n, c in merge.items()])
 
 
-def object_activity(posts: DataFrame, keys: list[str], account: str, time: str, row_id: str, chunks: int, fan_in: int = 16) -> DataFrame:
+def object_activity(posts: DataFrame, keys: list[str], account: str, time: str, row_id: str, chunks: int, fan_in: int = 64, accounts: bool = True) -> DataFrame:
     """Rows, accounts and first row of each object.
 
     ``posts`` has the key columns, ``account``, ``time`` (any ordered type, null
@@ -49,19 +49,23 @@ def object_activity(posts: DataFrame, keys: list[str], account: str, time: str,
     Distinct accounts are exact: rows are first folded per object and account
     (itself a tree, as one account may repeat itself without end), which leaves
     each account of an object in one task; then objects are folded over tasks,
-    where each account counts once.
+    where each account counts once.  Without ``accounts`` that fold and the column
+    are left out, and rows are folded per object at once.
     """
     first = F.when(F.col(time).isNotNull(), F.struct(F.col(time).alias("t"), F.col(row_id).alias("r")))
     rows = posts.select(
         *keys,
-        F.col(account).alias("_account"),
+        *([F.col(account).alias("_account")] if accounts else []),
         F.lit(1).cast("long").alias("n_rows"),
         F.col(time).isNotNull().cast("long").alias("n_timed"),
         first.alias("_first"),
     )
     fold = {"n_rows": F.sum("n_rows"), "n_timed": F.sum("n_timed"), "_first": F.min("_first")}
-    per_account = tree_aggregate(rows, [*keys, "_account"], fold, chunks, fan_in)
-    per_account = per_account.withColumn("n_accounts", F.col("_account").isNotNull().cast("long"))
-    tasks = int(posts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    states = tree_aggregate(per_account, keys, {**fold, "n_accounts": F.sum("n_accounts")}, tasks, fan_in)
-    return states.select(*keys, "n_rows", "n_timed", "n_accounts", F.col("_first.r").alias("first_row_id"))
+    if accounts:
+        rows = tree_aggregate(rows, [*keys, "_account"], fold, chunks, fan_in)
+        rows = rows.withColumn("n_accounts", F.col("_account").isNotNull().cast("long"))
+        fold["n_accounts"] = F.sum("n_accounts")
+        chunks = int(posts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    states = tree_aggregate(rows, keys, fold, chunks, fan_in)
+    counts = ["n_rows", "n_timed", *(["n_accounts"] if accounts else [])]
+    return states.select(*keys, *counts, F.col("_first.r").alias("first_row_id"))

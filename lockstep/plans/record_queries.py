@@ -73,7 +73,7 @@ def p3_set_apart(spark: SparkSession, d: str) -> DataFrame:
     return _times(spark, d).filter(F.col("utc_us").isNull()).select("src", "row_id", "written", "capture_zone")
 
 
-def _objects(spark: SparkSession, d: str) -> DataFrame:
+def _objects(spark: SparkSession, d: str, accounts: bool = True) -> DataFrame:
     trim = lambda c: F.regexp_replace(F.col(c), r"^\s+|\s+$", "")
     retweets = table(spark, d, "cimaio_posts").select(
         F.lit("cimaio_posts").alias("src"), trim("retweet_tweetid").alias("object_id"), F.col("userid").alias("account"), F.col("tweet_time").cast("long").alias("at"), "row_id"
@@ -84,12 +84,12 @@ def _objects(spark: SparkSession, d: str) -> DataFrame:
         .select(F.lit("anon_posts").alias("src"), trim("reposted_postid").alias("object_id"), F.col("accountid").alias("account"), F.unix_micros(F.col("post_time").cast("timestamp")).alias("at"), "row_id")
     )
     posts = retweets.unionByName(reposts).filter(F.col("object_id") != "")
-    return object_activity(posts, ["src", "object_id"], "account", "at", "row_id", chunks=posts.rdd.getNumPartitions())
+    return object_activity(posts, ["src", "object_id"], "account", "at", "row_id", chunks=posts.rdd.getNumPartitions(), accounts=accounts)
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """First row of each object with two or more rows of known time."""
-    return _objects(spark, d).filter(F.col("n_timed") >= 2).select("src", "object_id", "first_row_id")
+    return _objects(spark, d, accounts=False).filter(F.col("n_timed") >= 2).select("src", "object_id", "first_row_id")
 
 
 def p5_activity(spark: SparkSession, d: str) -> DataFrame:

@@ -264,4 +264,6 @@ def test_object_activity(spark, fan_in, chunks):
         timed = sorted((r[2], r[3]) for r in own if r[2] is not None)
         want[o] = (len(own), len(timed), len({r[1] for r in own} - {None}), timed[0][1] if timed else None)
     assert got == want
+    bare = object_activity(df, ["obj"], "who", "at", "rid", chunks, fan_in, accounts=False)
+    assert {r.obj: (r.n_rows, r.n_timed, r.first_row_id) for r in bare.collect()} == {k: (v[0], v[1], v[3]) for k, v in got.items()}
     assert object_activity(df.limit(0), ["obj"], "who", "at", "rid", chunks, fan_in).count() == 0
