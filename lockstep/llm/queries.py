@@ -79,13 +79,14 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_classes(spark: SparkSession, d: str) -> DataFrame:
-    """One row per account with a partner: the representative of its class and the number of similar classes."""
+    """One row per account with a partner: its class, named by the smallest account with that set, and the number of similar classes."""
     pairs, members = similar_classes(_sets(spark, d), threshold=0.5, min_size=5)
+    members = cut(members, "members")
     ends = pairs.select("field", F.explode(F.array("a", "b")).alias("rep"))
     links = ends.groupBy("field", "rep").agg(F.count("*").alias("n_links"))
-    sizes = members.groupBy("field", "rep").agg(F.count("*").alias("n_copies"))
+    sizes = members.groupBy("field", "rep").agg(F.count("*").alias("n_copies"), F.min("owner").alias("class_id"))
     rows = members.join(sizes, ["field", "rep"]).join(links, ["field", "rep"], "left").fillna(0, ["n_links"])
-    return rows.filter("n_links > 0 or n_copies > 1").select("field", F.col("owner").alias("userid"), F.col("rep").alias("class_id"), "n_copies", "n_links")
+    return rows.filter("n_links > 0 or n_copies > 1").select("field", F.col("owner").alias("userid"), "class_id", "n_copies", "n_links")
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
@@ -213,16 +214,25 @@ r AS (
   FROM p JOIN s x ON x.u = ua JOIN s y ON y.u = ub, n WHERE n_ab * n >= 5 * x.k * y.k
 )
 """
+_LIKE_SQL = (
+    _ITEMS_SQL
+    + """, sets AS (SELECT DISTINCT field, userid AS u, item FROM filled WHERE userid IS NOT NULL),
+sizes AS (SELECT field, u, count(*) AS k FROM sets GROUP BY 1, 2 HAVING count(*) >= 5),
+own AS (SELECT sets.*, k FROM sets JOIN sizes USING (field, u)),
+alike AS (SELECT a.field, a.u AS userid_a, b.u AS userid_b FROM own a JOIN own b ON a.field = b.field AND a.item = b.item AND a.u < b.u
+  GROUP BY 1, 2, 3, a.k, b.k HAVING 2 * count(*) >= a.k + b.k - count(*))
+"""
+)
 ORACLE = {
     "p2_found": _ITEMS_SQL + "SELECT field, item FROM filled GROUP BY field, item HAVING count(*) * 100 >= (SELECT count(*) FROM filled f WHERE f.field = filled.field)",
     "p4_found": _PAIRS_SQL + "SELECT userid_a, userid_b FROM r",
     "p4_pairs": _PAIRS_SQL + "SELECT userid_a, userid_b, n_ab, n_a, n_b, n, round(lift, 9) AS lift, round(conviction, 9) AS conviction FROM r",
-    "p6_found": _ITEMS_SQL
-    + """, sets AS (SELECT DISTINCT field, userid AS u, item FROM filled WHERE userid IS NOT NULL),
-sizes AS (SELECT field, u, count(*) AS k FROM sets GROUP BY 1, 2 HAVING count(*) >= 5),
-own AS (SELECT sets.*, k FROM sets JOIN sizes USING (field, u))
-SELECT a.field, a.u AS userid_a, b.u AS userid_b FROM own a JOIN own b ON a.field = b.field AND a.item = b.item AND a.u < b.u
-GROUP BY 1, 2, 3, a.k, b.k HAVING 2 * count(*) >= a.k + b.k - count(*)""",
+    "p6_found": _LIKE_SQL + "SELECT * FROM alike",
+    "p6_classes": _LIKE_SQL
+    + """, named AS (SELECT field, u, min(u) OVER same AS class_id, count(*) OVER same AS n_copies FROM (SELECT field, u, list_sort(list(item)) AS items FROM own GROUP BY 1, 2) WINDOW same AS (PARTITION BY field, items)),
+ends AS (SELECT field, userid_a AS u, userid_b AS v FROM alike UNION ALL SELECT field, userid_b, userid_a FROM alike),
+links AS (SELECT x.field, x.class_id, count(DISTINCT y.class_id) AS n FROM ends JOIN named x ON x.field = ends.field AND x.u = ends.u JOIN named y ON y.field = ends.field AND y.u = ends.v WHERE x.class_id <> y.class_id GROUP BY 1, 2)
+SELECT field, u AS userid, class_id, n_copies, coalesce(n, 0) AS n_links FROM named LEFT JOIN links USING (field, class_id) WHERE n_copies > 1 OR n > 0""",
     "p7_found": r"""
 WITH docs AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
 items AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM eval_items),

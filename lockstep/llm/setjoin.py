@@ -23,6 +23,10 @@ values differ at least, which drops nearly all false candidates in the join.  Wh
 is left is verified on 64-bit hashes of all values, and what passes on the values
 themselves.
 
+Nothing that grows with the data is held as one: a signature or value that very many
+sets have is split by hash of the set, and sets of more than ``largest`` values, of
+which there are few, are not collected but joined value by value and counted.
+
 Defined results: rows with null field, owner or value are ignored; repeated rows
 count once; sets below ``min_size`` are ignored; extra columns are ignored; an
 empty table gives no pairs.
@@ -40,6 +44,13 @@ from pyspark.sql import functions as F
 
 from lockstep.session import cut
 
+#: Sets of more values are compared by joining rows.
+LARGEST = 1 << 17
+#: Sets under one signature or value in one task; many more are split into parts of this size.
+GROUP = 10_000
+#: Signatures that are split, at most; with more sets the parts grow.
+HOT = 100_000
+
 _MASK = (1 << 64) - 1
 _SPREAD = 0x9E3779B97F4A7C15
 
@@ -56,15 +67,18 @@ def _keyed(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"oid": F.xxhash64("field", "owner"), "vid": F.xxhash64("value", "field")})
 
 
-def set_classes(rows: DataFrame, threshold: float, min_size: int = 1) -> tuple[DataFrame, DataFrame]:
+def set_classes(rows: DataFrame, threshold: float, min_size: int = 1, largest: int = LARGEST) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Sets that can have a partner, as classes of equal sets, in terms of ids.
 
     Returns ``classes(sid, size, values, bits)`` with the values that other sets share,
-    rarest first, as structs ``(df, vid)``, and ``members(oid, sid)`` of classes
-    with two members or more.
+    rarest first, as structs ``(df, vid)``, ``members(oid, sid)`` of classes
+    with two members or more, and ``large(oid, size)``, the sets that are similar to
+    sets above ``largest``, if to any; those above it are in no class.
     """
     tokens = cut(_keyed(rows).select("oid", "vid").distinct(), "tokens")
     sizes = tokens.groupBy("oid").agg(F.count("*").cast("int").alias("size")).filter(F.col("size") >= min_size)
+    large = cut(sizes.filter(F.col("size") + 1e-9 >= largest * threshold), "large")
+    sizes = sizes.filter(F.col("size") <= largest)
     # sizes that some other set is near enough to; there are at most as many as the root of twice the rows
     kinds = sizes.groupBy("size").agg(F.count("*").alias("k"))
     by_size = Window.orderBy("size")
@@ -86,7 +100,20 @@ def set_classes(rows: DataFrame, threshold: float, min_size: int = 1) -> tuple[D
     several = whole.groupBy("key").agg(F.min("oid").alias("sid"), F.count("*").alias("k")).filter("k > 1").select("key", "sid")
     members = cut(whole.join(several, "key").select("oid", "sid"), "members")
     classes = arrays.join(members.filter("oid <> sid").select("oid"), "oid", "left_anti").withColumnRenamed("oid", "sid")
-    return classes, members
+    return classes, members, large
+
+
+def large_pairs(rows: DataFrame, large: DataFrame, threshold: float, largest: int = LARGEST) -> DataFrame:
+    """``(field, a, b, overlap, similarity)`` of similar sets of which one has more than ``largest`` values."""
+    if large.agg(F.max("size")).first()[0] is None or large.filter(F.col("size") > largest).isEmpty():
+        return rows.sparkSession.createDataFrame([], "field string, a string, b string, overlap bigint, similarity double")
+    whole = _keyed(rows).join(large, "oid").select("field", "owner", "value", "size").distinct()
+    side = lambda x: whole.select("field", "value", F.col("owner").alias(x), F.col("size").alias(f"size_{x}"))
+    small, great = F.least("size_a", "size_b"), F.greatest("size_a", "size_b")
+    met = side("a").join(side("b"), ["field", "value"]).filter((F.col("a") < F.col("b")) & (great > largest) & (small + 1e-9 >= great * threshold))
+    counted = met.groupBy("field", "a", "b", "size_a", "size_b").agg(F.count("*").alias("overlap"))
+    similarity = F.col("overlap") / (F.col("size_a") + F.col("size_b") - F.col("overlap"))
+    return counted.select("field", "a", "b", "overlap", similarity.alias("similarity")).filter(F.col("similarity") + 1e-9 >= threshold)
 
 
 class Pigeonhole:
@@ -181,28 +208,27 @@ class Pigeonhole:
                 return [(at, segment, allow, parts[at][segment]) for (at, segment), allow in chosen.items()], True
         return [], False
 
-    def posted(self, size: int, values: list[tuple[int, int]]) -> list[int]:
-        """Signatures under which a set is found by partners that are not larger."""
+    def posted(self, size: int, values: list[tuple[int, int]]) -> tuple[list[int], list[tuple[int, int]]]:
+        """Signatures under which a set is found by partners that are not larger, and the values that do so instead.
+
+        The latter are the rarest values of a set whose segments do not suffice, one
+        of which any partner has, with the number of sets that have them.
+        """
         g, out = size.bit_length() - 1, []
-        for m, segment, allow, part in self.picks(size, values)[0]:
+        picks, enough = self.picks(size, values)
+        for m, segment, allow, part in picks:
             x = self.combined(part)
             out.append(self.signature(1, g, m, segment, x))
             if allow:
                 out += [self.signature(1, g, m, segment, x ^ vid) for _, vid in part]
                 out.append(self.signature(2, g, m, segment, x))
-        return out
+        return out, [] if enough else values[: max(0, len(values) - least_overlap(self.smallest(size), size, self.t) + 1)]
 
-    def short(self, size: int, values: list[tuple[int, int]]) -> list[int]:
-        """The rarest values of a set whose segments do not suffice, one of which any partner has."""
-        if self.picks(size, values)[1]:
-            return []
-        return [vid for _, vid in values[: max(0, len(values) - least_overlap(self.smallest(size), size, self.t) + 1)]]
-
-    def probes(self, size: int, values: list[tuple[int, int]]) -> list[int]:
-        """Signatures under which a set looks for partners that are not smaller."""
+    def probes(self, size: int, values: list[tuple[int, int]]) -> tuple[list[int], list[tuple[int, int]]]:
+        """Signatures under which a set looks for partners that are not smaller; no values."""
         largest, out = self.largest(size, len(values)), []
         if largest < size:
-            return out
+            return out, []
         for g in range(size.bit_length() - 1, largest.bit_length()):
             rare, common = self.split(values, g)
             for m, parts in [(0, rare), *[(m, self.pile(common, m)) for m in (self.layouts(g) if common else [])]]:
@@ -211,14 +237,17 @@ class Pigeonhole:
                     out.append(self.signature(1, g, m, segment, x))
                     if len(part) > 1:
                         out += [self.signature(2, g, m, segment, x ^ vid) for _, vid in part]
-        return out
+        return out, []
 
 
-_SIGNED = "sig bigint, sid bigint, sizes bigint, bits bigint"
+_SIGNED = "sig bigint, df bigint, sid bigint, sizes bigint, bits bigint"
 
 
 def _signed(classes: DataFrame, make: str, rule: Pigeonhole) -> DataFrame:
-    """Rows ``(sig, sid, sizes, bits)``; ``sizes`` holds the size and, in the low half, the number of shared values."""
+    """Rows ``(sig, df, sid, sizes, bits)``; ``sizes`` holds the size and, in the low half, the number of shared values.
+
+    ``df`` is the number of sets for values in place of signatures, else 0.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -228,16 +257,16 @@ def _signed(classes: DataFrame, make: str, rule: Pigeonhole) -> DataFrame:
             first = int(offsets[0]) if len(offsets) else 0
             # ids as unsigned numbers, for the arithmetic on segments
             dfs, vids = flat.field(0).to_pylist(), flat.field(1).to_numpy().astype(np.int64).view(np.uint64).tolist()
-            columns: list[list] = [[], [], [], []]
+            columns: list[list] = [[], [], [], [], []]
             for i, (sid, size, bits) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist())):
                 lo, hi = int(offsets[i]) - first, int(offsets[i + 1]) - first
-                signatures = getattr(rule, make)(size, list(zip(dfs[lo:hi], vids[lo:hi])))
-                if make == "short":
-                    signatures = [v - ((v >> 63) << 64) for v in signatures]
+                signatures, instead = getattr(rule, make)(size, list(zip(dfs[lo:hi], vids[lo:hi])))
+                marks = [0] * len(signatures) + [df for df, _ in instead]
+                signatures += [v - ((v >> 63) << 64) for _, v in instead]
                 n = len(signatures)
-                for column, value in zip(columns, (signatures, [sid] * n, [(size << 32) + hi - lo] * n, [bits] * n)):
+                for column, value in zip(columns, (signatures, marks, [sid] * n, [(size << 32) + hi - lo] * n, [bits] * n)):
                     column += value
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["sig", "sid", "sizes", "bits"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["sig", "df", "sid", "sizes", "bits"])
 
     return classes.select("sid", "size", "values", "bits").mapInArrow(run, _SIGNED)
 
@@ -246,20 +275,31 @@ def candidate_pairs(classes: DataFrame, threshold: float, min_size: int = 1) ->
     """Distinct ``(a, b)`` of class ids with ``a < b``: a superset of the similar pairs of different classes."""
     rule = Pigeonhole(threshold, min_size, classes.count())
     names = ["sid", "sizes", "bits"]
-    as_side = lambda df, x: df.select("sig", *[F.col(n).alias(f"{n}_{x}") for n in names])
     size, shared = (lambda x: F.shiftright(f"sizes_{x}", 32)), (lambda x: F.col(f"sizes_{x}").bitwiseAND(F.lit((1 << 32) - 1)))
     needed = F.ceil((size("r") + size("s")) * (threshold / (1 + threshold)) - 1e-9)
     possible = (F.col("sid_r") != F.col("sid_s")) & (size("r") <= size("s")) & (size("r") + 1e-9 >= size("s") * threshold)
     possible = possible & (F.bit_count(F.col("bits_r").bitwiseXOR(F.col("bits_s"))) <= shared("r") + shared("s") - 2 * needed)
     pair = [F.least("sid_r", "sid_s").alias("a"), F.greatest("sid_r", "sid_s").alias("b")]
-    posted, probes = _signed(classes, "posted", rule), _signed(classes, "probes", rule)
-    found = as_side(probes, "r").join(as_side(posted, "s"), "sig").filter(possible).select(*pair)
-    # few sets, so their table is mostly empty and known to be small once written
-    short = cut(_signed(classes, "short", rule), "short")
+    written = cut(_signed(classes, "posted", rule), "posted")
+    posted, probes = written.filter("df = 0"), _signed(classes, "probes", rule)
+    part = F.pmod(F.xxhash64("sid"), F.col("parts"))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
+    # signatures of very many sets are split into parts, which every probe visits
+    counts = posted.groupBy("sig").agg(F.count("*").alias("k"))
+    group = max(GROUP, posted.count() // HOT)
+    hot = F.broadcast(cut(counts.filter(F.col("k") > group).select("sig", F.ceil(F.col("k") / group).alias("parts")), "hot"))  # HOT rows at most
+    split = lambda df, at: df.join(hot, "sig", "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("long"))).withColumn("part", at)
+    as_part = lambda df, x: df.select("sig", "part", *[F.col(n).alias(f"{n}_{x}") for n in names])
+    found = as_part(split(probes, every), "r").join(as_part(split(posted, part), "s"), ["sig", "part"]).filter(possible).select(*pair)
+    # the values of sets without enough segments, split by how many sets have the value
     both = F.shiftleft(F.col("size").cast("long"), 32) + F.size("values")
-    spread = classes.select("sid", both.alias("sizes"), "bits", F.explode("values.vid").alias("sig"))
+    parts = F.ceil(F.col("df") / GROUP)
+    short = written.filter("df > 0").withColumn("parts", parts).withColumn("part", every)
+    wanted = cut(short.select("sig").distinct(), "short_values")
+    spread = classes.select("sid", both.alias("sizes"), "bits", F.explode("values").alias("v")).select("sid", "sizes", "bits", F.col("v.vid").alias("sig"), F.col("v.df").alias("df"))
+    spread = spread.join(wanted, "sig", "left_semi").withColumn("parts", parts).withColumn("part", part)
     # a merge join hands on rows one by one; the values of a long set would be held in memory otherwise
-    by_value = as_side(spread, "r").hint("merge").join(as_side(short, "s"), "sig").filter(possible).select(*pair)
+    by_value = as_part(spread, "r").hint("merge").join(as_part(short, "s"), ["sig", "part"]).filter(possible).select(*pair)
     return found.unionByName(by_value).distinct()
 
 
@@ -268,15 +308,16 @@ def _jaccard(values_a: Column, values_b: Column, size_a: Column, size_b: Column)
     return overlap, overlap / (size_a + size_b - overlap)
 
 
-def similar_classes(rows: DataFrame, threshold: float = 0.5, min_size: int = 1) -> tuple[DataFrame, DataFrame]:
+def similar_classes(rows: DataFrame, threshold: float = 0.5, min_size: int = 1, largest: int = LARGEST) -> tuple[DataFrame, DataFrame]:
     """Similar pairs between class representatives ``(field, a, b, overlap, similarity)``, and ``members(field, rep, owner)``.
 
     Members are those of classes with a similar class or of several owners.
-    Members of one class have similarity 1 and are not listed as pairs.
+    Members of one class have similarity 1 and are not listed as pairs; sets above
+    ``largest`` are classes of their own.
     """
     if not 0 < threshold <= 1:
         raise ValueError("the threshold lies above 0 and at most at 1")
-    classes, members = set_classes(rows, threshold, min_size)
+    classes, members, large = set_classes(rows, threshold, min_size, largest)
     pairs = candidate_pairs(classes, threshold, min_size)
     side = lambda n: classes.select(F.col("sid").alias(n), F.col("size").alias(f"size_{n}"), F.col("values.vid").alias(f"values_{n}"))
     overlap, similarity = _jaccard(F.col("values_a"), F.col("values_b"), F.col("size_a"), F.col("size_b"))
@@ -297,12 +338,20 @@ def similar_classes(rows: DataFrame, threshold: float = 0.5, min_size: int = 1)
     reps = names.select(F.col("oid").alias("sid"), F.col("owner").alias("rep"))
     several = members.join(names, "oid").join(reps, "sid").select("field", "rep", "owner")
     alone = names.join(members.select("oid"), "oid", "left_anti").select("field", F.col("owner").alias("rep"), "owner")
-    return checked, several.unionByName(alone)
-
-
-def similar_pairs(rows: DataFrame, threshold: float = 0.5, min_size: int = 1) -> DataFrame:
+    great = cut(large_pairs(rows, large, threshold, largest), "great")
+    ends = great.select("field", F.explode(F.array("a", "b")).alias("rep")).distinct().withColumn("owner", F.col("rep"))
+    # a set below the bound may be similar to sets on both sides of it
+    alone = alone.unionByName(ends.join(several.unionByName(alone), ["field", "owner"], "left_anti").select("field", "rep", "owner"))
+    to_rep = several.select("field", F.col("owner").alias("end"), F.col("rep").alias("of"))
+    for end in ("a", "b"):  # the pairs of large sets, too, are between representatives
+        great = great.join(to_rep, (great["field"] == to_rep["field"]) & (great[end] == to_rep["end"]), "left").select(great["field"], *[F.coalesce("of", great[c]).alias(c) if c == end else great[c] for c in great.columns[1:]])
+    great = great.select("field", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "overlap", "similarity").distinct()
+    return checked.unionByName(great), several.unionByName(alone)
+
+
+def similar_pairs(rows: DataFrame, threshold: float = 0.5, min_size: int = 1, largest: int = LARGEST) -> DataFrame:
     """All similar pairs of owners ``(field, a, b)``, ``a < b``, members of classes expanded."""
-    pairs, members = similar_classes(rows, threshold, min_size)
+    pairs, members = similar_classes(rows, threshold, min_size, largest)
     pairs, members = cut(pairs, "similar"), cut(members, "members")
     one = lambda n: members.select("field", F.col("rep").alias(n), F.col("owner").alias(f"owner_{n}"))
     across = pairs.join(one("a"), ["field", "a"]).join(one("b"), ["field", "b"]).select("field", F.col("owner_a").alias("x"), F.col("owner_b").alias("y"))

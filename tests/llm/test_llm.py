@@ -141,12 +141,13 @@ def test_signatures_of_similar_sets_meet(seed, t):
         r, s, size_r, size_s = s, r, size_s, size_r
     similar = len(r & s) + 1e-9 >= t * (size_r + size_s - len(r & s))
     rarity = lambda x: sorted((1 + v % 5, v) for v in x)
-    met = set(rule.probes(size_r, rarity(r))) & set(rule.posted(size_s, rarity(s))) or set(r) & set(rule.short(size_s, rarity(s)))
-    assert met or not similar
+    posted, instead = rule.posted(size_s, rarity(s))
+    assert set(rule.probes(size_r, rarity(r))[0]) & set(posted) or r & {v for _, v in instead} or not similar
 
 
-@pytest.mark.parametrize("seed,t,least", [(1, 0.5, 5), (2, 0.8, 1), (3, 0.34, 2)])
-def test_similar_pairs_against_brute_force(spark, seed, t, least):
+@pytest.mark.parametrize("seed,t,least,largest,group", [(1, 0.5, 5, 1 << 17, 10_000), (2, 0.8, 1, 1 << 17, 10_000), (3, 0.34, 2, 1 << 17, 2), (4, 0.5, 2, 8, 3), (5, 0.5, 1, 0, 1)])
+def test_similar_pairs_against_brute_force(spark, monkeypatch, seed, t, least, largest, group):
+    monkeypatch.setattr(setjoin, "GROUP", group)
     sets = random_sets(seed)
     sets["big"] = {f"own{i}" for i in range(500)}
     sets["copy1"] = sets["copy2"] = sets["copy3"] = {"a", "b", "c", "d", "e"}
@@ -158,7 +159,7 @@ def test_similar_pairs_against_brute_force(spark, seed, t, least):
         x, y = sets[a], sets[b]
         if min(len(x), len(y)) >= least and len(x & y) + 1e-9 >= t * len(x | y):
             want.add(("f", a, b))
-    got = [tuple(r) for r in setjoin.similar_pairs(df, t, least).collect()]
+    got = [tuple(r) for r in setjoin.similar_pairs(df, t, least, largest).collect()]
     assert set(got) == want and len(got) == len(want) and ("f", "copy1", "copy2") in want
     pairs, members = setjoin.similar_classes(df, t, least)
     assert {r.rep for r in members.collect() if r.owner.startswith("copy")} == {next(r.rep for r in members.collect() if r.owner == "copy1")}
@@ -175,7 +176,7 @@ def test_similar_pairs_of_nothing(spark):
 def test_piled_up_values_take_the_exact_way():
     rule = setjoin.Pigeonhole(0.5, 1)
     piled = [(1, (i * 5040 * 11 * 13) << 8) for i in range(1, 10)]  # all in one segment, whatever their number
-    assert rule.posted(9, piled) == [] and rule.short(9, piled)
+    assert rule.posted(9, piled)[0] == [] and rule.posted(9, piled)[1]
 
 
 # ---- leaked test texts
