@@ -95,6 +95,11 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return hits.select("doc_id", "item_id").distinct()
 
 
+def p7_phrases(spark: SparkSession, d: str) -> DataFrame:
+    """Where the phrases stand: maximal runs of twelve common words or more, positions from 0."""
+    return phrase_matches(table(spark, d, "documents"), table(spark, d, "eval_items"), min_words=12)
+
+
 def p7_matches(spark: SparkSession, d: str) -> DataFrame:
     """Phrase and proximity matches with the longest common phrase and the words covered."""
     return leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), min_words=12, part_words=6)
@@ -191,7 +196,7 @@ def p9_redundancy(spark: SparkSession, d: str) -> DataFrame:
     return redundancy(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_counts, p2_summary, p4_found, p4_pairs, p6_found, p6_classes, p7_found, p7_matches, p8_found, p8_mixture, p8_shares, p9_found, p9_redundancy)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_counts, p2_summary, p4_found, p4_pairs, p6_found, p6_classes, p7_found, p7_phrases, p7_matches, p8_found, p8_mixture, p8_shares, p9_found, p9_redundancy)}
 
 _ITEMS_SQL = r"""
 WITH posts AS (SELECT *, regexp_replace(retweet_tweetid, '^\s+|\s+$', '', 'g') AS retweet FROM cimaio_posts),
@@ -223,6 +228,13 @@ alike AS (SELECT a.field, a.u AS userid_a, b.u AS userid_b FROM own a JOIN own b
   GROUP BY 1, 2, 3, a.k, b.k HAVING 2 * count(*) >= a.k + b.k - count(*))
 """
 )
+_RUNS_SQL = r"""
+WITH docs AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
+items AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM eval_items),
+item_runs AS (SELECT item_id, i - 1 AS i, array_to_string(w[i:i + 11], ' ') AS run FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS i FROM items)),
+doc_runs AS (SELECT doc_id, i - 1 AS d, array_to_string(w[i:i + 11], ' ') AS run FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS i FROM docs)),
+met AS (SELECT doc_id, item_id, d, i FROM doc_runs JOIN item_runs USING (run))
+"""
 ORACLE = {
     "p2_found": _ITEMS_SQL + "SELECT field, item FROM filled GROUP BY field, item HAVING count(*) * 100 >= (SELECT count(*) FROM filled f WHERE f.field = filled.field)",
     "p4_found": _PAIRS_SQL + "SELECT userid_a, userid_b FROM r",
@@ -233,10 +245,8 @@ ORACLE = {
 ends AS (SELECT field, userid_a AS u, userid_b AS v FROM alike UNION ALL SELECT field, userid_b, userid_a FROM alike),
 links AS (SELECT x.field, x.class_id, count(DISTINCT y.class_id) AS n FROM ends JOIN named x ON x.field = ends.field AND x.u = ends.u JOIN named y ON y.field = ends.field AND y.u = ends.v WHERE x.class_id <> y.class_id GROUP BY 1, 2)
 SELECT field, u AS userid, class_id, n_copies, coalesce(n, 0) AS n_links FROM named LEFT JOIN links USING (field, class_id) WHERE n_copies > 1 OR n > 0""",
-    "p7_found": r"""
-WITH docs AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
-items AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM eval_items),
-item_runs AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 11], ' ') AS run FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS i FROM items)),
-doc_runs AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 11], ' ') AS run FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS i FROM docs))
-SELECT DISTINCT doc_id, item_id FROM doc_runs JOIN item_runs USING (run)""",
+    "p7_found": _RUNS_SQL + "SELECT DISTINCT doc_id, item_id FROM met",
+    "p7_phrases": _RUNS_SQL
+    + """SELECT doc_id, item_id, min(d)::BIGINT AS doc_pos, min(i)::BIGINT AS item_pos, count(*) + 11 AS n_words
+FROM (SELECT *, d - row_number() OVER (PARTITION BY doc_id, item_id, d - i ORDER BY d) AS island FROM met) GROUP BY doc_id, item_id, d - i, island""",
 }

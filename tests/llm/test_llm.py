@@ -218,6 +218,43 @@ def test_proximity_and_empty(spark):
     assert leak_index.phrase_matches(docs.limit(0), items).count() == 0
 
 
+def test_chains_keep_order_and_slack(spark):
+    a, b = [f"t{i}" for i in range(7)], [f"t{i}" for i in range(7, 14)]
+    foreign = lambda n: [f"x{i}" for i in range(n)]
+    texts = [b + a, a + foreign(8) + b, a + foreign(9) + b, a + foreign(15) + b, a + b[:5], a + a + b, ["y", *a, "y", *b[1:], "y"]]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    items = spark.createDataFrame([(7, " ".join(a + b))], "item_id long, text string")
+    got = {r.doc_id: (r.kind, r.longest, r.covered) for r in leak_index.leaks(docs, items, 13, 6).collect()}
+    assert got == {1: ("proximity", 7, 14), 5: ("phrase", 14, 14), 6: ("proximity", 7, 13)}
+    tight = {r.doc_id for r in leak_index.leaks(docs, items, 13, 6, slack=0).collect()}
+    assert tight == {5}
+
+
+@given(st.lists(st.tuples(st.integers(0, 30), st.integers(0, 30), st.integers(1, 6)), max_size=7), st.integers(0, 5))
+def test_chains_against_all_chains(parts, slack):
+    def follows(x, y):
+        over = max(0, x[0] + x[2] - y[0], x[1] + x[2] - y[1])
+        return x[0] < y[0] and x[1] < y[1] and over < y[2] and y[0] - x[0] - x[2] <= slack and y[1] - x[1] - x[2] <= slack, over
+
+    def longest(x):
+        return x[2] + max((longest(y) - follows(x, y)[1] for y in parts if follows(x, y)[0]), default=0)
+
+    assert leak_index.covered_words(parts, slack) == max((longest(x) for x in parts), default=0)
+
+
+def test_index_is_stored_once_for_all_item_blocks(spark):
+    docs = spark.createDataFrame([(i, f"w{i} a b c d e" if i else None) for i in range(9)], "doc_id long, text string")
+    rows = leak_index.build_index(docs.repartition(2)).collect()
+    assert sum(len(r.doc_ids) for r in rows) == 9
+    for r in rows:
+        assert len(r.bounds) == len(r.terms) + 1 and r.bounds[-1] == len(r.places) and len(set(r.terms)) == len(r.terms)
+        of_a = r.places[r.bounds[r.terms.index("a")] : r.bounds[r.terms.index("a") + 1]]
+        assert of_a == sorted(of_a) and len(of_a) == sum(i != 0 for i in r.doc_ids)
+    items = spark.createDataFrame([(i, "a b c d e") for i in range(5)], "item_id long, text string")
+    hits = leak_index.phrase_matches(docs, items, 5, block_words=1)
+    assert hits.count() == 8 * 5 and hits._jdf.queryExecution().optimizedPlan().toString().count("Relation") == 1
+
+
 def test_words_of_any_script():
     assert leak_index.words("Ünï-côde_x9 日本 don't") == ["ünï", "côde", "x9", "日本", "don", "t"]
 
