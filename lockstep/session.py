@@ -76,7 +76,7 @@ def scratch_dir(spark: SparkSession) -> str:
     return _LOCAL_SCRATCH[app]
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
+def cut(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """Write ``df`` once below the scratch folder and return a scan of it.
 
     Used where a relation is read several times or where a loop would let the
@@ -90,5 +90,5 @@ def cut(df: DataFrame, name: str) -> DataFrame:
         if local.startswith("/"):  # elsewhere the cluster clears its checkpoint folder
             atexit.register(shutil.rmtree, local, True)
     path = f"{folder}/{uuid.uuid4().hex}-{name}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
