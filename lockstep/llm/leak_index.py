@@ -2,8 +2,8 @@
 
 :func:`build_index` tokenises the corpus once and stores its postings.  The index is
 partitioned by document, as in distributed retrieval engines: a row holds a block of
-documents, its terms in order, and for each term the places where it stands, in
-order.  A document never runs over blocks.
+documents, its terms, and for each term the places where it stands, in order, each
+as its distance from the one before.  A document never runs over blocks.
 
 :func:`phrase_matches` and :func:`leaks` answer test items from the stored index, each
 block by itself, so nothing but results is shuffled.  For every run of ``min_words``
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from lockstep.session import cut
 
-_INDEX = "doc_ids array<bigint>, starts array<bigint>, terms array<string>, bounds array<bigint>, places array<int>"
+_INDEX = "doc_ids array<bigint>, starts array<bigint>, terms array<string>, bounds array<bigint>, steps array<int>"
 _HITS = "doc_id bigint, item_id bigint, doc_pos bigint, item_pos bigint, n_words bigint"
 _LEAKS = "doc_id bigint, item_id bigint, longest bigint, covered bigint"
 
@@ -68,7 +68,10 @@ def _block(ids: list, tokens: list[pa.Array], sizes: list[np.ndarray]) -> tuple:
     order = np.argsort(codes, kind="stable")
     places = np.arange(len(codes), dtype=np.int64) + np.repeat(np.arange(len(lengths)), lengths)
     bounds = np.concatenate([[0], np.cumsum(np.bincount(codes, minlength=len(coded.dictionary)))])
-    return ids, starts, coded.dictionary, bounds, places[order].astype(np.int32)
+    places = places[order]
+    steps = np.diff(places, prepend=0)
+    steps[bounds[:-1]] = places[bounds[:-1]]
+    return ids, starts, coded.dictionary, bounds, steps.astype(np.int32)
 
 
 def build_index(documents: DataFrame) -> DataFrame:
@@ -81,7 +84,7 @@ def build_index(documents: DataFrame) -> DataFrame:
             columns = _block(ids, tokens, sizes)
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int32()]
             arrays = [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), pa.array(c, k) if not isinstance(c, pa.Array) else c.cast(k)) for c, k in zip(columns, kinds)]
-            return pa.RecordBatch.from_arrays(arrays, names=["doc_ids", "starts", "terms", "bounds", "places"])
+            return pa.RecordBatch.from_arrays(arrays, names=["doc_ids", "starts", "terms", "bounds", "steps"])
 
         for batch in batches:
             at = 0
@@ -122,7 +125,7 @@ class TestItems:
 class PositionalIndex:
     """Postings of the item vocabulary in one block."""
 
-    def __init__(self, terms: pa.Array, bounds: np.ndarray, places: np.ndarray, items: TestItems):
+    def __init__(self, terms: pa.Array, bounds: np.ndarray, steps: np.ndarray, items: TestItems):
         there = pc.index_in(items.vocabulary, value_set=terms.cast(pa.large_string())).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
         known = there >= 0
         counts = np.where(known, bounds[there + 1] - bounds[there], 0)
@@ -130,7 +133,9 @@ class PositionalIndex:
         self.bounds = np.concatenate([[0], np.cumsum(self.frequency)])
         first = np.where(known, bounds[there], 0)
         inner = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-        self.places = places[np.repeat(first, counts) + inner].astype(np.int64)
+        own = steps[np.repeat(first, counts) + inner].astype(np.int64)
+        upto = np.concatenate([[0], np.cumsum(own)])
+        self.places = upto[1:] - np.repeat(upto[self.bounds[:-2]], counts)
         # (term, place) as one number, in order, which makes all lists one
         self.keys = (np.repeat(np.arange(len(counts)), counts) << 32) + self.places
 
@@ -224,12 +229,12 @@ def _search(index: DataFrame, items: DataFrame, least: int, block_words: int, sc
         for batch in batches:
             blocks = []
             for i in range(batch.num_rows):
-                ids, starts, terms, bounds, places = (c.slice(i, 1).flatten() for c in batch.columns)
-                blocks.append((ids.to_numpy(zero_copy_only=False), starts.to_numpy(), terms, bounds.to_numpy(), places.to_numpy()))
+                ids, starts, terms, bounds, steps = (c.slice(i, 1).flatten() for c in batch.columns)
+                blocks.append((ids.to_numpy(zero_copy_only=False), starts.to_numpy(), terms, bounds.to_numpy(), steps.to_numpy()))
             for one in sent:
                 block = one.load_from_path(one._path) if one._path else one.value  # not kept once it is done
-                for ids, starts, terms, bounds, places in blocks:
-                    hits = PositionalIndex(terms, bounds, places, block).phrases(block, least)
+                for ids, starts, terms, bounds, steps in blocks:
+                    hits = PositionalIndex(terms, bounds, steps, block).phrases(block, least)
                     if len(hits):
                         doc = np.searchsorted(starts, hits[:, 0], side="right") - 1
                         item = np.searchsorted(block.starts, hits[:, 1], side="right") - 1
@@ -245,7 +250,7 @@ def phrase_matches(documents: DataFrame, items: DataFrame, min_words: int = 12,
 
     ``documents(doc_id, text)`` and ``items(item_id, text)``; positions count words from 0.
     """
-    return _search(cut(build_index(documents), "postings"), items, min_words, block_words, _HITS, lambda rows: list(rows.T[:5]))
+    return _search(cut(build_index(documents), "postings", "zstd"), items, min_words, block_words, _HITS, lambda rows: list(rows.T[:5]))
 
 
 def leaks(documents: DataFrame, items: DataFrame, min_words: int = 12, part_words: int | None = None, slack: int = 8, block_words: int = 1_000_000) -> DataFrame:
@@ -264,7 +269,7 @@ def leaks(documents: DataFrame, items: DataFrame, min_words: int = 12, part_word
         out = [(d, i, max(n for *_, n in parts), covered_words(parts, slack)) for (d, i, _), parts in pairs.items()]
         return list(np.array(out, np.int64).T)
 
-    found = _search(cut(build_index(documents), "postings"), items, part_words or min_words, block_words, _LEAKS, report)
+    found = _search(cut(build_index(documents), "postings", "zstd"), items, part_words or min_words, block_words, _LEAKS, report)
     per_pair = found.groupBy("doc_id", "item_id").agg(F.max("longest").alias("longest"), F.max("covered").alias("covered"))
     kind = F.when(F.col("longest") >= min_words, "phrase").when(F.col("covered") >= min_words, "proximity")
     return per_pair.withColumn("kind", kind).filter("kind is not null")

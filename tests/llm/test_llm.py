@@ -247,9 +247,9 @@ def test_index_is_stored_once_for_all_item_blocks(spark):
     rows = leak_index.build_index(docs.repartition(2)).collect()
     assert sum(len(r.doc_ids) for r in rows) == 9
     for r in rows:
-        assert len(r.bounds) == len(r.terms) + 1 and r.bounds[-1] == len(r.places) and len(set(r.terms)) == len(r.terms)
-        of_a = r.places[r.bounds[r.terms.index("a")] : r.bounds[r.terms.index("a") + 1]]
-        assert of_a == sorted(of_a) and len(of_a) == sum(i != 0 for i in r.doc_ids)
+        assert len(r.bounds) == len(r.terms) + 1 and r.bounds[-1] == len(r.steps) and len(set(r.terms)) == len(r.terms)
+        of_a = r.steps[r.bounds[r.terms.index("a")] : r.bounds[r.terms.index("a") + 1]]
+        assert min(of_a) > 0 and len(of_a) == sum(i != 0 for i in r.doc_ids) and sum(of_a) < sum(len(d) + 9 for d in r.terms) * 9
     items = spark.createDataFrame([(i, "a b c d e") for i in range(5)], "item_id long, text string")
     hits = leak_index.phrase_matches(docs, items, 5, block_words=1)
     assert hits.count() == 8 * 5 and hits._jdf.queryExecution().optimizedPlan().toString().count("Relation") == 1
