@@ -14,9 +14,7 @@ skips give null.  A local time that occurs twice is the earlier instant.  Years
 
 from __future__ import annotations
 
-import zoneinfo
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Zone abbreviations and their offset from UTC in minutes.
@@ -157,6 +155,12 @@ def _once(value: Column) -> Column:
     return F.when(F.spark_partition_id() >= 0, value)
 
 
+def zone_names(spark: SparkSession) -> list[str]:
+    """Zones whose rules the JVM knows; others' names would fail where they are used."""
+    jvm = spark.sparkContext._jvm
+    return sorted(jvm.java.lang.String.join(",", jvm.java.time.ZoneId.getAvailableZoneIds()).split(","))
+
+
 def parsed(df: DataFrame, text: str, host: str) -> DataFrame:
     """``df`` with ``us``: microseconds since 1970 UTC of ``text``, or null.
 
@@ -174,7 +178,7 @@ def parsed(df: DataFrame, text: str, host: str) -> DataFrame:
     hour = number("h")
     clock = F.when(half.isNull(), hour).when(hour.between(1, 12), hour % 12 + F.when(half == "p", 12).otherwise(0))
     host_zone = F.regexp_replace(F.col(host), r"^\s+|\s+$", "")
-    known = sorted(zoneinfo.available_timezones())
+    known = zone_names(df.sparkSession)
     fields = {
         "y": number("y"),
         "m": F.coalesce(number("m"), named),

@@ -18,7 +18,7 @@ _REFERENCE = "array<struct<type:string,id:string,hashtags:array<struct<tag:strin
 SCHEMAS = {
     "CimaIO": "userid string, tweet_time bigint, retweet_tweetid string, hashtags array<string>, tweet_text string, good int",
     "anonymized": "accountid string, reposted_postid string, post_time timestamp, is_repost boolean, hashtags array<string>, post_text string, is_control int",
-    "twitter": f"author_id string, created_at string, text string, user_info struct<username:string>, referenced_tweets {_REFERENCE}",
+    "twitter": f"author_id string, created_at string, text string, user struct<username:string>, referenced_tweets {_REFERENCE}",
 }
 
 
@@ -55,7 +55,7 @@ def _layout(kind: str) -> dict[str, Column]:
         return {
             "account": F.col("author_id"),
             "ts": iso_fraction_time(F.col("created_at")),
-            "label": F.col("user_info.username"),
+            "label": F.col("user.username"),
             "text": F.col("text"),
             # tags are those of the first reference, so posts without one have none
             "tags": F.transform(first["hashtags"], tag_text),

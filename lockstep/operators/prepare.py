@@ -25,13 +25,19 @@ def encode(triples: DataFrame, accounts: DataFrame, objects: DataFrame) -> DataF
     return triples.join(users, "account").join(things, "object").select("user_id", "object_id", "ts")
 
 
-def first_labels(triples: DataFrame, order: Column) -> DataFrame:
-    """``(account, label)``: the label of each account's first row in ``order``, null labels included."""
+def first_labels(triples: DataFrame, order: Column, known_only: bool = False) -> DataFrame:
+    """``(account, label)``: the label of each account's first row in ``order``.
+
+    Null labels are included, unless ``known_only``: then the first row with a label
+    counts, and accounts without one are left out.
+    """
+    if known_only:
+        triples = triples.filter("label is not null")
     return triples.groupBy("account").agg(F.min_by(F.struct("label"), order).alias("l")).select("account", F.col("l.label").alias("label"))
 
 
 def io_accounts(labels: DataFrame) -> DataFrame:
-    """Accounts with a falsy label: null, empty or zero (null counts as IO, as published)."""
+    """Accounts with a falsy label: null, empty or zero (null counts as IO, as published); accounts without a row are not IO."""
     falsy = F.col("label").isNull() | F.col("label").isin("", "0", "0.0", "false")
     return labels.filter(falsy).select("account")
 

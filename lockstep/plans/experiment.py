@@ -29,11 +29,13 @@ def prepare(spark: SparkSession, kind: str, paths: str | list[str], folder: str,
     """Raw files to a prepared dataset on disk.
 
     Reposts keep the earliest event per account and object, other extractors all
-    rows; labels come from the first row in ``order`` (by default the earliest).
+    rows; labels come from the first row in ``order`` (by default the earliest), in
+    the layout ``twitter``, whose posts may lack the user, from the first that has one.
     """
     triples = EXTRACTORS[extractor](read_raw(spark, kind, paths), kind, label=True)
     events = earliest(triples) if extractor == "retweets" else triples.select("account", "object", "ts")
-    write_dataset(events, io_accounts(first_labels(triples, F.col("ts") if order is None else order)), folder, extractor)
+    labels = first_labels(triples, F.col("ts") if order is None else order, known_only=kind == "twitter")
+    write_dataset(events, io_accounts(labels), folder, extractor)
     return read_dataset(spark, folder, extractor)
 
 

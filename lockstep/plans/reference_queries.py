@@ -24,7 +24,7 @@ _KINDS = {"cimaio": ("cimaio_posts", "CimaIO"), "anon": ("anon_posts", "anonymiz
 
 def _extract(layout: str, what: str):
     name, kind = _KINDS[layout]
-    return lambda spark, d: extract.EXTRACTORS[what](table(spark, d, name), kind)
+    return lambda spark, d: extract.EXTRACTORS[what](table(spark, d, name).withColumnRenamed("user_info", "user"), kind)
 
 
 def _triples(spark: SparkSession, d: str, label: bool = False) -> DataFrame:

@@ -7,8 +7,9 @@ import json
 from dataclasses import dataclass, field
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lockstep.operators.extract import raw_schema
 
@@ -19,13 +20,27 @@ def read_raw(spark: SparkSession, kind: str, paths: str | list[str]) -> DataFram
     """Raw posts of a dataset type from one or several files, as one relation.
 
     JSON lines are read with a fixed schema; a malformed line fails the read.
-    Blank lines are skipped.
+    Blank lines are skipped.  Tags of references may be objects or scalars, and one
+    may stand in place of the list; they come out as a list of objects.
     """
     schema = raw_schema(kind)
     paths = [paths] if isinstance(paths, str) else list(paths)
     if _FORMATS[kind] == "parquet":
         return spark.read.parquet(*paths)
-    return spark.read.schema(schema).option("mode", "FAILFAST").json(paths)
+    if kind != "twitter":
+        return spark.read.schema(schema).option("mode", "FAILFAST").json(paths)
+    kept = T.StructType([f if f.name != "referenced_tweets" else T.StructField(f.name, T.ArrayType(T.StructType.fromDDL("type string, id string, hashtags string"))) for f in schema])
+    raw = spark.read.schema(kept).option("mode", "FAILFAST").json(paths)
+    reference = lambda r: F.struct(r["type"].alias("type"), r["id"].alias("id"), _tags(r["hashtags"]).alias("hashtags"))
+    return raw.withColumn("referenced_tweets", F.transform("referenced_tweets", lambda r: F.when(r.isNotNull(), reference(r))))
+
+
+def _tags(text: Column) -> Column:
+    """Tag objects of the JSON text of a list, an object or a scalar; a scalar is its own tag."""
+    kind = "struct<tag:string,text:string,name:string>"
+    listed = F.when(text.startswith("["), F.coalesce(F.from_json(text, "array<string>"), F.array(text))).otherwise(F.array(text))
+    own = lambda t: F.struct(t.alias("tag"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("string").alias("name"))
+    return F.when(text.isNotNull(), F.transform(listed, lambda t: F.coalesce(F.when(t.startswith("{"), F.from_json(t, kind)), own(t))))
 
 
 @dataclass(frozen=True)

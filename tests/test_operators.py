@@ -215,7 +215,7 @@ def test_text_normalisation(spark):
 
 
 def test_extractors(spark):
-    twitter = "author_id string, created_at string, text string, user_info struct<username:string>, referenced_tweets array<struct<type:string,id:string,hashtags:array<struct<tag:string,text:string,name:string>>>>, extra int"
+    twitter = "author_id string, created_at string, text string, user struct<username:string>, referenced_tweets array<struct<type:string,id:string,hashtags:array<struct<tag:string,text:string,name:string>>>>, extra int"
     rows = [
         ("u", "2024-01-01T00:00:00.123456Z", "RT", ("n",), [("retweeted", "9", [("t", None, None)]), ("quoted", "8", None)], 1),
         ("u", "2024-01-01T00:00:00.5Z", "Text @x", ("n",), [("quoted", "9", [("", "b", None), (None, None, ""), None])], 1),
@@ -362,6 +362,23 @@ def test_experiment_from_raw_files_to_tests(spark, tmp_path):
         readers.read_raw(spark, "CimaIO", str(tmp_path / "broken.json")).collect()
 
 
+def test_raw_posts_with_scalar_tags_and_users(spark, tmp_path):
+    at = '"created_at": "2024-01-01T00:00:0{}.5Z"'
+    lines = [
+        '{"author_id": "a", ' + at.format(1) + ', "referenced_tweets": [{"type": "quoted", "id": 7, "hashtags": [{"name": "x"}, "y", 5, null, "", {"tag": "", "text": "z"}]}]}',
+        '{"author_id": "a", ' + at.format(2) + ', "user": {"username": ""}, "referenced_tweets": [{"type": "quoted", "id": "8", "hashtags": "one"}, null]}',
+        '{"author_id": "b", ' + at.format(3) + ', "user": {"username": "bob", "more": 1}, "referenced_tweets": [{"type": "quoted", "id": "8", "hashtags": {"tag": "own"}}]}',
+        '{"author_id": "c", ' + at.format(4) + ', "user": null, "referenced_tweets": [{"type": "quoted", "id": "8", "hashtags": null}]}',
+        '{"author_id": "d", ' + at.format(5) + ', "referenced_tweets": [{"type": "quoted", "id": "8", "hashtags": "["}]}',
+    ]
+    (tmp_path / "posts.json").write_text("\n".join(lines))
+    raw = readers.read_raw(spark, "twitter", str(tmp_path / "posts.json"))
+    assert sorted((r.account, r.object) for r in extract.hashtags(raw, "twitter").collect()) == [("a", "5"), ("a", "one"), ("a", "x"), ("a", "y"), ("a", "z"), ("b", "own"), ("d", "[")]
+    # an account without a user has no label and is not IO; an empty name is one
+    data = prepare_dataset(spark, "twitter", str(tmp_path / "posts.json"), str(tmp_path / "out"), "hashtags")
+    assert [r.account for r in data.io.collect()] == ["a"] and data.events.count() == 7
+
+
 def test_older_text_files(spark, tmp_path):
     (tmp_path / "index_to_accountid.txt").write_text("index_to_accountid={0: 'ann', 1: 17}\n")
     (tmp_path / "io_users.txt").write_text("17\n")

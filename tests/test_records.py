@@ -228,6 +228,9 @@ CASES = [
     ("9" * 25, None, None),
     ("1e99", None, None),
     ("yesterday", "UTC", None),
+    ("2022-01-01 00:00", "localtime", None),
+    ("2022-01-01 00:00", "Factory", None),
+    ("2022-01-01 00:00", "Europe/Berlin", us(2021, 12, 31, 23)),
     ("", "UTC", None),
     (None, "UTC", None),
     ("x" * 1_000_000, "UTC", None),
