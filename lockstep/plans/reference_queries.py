@@ -290,6 +290,21 @@ _INC = (
     "d3 AS (SELECT iter, ((x * x) % 2147483647 * 39373 + x + 11) % 2147483647 AS x FROM d2), d AS (SELECT DISTINCT iter, x % n AS idx FROM d3, k) SELECT iter, account FROM d JOIN acc USING (idx)"
 )
 
+def _days_sql(shared: bool) -> str:
+    """Moments of both accounts folded in order of time: each takes the oldest of the other side that still waits."""
+    own = "object IN (SELECT object FROM e x WHERE x.account = u1 INTERSECT SELECT object FROM e y WHERE y.account = u2)" if shared else "true"
+    waits = "list_filter(s.waiting, lambda x: m.us - x <= 60000000)"
+    return (
+        f"WITH {_E}, c AS (SELECT account, object, epoch_us(ts) AS us, us // 60000000 AS cell FROM e), "
+        "near AS (SELECT DISTINCT least(a.account, b.account) AS u1, greatest(a.account, b.account) AS u2 FROM c a JOIN (SELECT *, unnest([cell, cell - 1]) AS at FROM c) b ON a.cell = b.at AND a.account <> b.account AND b.us - a.us BETWEEN 0 AND 60000000), "
+        f"m AS (SELECT u1, u2, us, CASE WHEN account = u1 THEN 0 ELSE 1 END AS side FROM near JOIN c ON account IN (u1, u2) WHERE {own}), "
+        "l AS (SELECT u1, u2, list({'us': us, 'side': side, 'waiting': []::BIGINT[], 'days': []::BIGINT[]} ORDER BY us, side) AS l FROM m GROUP BY 1, 2), "
+        f"r AS (SELECT u1, u2, list_reduce(list_prepend({{'us': 0::BIGINT, 'side': -1, 'waiting': []::BIGINT[], 'days': []::BIGINT[]}}, l), lambda s, m: CASE WHEN len({waits}) > 0 AND s.side <> m.side "
+        f"THEN {{'us': m.us, 'side': s.side, 'waiting': ({waits})[2:], 'days': list_append(s.days, m.us // 86400000000)}} ELSE {{'us': m.us, 'side': m.side, 'waiting': list_append({waits}, m.us), 'days': s.days}} END) AS r FROM l) "
+        "SELECT u1, u2, len(list_distinct(r.days))::BIGINT AS n_days FROM r WHERE len(r.days) > 0"
+    )
+
+
 ORACLE = {
     "flagship_ranking": _RANKED + "SELECT account, score, grp, pos, is_io FROM r",
     "dedup_earliest": f"WITH {_E} SELECT * FROM e",
@@ -304,6 +319,8 @@ ORACLE = {
     "coaction_pairs_min2": f"WITH {_P} SELECT * FROM pairs WHERE score >= 2",
     "filter_events_semi": f"WITH {_P} SELECT account, object, ts FROM e WHERE account IN (SELECT u1 FROM pairs WHERE score >= 2 UNION SELECT u2 FROM pairs WHERE score >= 2)",
     "same_object_days": f"WITH {_MET} SELECT u1, u2, count(DISTINCT greatest(ta, tb)::DATE) AS n_days FROM met GROUP BY 1, 2",
+    "ignoring_object_days": _days_sql(False),
+    "shared_object_days": _days_sql(True),
     "weighted_1day": f"WITH {_weights('1day')} SELECT * FROM w",
     "weighted_2days": f"WITH {_weights('2days')} SELECT * FROM w",
     "weighted_12h": f"WITH {_weights('12h')} SELECT * FROM w",

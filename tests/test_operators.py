@@ -233,23 +233,24 @@ def test_extractors(spark):
         extract.register_extractor("retweets", extract.retweets)
 
 
-def greedy(a, b, w):
-    i = j = 0
-    days = set()
-    while i < len(a) and j < len(b):
-        if abs(a[i] - b[j]) <= w:
-            days.add(max(a[i], b[j]) // 86400)
-            i, j = i + 1, j + 1
-        elif a[i] < b[j]:
-            i += 1
+def days_by_hand(a, b, w):
+    """Every moment, in order of time, takes the oldest one of the other side that waits."""
+    waiting, days = {0: [], 1: []}, set()
+    for t, side in sorted([(t, 0) for t in a] + [(t, 1) for t in b]):
+        others = [x for x in waiting[1 - side] if x >= t - w]
+        if others:
+            waiting[1 - side].remove(others[0])
+            days.add(t // 86400)
         else:
-            j += 1
+            waiting[side].append(t)
     return len(days)
 
 
 def test_daily_coincidences(spark):
-    us = lambda *t: np.array([int((datetime.fromisoformat(x) - datetime(1970, 1, 1)).total_seconds() * 1e6) for x in t])
-    assert daily.coinciding_days(us("2024-01-01T23:59:30"), us("2024-01-01T23:59:00", "2024-01-02T00:00:10"), 60_000_000) == 1
+    # the moment before midnight is used up by the first match
+    lone = spark.createDataFrame([("a", "x", "2024-01-01 23:59:30"), ("b", "y", "2024-01-01 23:59:00"), ("b", "z", "2024-01-02 00:00:10"), (None, "x", "2024-01-01 23:59:30"), ("c", "x", None)], "account string, object string, ts string").withColumn("ts", F.to_timestamp("ts"))
+    assert [tuple(r) for r in daily.coincide_any_object(lone, 60).collect()] == [("a", "b", 1)]
+    assert daily.coincide_shared_objects(lone, 60).count() == 0 and daily.coincide_any_object(lone.limit(0), 60).count() == 0
     rng = random.Random(4)
     rows = [(rng.randrange(6), rng.randrange(4), rng.randrange(0, 300_000)) for _ in range(300)]
     start = datetime(1970, 1, 1)
@@ -259,9 +260,9 @@ def test_daily_coincidences(spark):
         for v in range(u + 1, 6):
             mine = [[(o, s) for w, o, s in rows if w == x] for x in (u, v)]
             both = {o for o, _ in mine[0]} & {o for o, _ in mine[1]}
-            if n := greedy(*[sorted(s for _, s in m) for m in mine], 300):
+            if n := days_by_hand(*[sorted(s for _, s in m) for m in mine], 300):
                 want[str(u), str(v)] = n
-            if n := greedy(*[sorted(s for o, s in m if o in both) for m in mine], 300):
+            if n := days_by_hand(*[sorted(s for o, s in m if o in both) for m in mine], 300):
                 shared[str(u), str(v)] = n
     assert {(r.u1, r.u2): r.n_days for r in daily.coincide_any_object(df, 300).collect()} == want and want
     assert {(r.u1, r.u2): r.n_days for r in daily.coincide_shared_objects(df, 300).collect()} == shared
