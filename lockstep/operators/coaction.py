@@ -37,9 +37,16 @@ def coactions(events: DataFrame, window_sec: float = 60, bucket: Column | None =
     return met.select(F.least("a", "c").alias("u1"), F.greatest("a", "c").alias("u2"), "object", "b0", "b1", F.col("us_c").alias("us_later"))
 
 
-def coaction_counts(events: DataFrame, window_sec: float = 60, min_coactions: int = 1) -> DataFrame:
-    """``(u1, u2, score)``: distinct objects of each pair, those with at least ``min_coactions``."""
-    met = coactions(events, window_sec).select("u1", "u2", "object").distinct()
+def coaction_counts(events: DataFrame, window_sec: float = 60, min_coactions: int = 1, unique: bool = False) -> DataFrame:
+    """``(u1, u2, score)``: distinct objects of each pair, those with at least ``min_coactions``.
+
+    ``unique`` says that events have one row per account and object, so that a pair
+    meets once per object and is counted before anything is shuffled.  Otherwise
+    pairs are shuffled once, and their objects told apart where they are counted.
+    """
+    met = coactions(events, window_sec).select(*_PAIR, "object")
+    if not unique:
+        met = met.repartition(*_PAIR).distinct()
     return met.groupBy(*_PAIR).agg(F.count("*").alias("score")).filter(F.col("score") >= min_coactions)
 
 
@@ -48,6 +55,19 @@ def pair_members(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array("u1", "u2")).alias("account")).distinct()
 
 
+def top_pairs(pairs: DataFrame, k: int = 5) -> DataFrame:
+    """The ``k`` pairs with the greatest score, on a tie those of the smaller accounts; heaps per task, no full sort."""
+    return pairs.orderBy(F.desc("score"), "u1", "u2").limit(k)
+
+
+def pair_difference(first: DataFrame, second: DataFrame) -> DataFrame:
+    """``(side, u1, u2, score)``: rows of ``first`` that ``second`` lacks and the reverse, repeated rows counted; empty if both agree."""
+    columns = [*_PAIR, "score"]
+    one, two = first.select(*columns), second.select(*columns)
+    side = lambda df, name: df.select(F.lit(name).alias("side"), "*")
+    return side(one.exceptAll(two), "first").unionByName(side(two.exceptAll(one), "second"))
+
+
 def synchronous_events(events: DataFrame, window_sec: float = 60, min_coactions: int = 1) -> DataFrame:
     """Events of accounts in at least one pair; empty if there is no pair."""
     return events.join(pair_members(coaction_counts(events, window_sec, min_coactions)), "account", "left_semi")
@@ -56,5 +76,5 @@ def synchronous_events(events: DataFrame, window_sec: float = 60, min_coactions:
 def same_object_days(events: DataFrame, window_sec: float = 60) -> DataFrame:
     """``(u1, u2, n_days)``: distinct days, by the later event, on which a pair acted on one object."""
     day = F.to_date(F.timestamp_micros("us_later"))
-    met = coactions(events, window_sec).select("u1", "u2", day.alias("day")).distinct()
+    met = coactions(events, window_sec).select("u1", "u2", day.alias("day")).repartition(*_PAIR).distinct()
     return met.groupBy(*_PAIR).agg(F.count("*").alias("n_days"))

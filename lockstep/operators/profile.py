@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lockstep.operators.coaction import coaction_counts, pair_members
+from lockstep.session import cut
 
 
 def activity(events: DataFrame, io: DataFrame) -> DataFrame:
@@ -41,9 +42,9 @@ def counts_by_filter(events: DataFrame, io: DataFrame, window_sec: float = 60) -
         n = pairs.agg(F.count("*").alias("n_pairs")) if pairs is not None else events.sparkSession.range(1).select(F.lit(0).cast("long").alias("n_pairs"))
         return seen.crossJoin(n).select(F.lit(name).alias("filter"), "n_users", "n_io", "n_pairs")  # two one-row tables
 
-    out = row("none", events, None)
+    out, counts = row("none", events, None), cut(coaction_counts(events, window_sec), "counts")
     for k in (1, 2):
-        pairs = coaction_counts(events, window_sec, k)
+        pairs = counts.filter(F.col("score") >= k)
         out = out.unionByName(row(f"min{k}", pair_members(pairs), pairs))
     return out
 

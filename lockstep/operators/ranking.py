@@ -28,9 +28,11 @@ def valid_mode(mode: object) -> bool:
     return isinstance(mode, str) and (mode in ("max", "L1", "L2", "Linf") or ranking_power(mode) is not None)
 
 
-def power_centre(values: np.ndarray, power: int) -> float:
+def power_centre(values: np.ndarray, power: int, counts: np.ndarray | None = None) -> float:
     """The point with the least sum of ``power``-th powers of distances, to 2 decimals.
 
+    ``counts`` says how often each value occurs.
+
     The derivative of that sum grows monotonically, so its zero is found by
     bisection; values are scaled to keep high powers finite.
     """
@@ -43,7 +45,8 @@ def power_centre(values: np.ndarray, power: int) -> float:
     for _ in range(200):
         mid = (a + b) / 2
         gap = mid - unit
-        if (np.sign(gap) * np.abs(gap) ** (power - 1)).sum() < 0:
+        slope = np.sign(gap) * np.abs(gap) ** (power - 1)
+        if (slope if counts is None else slope * counts).sum() < 0:
             a = mid
         else:
             b = mid
@@ -80,7 +83,7 @@ def user_scores(pairs: DataFrame, mode: str = "Linf") -> DataFrame:
     def centre(scores: pd.Series, counts: pd.Series) -> float:
         if counts.sum() == 1:
             return float(scores.iloc[0])
-        return power_centre(np.repeat(scores.to_numpy(float), counts.to_numpy(int)), power)
+        return power_centre(scores.to_numpy(float), power, counts.to_numpy(float))
 
     udf = F.pandas_udf(centre, "double")
     return folded.groupBy("account").agg(udf(F.col("score"), F.col("n")).alias("score"))

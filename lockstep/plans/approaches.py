@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from lockstep.operators.coaction import coaction_counts, synchronous_events
 from lockstep.operators.ranking import rank_users, refine, user_scores, valid_mode
 from lockstep.operators.weighted import weighted_pairs
+from lockstep.session import cut
 
 Scorer = Callable[[DataFrame, float, int], DataFrame]
 LEXICOGRAPHIC = "lexicographic"
@@ -120,7 +121,17 @@ class Lexicographic:
         return {"approach_key": LEXICOGRAPHIC, "sub_approaches": [p.key for p in self.parts], "sub_modes": [p.mode for p in self.parts], "sub_min_coactions": [p.min_coactions for p in self.parts]}
 
     def rank(self, events: DataFrame) -> DataFrame:
-        first, *rest = (p.rank(events) for p in self.parts)
+        scored: dict[Approach, DataFrame] = {}
+
+        def part(p: Approach) -> DataFrame:
+            # parts that differ in mode only rank the same pairs
+            alike = replace(p, mode="Linf")
+            if alike not in scored:
+                shared = sum(replace(q, mode="Linf") == alike for q in self.parts) > 1
+                scored[alike] = cut(p.pairs(events), "pairs") if shared else p.pairs(events)
+            return rank_users(user_scores(scored[alike], p.mode))
+
+        first, *rest = (part(p) for p in self.parts)
         return refine(first, *rest)
 
 

@@ -49,7 +49,7 @@ def _io(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _pairs(spark: SparkSession, d: str, least: int = 1) -> DataFrame:
-    return coaction.coaction_counts(_events(spark, d), WINDOW, least)
+    return coaction.coaction_counts(_events(spark, d), WINDOW, least, unique=True)
 
 
 def _weighted(variant: str, least: int = 1):
@@ -86,8 +86,9 @@ def _lexicographic(spark: SparkSession, d: str) -> DataFrame:
 
 def _curves(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, int]:
     io = _io(spark, d)
-    plain = cut(evaluate.labelled(_ranking(spark, d), io), "plain")
-    other = ranking.rank_users(ranking.user_scores(_pairs(spark, d), "max"))
+    pairs = cut(_pairs(spark, d), "pairs")
+    plain = cut(evaluate.labelled(ranking.rank_users(ranking.user_scores(pairs, "Linf")), io), "plain")
+    other = ranking.rank_users(ranking.user_scores(pairs, "max"))
     one, two = evaluate.detection_curve(plain), evaluate.detection_curve(evaluate.labelled(other, io))
     return one, two, io.count()
 
