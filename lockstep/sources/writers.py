@@ -1,4 +1,4 @@
-"""Writers: prepared datasets, the result store and text reports."""
+"""Writers: prepared datasets and the result store."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lockstep.plans.approaches import Approach, Lexicographic
+from lockstep.sources.readers import folders_of
 
 
 def write_dataset(events: DataFrame, io: DataFrame, folder: str, extractor: str = "retweets") -> None:
@@ -46,29 +47,19 @@ def load_result(spark: SparkSession, root: str, dataset: str, approach: Approach
         return None
 
 
-def ci_report(intervals: DataFrame, dataset: str, metric: str, level: float = 95.0) -> str:
-    """Text of the intervals of one dataset and metric, a row per method."""
-    rows = intervals.filter((F.col("dataset") == dataset) & (F.col("metric") == metric)).orderBy("method").collect()
-    lines = [f"Bootstrap intervals, {metric}, {dataset}, {level:g} %", ""]
-    for r in rows:
-        lines += [f"{r['method']}:", f"  Mean: {r['mean']:.4f}", f"  CI: [{r['lower']:.4f}, {r['upper']:.4f}]", ""]
-    return "\n".join(lines)
+def read_results(spark: SparkSession, root: str, approaches: list[Approach | Lexicographic], datasets: list[str] | None = None) -> DataFrame:
+    """``(dataset, approach, account, grp, pos)`` of all stored rankings of the approaches, in one scan.
 
-
-def matrix_report(scores: DataFrame, title: str, missing: float | None = None) -> str:
-    """Text of ``scores(dataset, method, score)``: a row per dataset, a column per method, means below.
-
-    Scores equal to ``missing`` print as NA and stay out of the mean.
+    ``approach`` is the name; partitions of other approaches and datasets are not
+    read, results that are missing give no rows.
     """
-    value = F.first(F.nullif("score", F.lit(missing)) if missing is not None else F.col("score"))
-    wide = scores.groupBy("dataset").pivot("method").agg(value).orderBy("dataset").collect()
-    if not wide:
-        return title
-    methods = wide[0].asDict().keys() - {"dataset"}
-    methods = sorted(methods)
-    show = lambda v: "NA" if v is None else f"{v:.4f}"
-    lines = [title, "  ".join(["dataset", *methods])]
-    lines += ["  ".join([r["dataset"], *[show(r[m]) for m in methods]]) for r in wide]
-    mean = lambda m: [r[m] for r in wide if r[m] is not None]
-    lines.append("  ".join(["Average", *[show(sum(v) / len(v)) if (v := mean(m)) else "NA" for m in methods]]))
-    return "\n".join(lines)
+    schema = "account string, grp bigint, pos bigint, dataset string, approach string"
+    if not folders_of(spark, f"{root}/results"):
+        return spark.createDataFrame([], schema).select("dataset", "approach", "account", "grp", "pos")
+    names = {result_key(a): a.name for a in approaches}
+    # a fixed schema, as rankings of several parts have no score
+    stored = spark.read.schema(schema).parquet(f"{root}/results").filter(F.col("approach").isin(list(names)))
+    if datasets is not None:
+        stored = stored.filter(F.col("dataset").isin(datasets))
+    name = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])[F.col("approach")]
+    return stored.select("dataset", name.alias("approach"), F.col("account"), "grp", "pos")

@@ -1,5 +1,6 @@
 """Operators of coordinated activity: hand-computed cases, brute force, and the API around them."""
 
+import os
 import random
 from datetime import datetime, timedelta
 
@@ -12,8 +13,8 @@ from lockstep.functions.columns import half_day_bucket, normalise_text
 from lockstep.functions.scan import prefix_scan
 from lockstep.operators import bootstrap, coaction, daily, evaluate, extract, prepare, profile, ranking, weighted
 from lockstep.plans import approaches, reference_queries
-from lockstep.plans.experiment import analyse, approaches_of, bootstrap_intervals, bootstrap_samples, measure, prepare as prepare_dataset, run, significance
-from lockstep.sources import readers, writers
+from lockstep.plans.experiment import analyse, approaches_of, bootstrap_intervals, bootstrap_samples, compare, convert, curve_areas, curves, main, measure, pnorm_benchmark, prepare as prepare_dataset, report, run, significance
+from lockstep.sources import readers, reports, writers
 from lockstep.streaming.live import live_activity, live_coactions
 
 T0 = datetime(2024, 1, 1, 12)
@@ -292,7 +293,7 @@ def test_intervals(spark):
     assert (rows["A"].lower, rows["A"].upper) == pytest.approx((1.075, 8.625))
     gap = bootstrap.paired_differences(df).first()
     assert gap.significant and gap["mean"] == 2.0 and gap.lower == pytest.approx(np.percentile([0.5, 1, 2, 4.5], 1.25))
-    report = writers.ci_report(bootstrap.percentile_ci(df, ["dataset", "metric", "method"]), "d", "auc")
+    report = reports.ci_report(bootstrap.percentile_ci(df, ["dataset", "metric", "method"]), "d", "auc")
     assert "A:" in report and "CI: [1.0750, 8.6250]" in report
 
 
@@ -332,7 +333,7 @@ def test_specs():
     del approaches.KINDS["test_counts"]
 
 
-def test_experiment_from_raw_files_to_tests(spark, tmp_path):
+def test_experiment_from_raw_files_to_tests(spark, tmp_path, capsys):
     rng = random.Random(9)
     lines = []
     for i in range(300):
@@ -346,15 +347,43 @@ def test_experiment_from_raw_files_to_tests(spark, tmp_path):
     config = tmp_path / "c.json"
     config.write_text(f'{{"name": "e", "data_dir": "{tmp_path}/data", "output_dir": "{tmp_path}/out", "datasets": ["X"], "unknown": 1, "approaches": ["coretweets", "coretweets_weighted_1day[max]", {{"name": "lexicographic", "approaches": ["coretweets", "coretweets_weighted_1day"]}}]}}')
     experiment = readers.read_experiment(str(config))
+    assert experiment.output_dir == f"{tmp_path}/out/e" and experiment.filter_min_coactions is None
+    assert analyse(spark, experiment).count() == 0 and curves(spark, experiment).count() == 0
     assert set(run(spark, experiment).values()) == {True} and set(run(spark, experiment).values()) == {False}
     scores = analyse(spark, experiment).cache()
     auc = {r.method: r.score for r in scores.filter("metric = 'auc'").collect()}
     assert len(auc) == 3 and min(auc.values()) > 0.7
     assert set(significance(scores, "auc")) == {"methods", "friedman", "nemenyi"}
-    assert "Average" in writers.matrix_report(scores.filter("metric = 'auc'"), "AUC")
+    assert "Average" in reports.matrix_report(scores.filter("metric = 'auc'"), "AUC")
     interval = bootstrap_intervals(data, "X", approaches.create("coretweets"), 5).first()
     assert interval.lower <= interval["mean"] <= interval.upper
     assert writers.load_result(spark, str(tmp_path / "out"), "Y", approaches.create("coretweets")) is None
+    texts = report(spark, experiment, ["auc", "ap"])
+    assert set(texts) == {"auc", "ap", "summary"} and "Ranks" in texts["auc"] and "Friedman" in texts["auc"] and "Critical difference" in texts["ap"]
+    assert "Precision at 500" in texts["summary"] and "coretweets_Linf_nofilter" in texts["summary"]
+    whole, cut_, with_ideal = curves(spark, experiment, truncated=False), curves(spark, experiment), curves(spark, experiment, ideal=True)
+    x_max = cut_.groupBy("method").agg(F.max("x").alias("x"))
+    assert x_max.select("x").distinct().count() == 1 and whole.count() >= cut_.count()
+    assert {r.method for r in with_ideal.select("method").distinct().collect()} == {*auc, "ideal"}
+    areas = {r.method: (r.area, r.negative_area) for r in curve_areas(with_ideal, "ideal").collect()}
+    assert areas.keys() == auc.keys() and all(a <= 0 and a == n for a, n in areas.values())
+    config.write_text(f'{{"name": "e", "data_dir": "{tmp_path}/data", "datasets": null, "approaches": ["coretweets[max]", "coretweets[L2]", "coretweets[Linf]"]}}')
+    modes = readers.read_experiment(str(config))
+    assert modes.output_dir == f"{tmp_path}/e" and set(run(spark, modes).values()) == {True}
+    found = pnorm_benchmark(spark, modes).orderBy("place").collect()
+    assert [r["mode"] for r in found] == ["L2", "Linf", "max"] and sum(r.best for r in found) == 1 and {r.std for r in found} == {0.0}
+    main(["analyse", str(config), "--metric", "auc", "--ideal"])
+    main(["analyse", str(config), "--notruncation"])
+    main(["pnorm", str(config), "--metric", "ap"])
+    main(["list", str(config)])
+    printed = capsys.readouterr().out
+    assert "Metric: auc" in printed and "ap L2" in printed and "stored" in printed and "missing" not in printed
+    assert (tmp_path / "e/analysis/summary.txt").exists() and spark.read.parquet(str(tmp_path / "e/analysis/no_truncation")).count() and spark.read.parquet(str(tmp_path / "e/analysis/areas")).count() == 3
+    config.write_text(f'{{"name": "e", "data_dir": "{tmp_path}/data", "approaches": null}}')
+    assert {a.mode for a in approaches_of(readers.read_experiment(str(config)))} == {"L2"}
+    speed = compare(lambda: coaction.coaction_counts(data.events), lambda: coaction.coaction_counts(data.events, unique=True), 1)
+    assert speed["equal"] and speed["different_rows"] == 0
+    assert not compare(lambda: coaction.coaction_counts(data.events), lambda: coaction.coaction_counts(data.events, 60, 2), 1)["equal"]
     (tmp_path / "bad.json").write_text("{}")
     with pytest.raises(ValueError):
         readers.read_experiment(str(tmp_path / "bad.json"))
@@ -390,8 +419,46 @@ def test_older_text_files(spark, tmp_path):
     (tmp_path / "io_users.txt").write_text("nobody\n")
     with pytest.raises(KeyError):
         readers.read_text_dataset(spark, str(tmp_path))
-    assert readers.is_fresh(str(tmp_path / "io_users.txt"), [str(tmp_path / "RTs.txt")])
-    assert not readers.is_fresh(str(tmp_path / "none"), [str(tmp_path / "RTs.txt")])
+    assert readers.is_fresh(spark, str(tmp_path / "io_users.txt"), [str(tmp_path / "RTs.txt")])
+    assert not readers.is_fresh(spark, str(tmp_path / "none"), [str(tmp_path / "RTs.txt")])
+    (tmp_path / "io_users.txt").write_text("+017\n\n")
+    assert [r.account for r in readers.read_text_dataset(spark, str(tmp_path)).io.collect()] == ["17"]
+    (tmp_path / "index_to_accountid.txt").write_text("index_to_accountid={0: 'a\\\\b', 1: \"it's\", 2: [3]}\n")
+    with pytest.raises(ValueError):
+        readers.read_text_dataset(spark, str(tmp_path))
+
+
+def write_texts(folder, n):
+    folder.mkdir(parents=True)
+    (folder / "index_to_accountid.txt").write_text("index_to_accountid=" + str({i: f"u{i}" for i in range(9)}) + "\n")
+    (folder / "io_users.txt").write_text("u1\nu2\n")
+    (folder / "RTs.txt").write_text("RTs=" + str([(i % 9, i, datetime(2024, 1, 1) + timedelta(seconds=i, microseconds=7)) for i in range(n)]).replace("datetime.datetime", "datetime"))
+
+
+def test_cached_load_and_conversion(spark, tmp_path):
+    folder = tmp_path / "X"
+    write_texts(folder, 5000)
+    first = readers.load_dataset(spark, str(folder))
+    assert first.events.count() == 5000 and first.events.agg(F.max("ts")).first()[0] == datetime(2024, 1, 1, 1, 23, 19, 7) and first.io.count() == 2
+    (folder / "cache/io").rename(folder / "cache/gone")
+    assert readers.load_dataset(spark, str(folder)).io.count() == 2
+    # an older copy is not used, a fresh one is, unless told
+    write_texts(tmp_path / "Y", 10)
+    for name in readers.TEXT_FILES:
+        (folder / name).write_text((tmp_path / "Y" / name).read_text())
+        os.utime(folder / name, (2e9, 2e9))
+    assert readers.load_dataset(spark, str(folder)).events.count() == 10
+    for name in readers.TEXT_FILES:
+        os.utime(folder / name, (1e9, 1e9))
+    (folder / "RTs.txt").write_text("RTs=[]")
+    os.utime(folder / "RTs.txt", (1e9, 1e9))
+    assert readers.load_dataset(spark, str(folder)).events.count() == 10
+    assert readers.load_dataset(spark, str(folder), force_reload=True).events.count() == 0
+    assert readers.load_dataset(spark, str(folder), use_cache=False).events.count() == 0
+    (tmp_path / "Z").mkdir()
+    states = {name: state for name, state, *_ in convert(spark, str(tmp_path))}
+    assert states["X"] == "stored before" and states["Y"] == "converted" and "Z" in states and states["Z"] not in ("converted", "stored before")
+    assert {s for _, s, *_ in convert(spark, str(tmp_path), ["X", "Y"], force=True)} == {"converted"}
 
 
 def test_samples_and_reports(spark, tmp_path):
