@@ -48,3 +48,12 @@ def half_day_bucket(ts: Column) -> Column:
 def micros(ts: Column) -> Column:
     """Microseconds of a timestamp with or without zone."""
     return F.unix_micros(ts.cast("timestamp"))
+
+
+def once(value: Column) -> Column:
+    """``value``, tied to the task number so that the optimizer computes it where it stands.
+
+    Otherwise it would write the whole expression out again at every use, which
+    for this many steps grows beyond what can be compiled.
+    """
+    return F.when(F.spark_partition_id() >= 0, value)

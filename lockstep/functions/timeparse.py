@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lockstep.functions.columns import once
+
 # Zone abbreviations and their offset from UTC in minutes.
 ABBREVIATIONS = {
     "UTC": 0,
@@ -146,15 +148,6 @@ def _epoch_us(number: Column) -> Column:
     return F.floor(us).cast("long")
 
 
-def _once(value: Column) -> Column:
-    """``value``, tied to the task number so that the optimizer computes it where it stands.
-
-    Otherwise it would write the whole expression out again at every use, which
-    for this many steps grows beyond what can be compiled.
-    """
-    return F.when(F.spark_partition_id() >= 0, value)
-
-
 def zone_names(spark: SparkSession) -> list[str]:
     """Zones whose rules the JVM knows; others' names would fail where they are used."""
     jvm = spark.sparkContext._jvm
@@ -169,9 +162,9 @@ def parsed(df: DataFrame, text: str, host: str) -> DataFrame:
     like the steps below.  Each step is one projection.
     """
     own = df.columns
-    steps = df.select(*own, _once(components(F.col(text))).alias("rec"))
+    steps = df.select(*own, once(components(F.col(text))).alias("rec"))
     raw = {c: F.col("rec").getItem(i + 1) for i, c in enumerate(_ORDER)}
-    steps = steps.select(*own, _once(F.struct(*[F.when(v != "", v).alias(c) for c, v in raw.items()])).alias("t"))
+    steps = steps.select(*own, once(F.struct(*[F.when(v != "", v).alias(c) for c, v in raw.items()])).alias("t"))
     named = F.create_map(*[F.lit(x) for i, m in enumerate(MONTHS) for x in (m, i + 1)])[F.col("t.m")]
     number = lambda c: F.col(f"t.{c}").try_cast("int")
     half = F.col("t.p")
@@ -193,14 +186,14 @@ def parsed(df: DataFrame, text: str, host: str) -> DataFrame:
         "host_min": _offset_minutes(F.lower(host_zone)),
         "zone": F.when(host_zone.isin(known), host_zone),
     }
-    steps = steps.select(*own, _once(F.struct(*[c.alias(n) for n, c in fields.items()])).alias("q"))
+    steps = steps.select(*own, once(F.struct(*[c.alias(n) for n, c in fields.items()])).alias("q"))
     q = {n: F.col(f"q.{n}") for n in fields}
     valid = (q["y"] >= 1) & q["m"].between(1, 12) & (q["d"] >= 1) & (q["d"] <= month_length(q["y"], q["m"]))
     valid = valid & q["clock"].between(0, 23) & (q["i"] < 60) & (q["s"] < 60)
     seconds = days_from_civil(q["y"], q["m"], q["d"]) * 86400 + q["clock"] * 3600 + q["i"] * 60 + q["s"]
-    steps = steps.select(*own, "q", _once(F.when(valid, seconds * 1_000_000 + q["micro"])).alias("local"))
+    steps = steps.select(*own, "q", once(F.when(valid, seconds * 1_000_000 + q["micro"])).alias("local"))
     safe, local = F.coalesce(q["zone"], F.lit("UTC")), F.col("local")
-    steps = steps.select(*own, "q", "local", _once(F.to_utc_timestamp(F.timestamp_micros(local), safe)).alias("instant"))
+    steps = steps.select(*own, "q", "local", once(F.to_utc_timestamp(F.timestamp_micros(local), safe)).alias("instant"))
     # a skipped local time does not come back from UTC as itself
     back = F.unix_micros(F.from_utc_timestamp(F.col("instant"), safe))
     by_name = F.when(q["zone"].isNotNull() & (back == local), F.unix_micros("instant"))
@@ -209,4 +202,4 @@ def parsed(df: DataFrame, text: str, host: str) -> DataFrame:
         .when(q["host_min"].isNotNull(), local - q["host_min"].cast("long") * 60_000_000)
         .otherwise(by_name)
     )
-    return steps.select(*own, _once(F.when(q["n"].isNotNull(), _epoch_us(q["n"])).otherwise(by_zone)).alias("us"))
+    return steps.select(*own, once(F.when(q["n"].isNotNull(), _epoch_us(q["n"])).otherwise(by_zone)).alias("us"))

@@ -4,64 +4,78 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lockstep.functions.columns import once
 from lockstep.functions.scan import dense_index
-from lockstep.operators.coaction import coactions
+from lockstep.operators.ranking import end_scores
 from lockstep.session import cut
 
 _M = 2_147_483_647
 
 
-def _draw(seed: int, iteration: Column, draw: Column, n: Column) -> Column:
-    """A pseudo-random place below ``n``; integer arithmetic only, so any engine gives the same."""
-    x = (iteration * 1_000_003 + draw * 7_919 + F.lit(seed) * 104_729 + 12_345) % _M
+def _drawn(draws: DataFrame, seed: int, n: int) -> DataFrame:
+    """``draws(iter, draw)`` with ``idx``, a pseudo-random place below ``n``; integer arithmetic only, so any engine gives the same.
+
+    Each step is one projection, which the optimizer must not write out at every use.
+    """
+    x = (F.col("iter") * 1_000_003 + F.col("draw") * 7_919 + F.lit(seed) * 104_729 + 12_345) % _M
+    steps = draws.select("iter", once(x).alias("x"))
     for multiplier in (48_271, 69_621, 39_373):
-        x = ((x * x) % _M * multiplier + x + 11) % _M  # the square keeps draws from being spread evenly
-    return x % n
+        x = F.col("x")
+        steps = steps.select("iter", once(((x * x) % _M * multiplier + x + 11) % _M).alias("x"))  # the square keeps draws from being spread evenly
+    return steps.select("iter", once(F.col("x") % n).alias("idx"))
 
 
-def inclusion(accounts: DataFrame, iterations: int, seed: int = 42) -> DataFrame:
-    """``(iter, account)``: the distinct accounts of ``n`` draws of ``n`` with replacement, per replicate."""
-    places = dense_index(accounts.select("account"), "account")
-    n = places.count()
-    if n == 0:
-        return places.select(F.lit(0).cast("long").alias("iter"), "account")
-    spark = accounts.sparkSession
-    draws = spark.range(iterations * n).select(F.expr(f"id div {n}").alias("iter"), (F.col("id") % n).alias("draw"))
-    drawn = draws.select("iter", _draw(seed, F.col("iter"), F.col("draw"), F.lit(n)).alias("idx")).distinct()
-    return drawn.join(places, "idx").select("iter", "account")
+#: Replicates in a word of bits.
+_WORD = 64
 
 
-def replicate_pair_counts(events: DataFrame, included: DataFrame, window_sec: float = 60, min_coactions: int = 1) -> DataFrame:
-    """``(iter, u1, u2, score)``: co-action counts of every replicate from one band join.
+def inclusion_bits(spark: SparkSession, n: int, iterations: int, seed: int = 42, only: DataFrame | None = None) -> DataFrame:
+    """``(idx, word, bits)``: the replicates, as bits of words of 64, in which ``n`` draws of ``n`` with replacement hit a place.
 
-    A pair belongs to a replicate exactly if both members do.
+    ``only(idx)`` are the places asked for; draws of others are dropped where they
+    are made.  Draws of a replicate lie together, so tasks combine theirs first and
+    send a few words per place.
     """
-    counts = coactions(events, window_sec).select("u1", "u2", "object").distinct().groupBy("u1", "u2").agg(F.count("*").alias("score"))
-    counts = counts.filter(F.col("score") >= min_coactions)
-    one = included.select("iter", F.col("account").alias("u1"))
-    two = included.select("iter", F.col("account").alias("u2"))
-    return counts.join(one, "u1").join(two, ["iter", "u2"]).select("iter", "u1", "u2", "score")
+    draws = spark.range(iterations * n).select(F.expr(f"id div {max(n, 1)}").alias("iter"), (F.col("id") % max(n, 1)).alias("draw"))
+    drawn = _drawn(draws, seed, max(n, 1))
+    if only is not None:
+        drawn = drawn.join(only, "idx", "left_semi")
+    bit = F.expr(f"shiftleft(1L, cast(iter % {_WORD} as int))")
+    return drawn.groupBy("idx", F.expr(f"cast(iter div {_WORD} as int)").alias("word")).agg(F.bit_or(bit).alias("bits"))
+
 
+def unpack(bits: DataFrame) -> DataFrame:
+    """``iter`` in place of ``word`` and ``bits``, a row per replicate."""
+    places = F.explode(F.array(*[F.lit(i) for i in range(_WORD)])).alias("_i")
+    rows = bits.select("*", places).filter(F.expr("shiftright(bits, _i) & 1L") == 1)
+    return rows.withColumn("iter", (F.col("word") * _WORD + F.col("_i")).cast("long")).drop("word", "bits", "_i")
+
+
+def inclusion(accounts: DataFrame, iterations: int, seed: int = 42) -> DataFrame:
+    """``(iter, account)``: the distinct accounts of ``n`` draws of ``n`` with replacement, per replicate."""
+    places = dense_index(accounts.select("account"), "account")
+    drawn = unpack(inclusion_bits(accounts.sparkSession, places.count(), iterations, seed))
+    return drawn.join(places, "idx").select("iter", "account")
 
-def replicate_auc(pairs: DataFrame, io: DataFrame) -> DataFrame:
-    """``(iter, score)``: ROC-AUC of the midrange ranking in every replicate.
 
-    One row per tie group is windowed, per replicate.
+def replicate_scores(counts: DataFrame, bits: DataFrame, mode: str) -> DataFrame:
+    """``(account, score)`` of every replicate, ``account`` as ``(iter, id)``, of ``counts(u1, u2, score)`` between places.
+
+    Right for scores that do not hang on other accounts: a pair belongs to a
+    replicate exactly if both members do, so their words are intersected.  Midrange
+    and maximum ask only whether a score occurs, so equal scores of an account are
+    joined before replicates are told apart.
     """
-    ends = pairs.select("iter", F.explode(F.array("u1", "u2")).alias("account"), F.col("score").cast("double").alias("score"))
-    users = ends.groupBy("iter", "account").agg(F.round((F.min("score") + F.max("score")) / 2, 9).alias("score"))
-    users = users.join(io.select("account").distinct().withColumn("is_io", F.lit(1)), "account", "left")
-    per = users.groupBy("iter", "score").agg(F.count("*").alias("n"), F.count("is_io").alias("ios"))
-    above = Window.partitionBy("iter").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, -1)
-    others = F.col("n") - F.col("ios")
-    per = per.withColumn("others", others).withColumn("above", F.coalesce(F.sum("others").over(above), F.lit(0)))
-    lost = F.sum(F.col("ios") * (F.col("above") + F.col("others") / 2.0))
-    sums = per.groupBy("iter").agg(lost.alias("lost"), F.sum("ios").alias("p"), F.sum("others").alias("q"))
-    value = F.when((F.col("p") > 0) & (F.col("q") > 0), F.round(1 - F.col("lost") / (F.col("p") * F.col("q")), 9)).otherwise(0.0)
-    return sums.select("iter", value.alias("score"))
+    word = lambda u: bits.select(F.col("idx").alias(u), "word", F.col("bits").alias(f"bits_{u}"))
+    both = counts.join(word("u1"), "u1").join(word("u2"), ["u2", "word"])
+    both = both.withColumn("bits", F.col("bits_u1").bitwiseAND(F.col("bits_u2"))).filter("bits <> 0")
+    ends = both.select(F.explode(F.array("u1", "u2")).alias("id"), "score", "word", "bits")
+    if mode in ("max", "Linf"):
+        ends = ends.groupBy("id", "score", "word").agg(F.bit_or("bits").alias("bits"))
+    return end_scores(unpack(ends).select(F.struct("iter", "id").alias("account"), "score"), mode)
 
 
 def replicate_events(events: DataFrame, included: DataFrame) -> DataFrame:
@@ -75,14 +89,6 @@ def replicate_events(events: DataFrame, included: DataFrame) -> DataFrame:
     return known.select(key("account"), key("object"), "ts")
 
 
-def replicate_pairs(pairs: DataFrame, included: DataFrame) -> DataFrame:
-    """``pairs(u1, u2, score)`` of every replicate that has both members, these as ``(iter, id)``; right for scores that do not hang on other accounts."""
-    one = included.select("iter", F.col("account").alias("u1"))
-    two = included.select("iter", F.col("account").alias("u2"))
-    key = lambda c: F.struct("iter", F.col(c).alias("id")).alias(c)
-    return pairs.join(one, "u1").join(two, ["iter", "u2"]).select(key("u1"), key("u2"), "score")
-
-
 def _places_gain(places: pd.Series) -> pd.Series:
     """Sum of the NDCG discounts of the first so many places."""
     gains = np.concatenate([[0.0], np.cumsum(1 / np.log2(np.arange(int(places.max() if len(places) else 0)) + 2.0))])
@@ -137,6 +143,13 @@ def percentile_ci(samples: DataFrame, by: list[str], value: str = "score", level
     return out.select(*by, "mean", F.round(F.col("b")[0], 9).alias("lower"), F.round(F.col("b")[1], 9).alias("upper"))
 
 
+def _quantile(values: str, share: Column) -> Column:
+    """Linearly interpolated quantile of a sorted array."""
+    place = share * (F.size(values) - 1)
+    low = F.floor(place).cast("int")
+    return F.get(values, low) + (place - low) * (F.coalesce(F.get(values, low + 1), F.get(values, low)) - F.get(values, low))
+
+
 def paired_differences(samples: DataFrame, level: float = 95.0) -> DataFrame:
     """Bonferroni intervals of differences between methods: ``(dataset, metric, method_a, method_b, mean, lower, upper, significant)``.
 
@@ -152,11 +165,22 @@ def paired_differences(samples: DataFrame, level: float = 95.0) -> DataFrame:
     by = ["dataset", "metric", "method_a", "method_b", "m"]
     sorted_gaps = gaps.groupBy(*by).agg(F.round(F.avg("d"), 9).alias("mean"), F.array_sort(F.collect_list("d")).alias("v"))
     tail = F.lit((100.0 - level) / 200.0) / F.col("m")
+    out = sorted_gaps.select(*by, "mean", F.round(_quantile("v", tail), 9).alias("lower"), F.round(_quantile("v", 1 - tail), 9).alias("upper"))
+    return out.withColumn("significant", (F.col("lower") > 0) | (F.col("upper") < 0)).drop("m")
 
-    def at(share: Column) -> Column:
-        place = share * (F.size("v") - 1)
-        low = F.floor(place).cast("int")
-        return F.get("v", low) + (place - low) * (F.coalesce(F.get("v", low + 1), F.get("v", low)) - F.get("v", low))
 
-    out = sorted_gaps.select(*by, "mean", F.round(at(tail), 9).alias("lower"), F.round(at(1 - tail), 9).alias("upper"))
-    return out.withColumn("significant", (F.col("lower") > 0) | (F.col("upper") < 0)).drop("m")
+def difference_whiskers(samples: DataFrame, level: float = 95.0) -> DataFrame:
+    """``(dataset, metric, method_a, method_b, low, q1, median, q3, high)``: boxes of the paired differences of all pairs of methods.
+
+    The whiskers are the percentiles of the Bonferroni level of
+    :func:`paired_differences`, so a pair differs if zero lies outside them.
+    """
+    keys = ["dataset", "metric", "iter"]
+    side = lambda x: samples.select(*keys, F.col("method").alias(f"method_{x}"), F.col("score").alias(f"s{x}"))
+    gaps = side("a").join(side("b"), keys).filter("method_a < method_b").withColumn("d", F.col("sa") - F.col("sb"))
+    by = ["dataset", "metric", "method_a", "method_b"]
+    methods = samples.groupBy("dataset", "metric").agg(F.count_distinct("method").alias("m"))
+    sorted_gaps = gaps.groupBy(*by).agg(F.array_sort(F.collect_list("d")).alias("v")).join(methods, ["dataset", "metric"])
+    tail = F.lit((100.0 - level) / 200.0) / F.col("m")
+    at = {"low": tail, "q1": F.lit(0.25), "median": F.lit(0.5), "q3": F.lit(0.75), "high": 1 - tail}
+    return sorted_gaps.select(*by, *[F.round(_quantile("v", share), 9).alias(name) for name, share in at.items()])

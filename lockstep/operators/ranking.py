@@ -71,9 +71,14 @@ def user_scores(pairs: DataFrame, mode: str = "Linf") -> DataFrame:
     centre of the X-th power (to 2 decimals, but a single pair's score as it is).
     Rounded to 9 decimals so that ties do not hang on the order of addition.
     """
+    return end_scores(pairs.select(F.explode(F.array("u1", "u2")).alias("account"), "score"), mode)
+
+
+def end_scores(ends: DataFrame, mode: str) -> DataFrame:
+    """As :func:`user_scores`, of ``ends(account, score)``, a row per account and pair."""
     if not valid_mode(mode):
         raise ValueError(f"unknown ranking mode {mode!r}")
-    ends = pairs.filter(F.col("score") != 0).select(F.explode(F.array("u1", "u2")).alias("account"), F.col("score").cast("double").alias("score"))
+    ends = ends.filter(F.col("score") != 0).select("account", F.col("score").cast("double").alias("score"))
     power = ranking_power(mode)
     if power is None:
         return ends.groupBy("account").agg(F.round(_aggregate(mode), 9).alias("score"))

@@ -16,6 +16,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lockstep.functions.scan import dense_index
 from lockstep.functions.stats import choose_tests
 from lockstep.operators import bootstrap, evaluate
 from lockstep.operators.coaction import coaction_counts, pair_difference
@@ -214,31 +215,40 @@ def bootstrap_samples(data: Dataset, approaches: list[Approach | Lexicographic],
     """``(metric, method, iter, score)`` of every approach over the same replicates, cut to the users all of them rank.
 
     Each approach scores, weighs and ranks within the replicate.  The plain count of
-    a pair does not hang on the other accounts, so its pairs are joined only once.
+    a pair does not hang on the other accounts, so its pairs are joined only once, and
+    only the draws of accounts in a pair are kept.  Accounts go by their place.
     """
-    events = cut(data.events.select("account", "object", "ts"), "events")
-    included = cut(bootstrap.inclusion(events.select("account").distinct(), iterations, seed), "included")
+    spark = data.events.sparkSession
+    places = cut(dense_index(data.events.select("account"), "account"), "places")
+    placed = lambda df: df.join(places, "account").drop("account").withColumnRenamed("idx", "account")
+    events, n = cut(placed(data.events.select("account", "object", "ts")), "events"), places.count()
     sampled, found, plain = [], {}, {}
 
-    def pairs(a: Approach) -> DataFrame:
-        if a.key == PLAIN:
-            if a.window_sec not in plain:
-                plain[a.window_sec] = cut(coaction_counts(events, a.window_sec), "counts")
-            return bootstrap.replicate_pairs(plain[a.window_sec].filter(F.col("score") >= a.min_coactions), included)
-        if not sampled:
-            sampled.append(cut(bootstrap.replicate_events(events, included), "sampled"))
-        return a.pairs(sampled[0])
+    def counts(window: float) -> tuple[DataFrame, DataFrame]:
+        if window not in plain:
+            pairs = cut(coaction_counts(events, window), "counts")
+            ends = cut(pairs.select(F.explode(F.array("u1", "u2")).alias("idx")).distinct(), "ends")
+            plain[window] = pairs, cut(bootstrap.inclusion_bits(spark, n, iterations, seed, ends), "bits")
+        return plain[window]
 
     def score(a: Approach) -> DataFrame:
         if a not in found:
-            found[a] = cut(user_scores(pairs(a), a.mode), "scores")
+            if a.key == PLAIN:
+                pairs, bits = counts(a.window_sec)
+                scores = bootstrap.replicate_scores(pairs.filter(F.col("score") >= a.min_coactions), bits, a.mode)
+            else:
+                if not sampled:
+                    included = bootstrap.unpack(bootstrap.inclusion_bits(spark, n, iterations, seed)).withColumnRenamed("idx", "account")
+                    sampled.append(cut(bootstrap.replicate_events(events, included), "sampled"))
+                scores = user_scores(a.pairs(sampled[0]), a.mode)
+            found[a] = cut(scores, "scores")
         return found[a]
 
     out = None
     for a in {a.name: a for a in approaches}.values():
         part = _replicate_keys(a, score).select(F.lit(a.name).alias("method"), "iter", "account", "key")
         out = part if out is None else out.unionByName(part)
-    return bootstrap.replicate_metrics(out, data.io, iterations, sorted({a.name for a in approaches}))
+    return bootstrap.replicate_metrics(out, placed(data.io.select("account").distinct()), iterations, sorted({a.name for a in approaches}))
 
 
 def bootstrap_intervals(data: Dataset, dataset: str, approaches: Approach | Lexicographic | list[Approach | Lexicographic], iterations: int = 1000, seed: int = 42, level: float = 95.0) -> DataFrame:

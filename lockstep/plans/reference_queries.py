@@ -194,6 +194,7 @@ QUERIES = {
     "bootstrap_inclusion": lambda s, d: bootstrap.inclusion(_triples(s, d).select("account").distinct(), 3, 42),
     "bootstrap_ci": lambda s, d: bootstrap.percentile_ci(_samples(s, d), ["dataset", "metric", "method"]),
     "paired_diff_ci": lambda s, d: bootstrap.paired_differences(_samples(s, d)),
+    "bootstrap_whiskers": lambda s, d: bootstrap.difference_whiskers(_samples(s, d)),
     "friedman": lambda s, d: _published(s, d, "friedman"),
     "nemenyi": lambda s, d: _published(s, d, "nemenyi"),
     "wilcoxon": lambda s, d: _published(s, d, "wilcoxon"),
@@ -284,12 +285,46 @@ def _extract_sql(layout: str, what: str) -> str:
     return f"SELECT * FROM ({inner}) WHERE account IS NOT NULL AND object IS NOT NULL AND ts IS NOT NULL" + ("" if what == "retweets" else " AND object <> ''")
 
 
-_INC = (
-    f"WITH {_T}, acc AS (SELECT account, row_number() OVER (ORDER BY account) - 1 AS idx FROM (SELECT DISTINCT account FROM t)), k AS (SELECT count(*) AS n FROM acc), "
-    "d0 AS (SELECT iter, ((iter * 1000003 + draw * 7919 + 42 * 104729 + 12345) % 2147483647) AS x FROM (SELECT unnest(range(3)) AS iter), (SELECT unnest(range(n)) AS draw FROM k)), "
-    "d1 AS (SELECT iter, ((x * x) % 2147483647 * 48271 + x + 11) % 2147483647 AS x FROM d0), d2 AS (SELECT iter, ((x * x) % 2147483647 * 69621 + x + 11) % 2147483647 AS x FROM d1), "
-    "d3 AS (SELECT iter, ((x * x) % 2147483647 * 39373 + x + 11) % 2147483647 AS x FROM d2), d AS (SELECT DISTINCT iter, x % n AS idx FROM d3, k) SELECT iter, account FROM d JOIN acc USING (idx)"
+def _inclusion_sql(iterations: int) -> str:
+    step = lambda m: f"((x * x) % 2147483647 * {m} + x + 11) % 2147483647"
+    return (
+        "acc AS (SELECT account, row_number() OVER (ORDER BY account) - 1 AS idx FROM (SELECT DISTINCT account FROM t)), k AS (SELECT count(*) AS n FROM acc), "
+        f"d0 AS (SELECT iter, ((iter * 1000003 + draw * 7919 + 42 * 104729 + 12345) % 2147483647) AS x FROM (SELECT unnest(range({iterations})) AS iter), (SELECT unnest(range(n)) AS draw FROM k)), "
+        f"d1 AS (SELECT iter, {step(48271)} AS x FROM d0), d2 AS (SELECT iter, {step(69621)} AS x FROM d1), d3 AS (SELECT iter, {step(39373)} AS x FROM d2), "
+        "d AS (SELECT DISTINCT iter, x % n AS idx FROM d3, k), inc AS (SELECT iter, account FROM d JOIN acc USING (idx))"
+    )
+
+
+_INC = f"WITH {_T}, {_inclusion_sql(3)} SELECT iter, account FROM inc"
+
+
+def _measures_sql(users: str, iterations: int, methods: list[str]) -> str:
+    """``samples(metric, method, iter, score)`` of ``users(method, iter, account, key)``, cut to the users that all methods rank."""
+    names = ", ".join(f"'{m}'" for m in methods)
+    gain = "1 / log2(pos + 1)"
+    return (
+        f"every AS (SELECT iter, method FROM (SELECT unnest(range({iterations})) AS iter), (SELECT unnest([{names}]) AS method)), "
+        f"sizes AS (SELECT every.iter, every.method, count(account) AS users FROM every LEFT JOIN {users} USING (method, iter) GROUP BY 1, 2), x_max AS (SELECT iter, min(users) AS x_max FROM sizes GROUP BY 1), "
+        f"placed AS (SELECT method, iter, key, row_number() OVER (PARTITION BY method, iter ORDER BY key DESC, account) AS pos, account IN (SELECT account FROM io) AS is_io FROM {users}), "
+        f"bg AS (SELECT method, iter, key, count(*) AS n, count(*) FILTER (WHERE is_io) AS ios, min(pos) - 1 AS before, sum({gain}) AS d FROM placed JOIN x_max USING (iter) WHERE pos <= x_max GROUP BY 1, 2, 3), "
+        "bs AS (SELECT *, coalesce(sum(ios) OVER (PARTITION BY method, iter ORDER BY before ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ios_before FROM bg), "
+        "bm AS (SELECT method, iter, sum(ios) AS p, sum(n - ios) AS q, sum(ios * (before - ios_before + (n - ios) / 2.0::DOUBLE)) AS lost, sum(ios * (ios_before + ios)::DOUBLE / (before + n)) AS steps, sum(ios * d / n) AS dcg FROM bs GROUP BY 1, 2), "
+        "best AS (SELECT p, (SELECT sum(1 / log2(i + 1)) FROM unnest(range(1, p::BIGINT + 1)) AS u(i)) AS best FROM (SELECT DISTINCT p FROM bm WHERE p > 0)), "
+        "bv AS (SELECT method, iter, CASE WHEN p > 0 AND q > 0 THEN 1 - lost / (p * q) END AS auc, CASE WHEN p > 0 THEN steps / p END AS ap, CASE WHEN p > 0 AND p + q >= 2 THEN dcg / best END AS ndcg FROM bm LEFT JOIN best USING (p)), "
+        + "samples AS ("
+        + " UNION ALL ".join(f"SELECT '{m}' AS metric, method, iter, round(coalesce({m}, 0), 9) AS score FROM every LEFT JOIN bv USING (method, iter)" for m in ("auc", "ap", "ndcg"))
+        + ")"
+    )
+
+
+_KEYS_OF_PAIRS = "JOIN inc a ON a.account = u1 JOIN inc b ON b.account = u2 AND b.iter = a.iter"
+_SAMPLES = (
+    f"WITH {_R}, {_inclusion_sql(1000)}, "
+    f"bends AS (SELECT 'min' || least_ AS method, a.iter, unnest([u1, u2]) AS account, score FROM pairs JOIN (SELECT unnest([1, 2]) AS least_) ON score >= least_ {_KEYS_OF_PAIRS}), "
+    "busers AS (SELECT method, iter, account, round((min(score) + max(score)) / 2, 9) AS key FROM bends GROUP BY 1, 2, 3), " + _measures_sql("busers", 1000, ["min1", "min2"])
 )
+_GAPS = _SAMPLES + ", gaps AS (SELECT a.metric, a.method AS method_a, b.method AS method_b, a.score - b.score AS d FROM samples a JOIN samples b ON a.metric = b.metric AND a.iter = b.iter AND a.method < b.method) "
+
 
 def _days_sql(shared: bool) -> str:
     """Moments of both accounts folded in order of time: each takes the oldest of the other side that still waits."""
@@ -354,6 +389,9 @@ ORACLE = {
     + "SELECT 'none' AS filter, count(DISTINCT account) AS n_users, count(DISTINCT account) FILTER (WHERE account IN (SELECT account FROM io)) AS n_io, 0::BIGINT AS n_pairs FROM e "
     + "UNION ALL SELECT 'min' || k.k, count(DISTINCT u), count(DISTINCT u) FILTER (WHERE u IN (SELECT account FROM io)), (SELECT count(*) FROM pairs WHERE score >= k.k) FROM k LEFT JOIN m ON m.k = k.k GROUP BY k.k",
     "bootstrap_inclusion": _INC,
+    "bootstrap_ci": _SAMPLES + " SELECT 'cimaio' AS dataset, metric, method, round(avg(score), 9) AS mean, round(quantile_cont(score, 0.025), 9) AS lower, round(quantile_cont(score, 0.975), 9) AS upper FROM samples GROUP BY metric, method",
+    "paired_diff_ci": _GAPS + "SELECT 'cimaio' AS dataset, metric, method_a, method_b, round(avg(d), 9) AS mean, round(quantile_cont(d, 0.0125), 9) AS lower, round(quantile_cont(d, 0.9875), 9) AS upper, quantile_cont(d, 0.0125) > 0 OR quantile_cont(d, 0.9875) < 0 AS significant FROM gaps GROUP BY metric, method_a, method_b",
+    "bootstrap_whiskers": _GAPS + "SELECT 'cimaio' AS dataset, metric, method_a, method_b, " + ", ".join(f"round(quantile_cont(d, {q}), 9) AS {n}" for n, q in (("low", 0.0125), ("q1", 0.25), ("median", 0.5), ("q3", 0.75), ("high", 0.9875))) + " FROM gaps GROUP BY metric, method_a, method_b",
     "friedman": "SELECT 4.0::DOUBLE AS statistic, round(exp(-2), 6) AS p_value",
     **{f"extract_{what}_{layout}": _extract_sql(layout, what) for layout in _KINDS for what in extract.EXTRACTORS},
 }
