@@ -6,6 +6,8 @@ The window is a minute unless the name says otherwise.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +18,7 @@ from lockstep.plans.approaches import Lexicographic, create
 from lockstep.plans.experiment import bootstrap_samples
 from lockstep.session import cut
 from lockstep.sources.readers import Dataset
+from lockstep.sources.reports import critical_difference, score_matrix
 from lockstep.tables import table
 
 WINDOW = 60
@@ -103,18 +106,78 @@ def _ideal(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.curve_difference(one, evaluate.ideal_curve(one, n_io))
 
 
-def _modes(spark: SparkSession, d: str) -> DataFrame:
-    """AUC per ranking mode."""
-    pairs, io, out = cut(_pairs(spark, d), "pairs"), cut(_io(spark, d), "io"), None
-    for mode in ("max", "L1", "L2", "Linf"):
-        ranked = cut(evaluate.labelled(ranking.rank_users(ranking.user_scores(pairs, mode)), io), mode)
-        row = evaluate.roc_auc(ranked).select(F.lit(mode).alias("mode"), F.col("value").alias("score"))
-        out = row if out is None else out.unionByName(row)
-    return out
+#: Ranking modes that are compared, and those of the rank tests.
+_MODES, _TESTED = ("max", "L1", "L2", "Linf"), ("max", "L2", "Linf")
+
+
+def _dataset(spark: SparkSession, d: str, layout: str) -> Dataset:
+    """Co-retweets of one table of posts, accounts marked with its name."""
+    name, kind = _KINDS[layout]
+    posts = table(spark, d, name).withColumnRenamed("user_info", "user")
+    triples = extract.retweets(posts, kind, True).withColumn("account", F.concat(F.lit(f"{layout}:"), "account"))
+    labels = prepare.first_labels(triples, F.struct("ts", "object", F.coalesce("label", F.lit(""))), known_only=kind == "twitter")
+    return Dataset(prepare.earliest(triples), prepare.io_accounts(labels))
 
 
 def _method_scores(spark: SparkSession, d: str) -> DataFrame:
-    return _modes(spark, d).select(F.lit("cimaio").alias("dataset"), F.lit("auc").alias("metric"), F.col("mode").alias("method"), F.round("score", 6).alias("score"))
+    """``(dataset, metric, method, score)``: AUC, AP and NDCG of the ranking modes over the three tables of posts, each cut to what all modes rank."""
+    ranked, io = [], []
+    for i, layout in enumerate(_KINDS):
+        data = _dataset(spark, d, layout)
+        pairs = cut(coaction.coaction_counts(data.events, WINDOW, unique=True), "pairs")
+        io.append(data.io)
+        ranked += [ranking.user_scores(pairs, m).select(F.lit(m).alias("method"), F.lit(i).cast("long").alias("iter"), "account", F.col("score").alias("key")) for m in _MODES]
+    found = bootstrap.replicate_metrics(reduce(DataFrame.unionByName, ranked), reduce(DataFrame.unionByName, io), len(_KINDS), list(_MODES))
+    name = F.element_at(F.array(*[F.lit(k) for k in _KINDS]), (F.col("iter") + 1).cast("int"))
+    return found.select(name.alias("dataset"), "metric", "method", F.round("score", 6).alias("score"))
+
+
+def _best_mode(spark: SparkSession, d: str) -> DataFrame:
+    return profile.best_mode(_method_scores(spark, d).filter("metric = 'auc'").select("dataset", F.col("method").alias("mode"), "score"))
+
+
+def _rank_tests(spark: SparkSession, d: str, test: str) -> DataFrame:
+    """Rank tests of the modes over the three datasets, by AUC; signed ranks over all metrics too."""
+    scores = cut(_method_scores(spark, d).filter(F.col("method").isin(list(_TESTED))), "method_scores")
+    if test == "wilcoxon":
+        _, methods, matrix = score_matrix(scores.filter("method <> 'L2'").withColumn("dataset", F.concat_ws("/", "dataset", "metric")))
+        w = stats.wilcoxon(np.round(matrix[:, methods.index("max")] - matrix[:, methods.index("Linf")], 6), np.zeros(len(matrix)))
+        return spark.createDataFrame([(w.statistic, round(w.median_difference, 6))], "statistic double, median_difference double")
+    if test == "critical_difference":
+        rows = [(m, round(r, 6), groups) for m, r, groups in critical_difference(scores, "auc")]
+        return spark.createDataFrame(rows, "method string, average_rank double, groups array<int>")
+    _, methods, matrix = score_matrix(scores.filter("metric = 'auc'"))
+    placed = np.array([stats.competition_ranks(row) for row in matrix], float)
+    if test == "friedman":
+        statistic, p = stats.friedman(placed)
+        return spark.createDataFrame([(round(statistic, 6), round(p, 6))], "statistic double, p_value double")
+    found = stats.nemenyi(placed)
+    rows = [(methods[i], methods[j], round(float(found.p_values[i, j]), 4), round(found.cd, 4), round(found.cd_textbook, 4)) for i in range(len(methods)) for j in range(i)]
+    return spark.createDataFrame(rows, "a string, b string, p_value double, cd double, cd_textbook double")
+
+
+def _truncated(name: str):
+    """A metric of the ranking by all pairs, cut to the users that the ranking by two co-actions has too."""
+
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        pairs = cut(_pairs(spark, d), "pairs")
+        ranked, fewer = (cut(ranking.rank_users(ranking.user_scores(pairs.filter(F.col("score") >= k), "Linf")), "ranked") for k in (1, 2))
+        return evaluate.metric(name, cut(evaluate.labelled(ranked, _io(spark, d)), "labelled"), evaluate.common_x_max(ranked, fewer))
+
+    return query
+
+
+def _all_curves(spark: SparkSession, d: str) -> DataFrame:
+    """Detection curves of the ranking modes together."""
+    pairs, io = cut(_pairs(spark, d), "pairs"), cut(_io(spark, d), "io")
+    of = lambda m: evaluate.detection_curve(cut(evaluate.labelled(ranking.rank_users(ranking.user_scores(pairs, m)), io), m))
+    return reduce(DataFrame.unionByName, [of(m).select(F.lit(m).alias("method"), "x", "y") for m in _MODES])
+
+
+def _difference(spark: SparkSession, d: str) -> DataFrame:
+    """Where the pairs with two co-actions differ from all."""
+    pairs = cut(_pairs(spark, d), "pairs")
+    return coaction.pair_difference(pairs, pairs.filter("score >= 2"))
 
 
 def _samples(spark: SparkSession, d: str) -> DataFrame:
@@ -125,18 +188,17 @@ def _samples(spark: SparkSession, d: str) -> DataFrame:
     return samples.select(F.lit("cimaio").alias("dataset"), "metric", least.alias("method"), "iter", "score")
 
 
-def _published(spark: SparkSession, _: str, test: str) -> DataFrame:
-    """Rank tests of two datasets and three methods with a complete order."""
-    placed = np.array([[3, 1, 2], [3, 1, 2]])
-    if test == "friedman":
-        statistic, p = stats.friedman(placed)
-        return spark.createDataFrame([(round(statistic, 6), round(p, 6))], "statistic double, p_value double")
-    if test == "nemenyi":
-        found = stats.nemenyi(placed)
-        rows = [(i, j, round(float(found.p_values[i, j]), 4), round(found.cd, 4), round(found.cd_textbook, 4)) for i in range(3) for j in range(i)]
-        return spark.createDataFrame(rows, "i int, j int, p_value double, cd double, cd_textbook double")
-    w = stats.wilcoxon(np.array([3.0, 5, 1, 9, 4, 8]), np.array([1.0, 2, 2, 4, 0, 2]))
-    return spark.createDataFrame([(w.statistic, round(w.p_value, 6), w.median_difference)], "statistic double, p_value double, median_difference double")
+#: Replicates of approaches whose weights are counted anew in each; intervals take the operator's 1000.
+REPLICATES = 20
+_LEX = {"name": "lexicographic", "approaches": ["coretweets", "coretweets_weighted_12h"], "ranking_modes": ["max", "Linf"]}
+
+
+def _approach_samples(spark: SparkSession, d: str) -> DataFrame:
+    """AUC, AP and NDCG of three approaches in the same replicates, cut to the users all of them rank."""
+    methods = {"coretweets": create("coretweets", WINDOW), "weighted_12h": create("coretweets_weighted_12h", WINDOW), "lexicographic": create(_LEX, WINDOW)}
+    samples = bootstrap_samples(Dataset(_events(spark, d), cut(_io(spark, d), "io")), list(methods.values()), REPLICATES)
+    short = F.create_map(*[F.lit(x) for k, a in methods.items() for x in (a.name, k)])[F.col("method")]
+    return samples.select("metric", short.alias("method"), "iter", "score")
 
 
 QUERIES = {
@@ -180,7 +242,16 @@ QUERIES = {
     "average_precision": _of_ranked(evaluate.average_precision),
     "ndcg": _of_ranked(evaluate.ndcg),
     "method_rankings": lambda s, d: evaluate.method_ranks(_method_scores(s, d)),
-    "best_ranking_mode": lambda s, d: profile.best_mode(_modes(s, d)),
+    "best_ranking_mode": _best_mode,
+    "critical_difference": lambda s, d: _rank_tests(s, d, "critical_difference"),
+    "auc_truncated": _truncated("auc"),
+    "ap_truncated": _truncated("ap"),
+    "ndcg_truncated": _truncated("ndcg"),
+    "all_curves": _all_curves,
+    "top_pairs": lambda s, d: coaction.top_pairs(_pairs(s, d), 5),
+    "pair_difference": _difference,
+    "grouped_by_object": lambda s, d: prepare.grouped_events(_events(s, d), "object", "account"),
+    "grouped_by_account": lambda s, d: prepare.grouped_events(_events(s, d), "account", "object"),
     "activity_stats": lambda s, d: profile.statistics(profile.activity(_triples(s, d), _io(s, d)), ["is_io"], "n_posts"),
     "active_day_stats": lambda s, d: profile.statistics(profile.activity(_triples(s, d), _io(s, d)), ["is_io"], "n_days"),
     "across_datasets": lambda s, d: profile.across_datasets(
@@ -194,10 +265,12 @@ QUERIES = {
     "bootstrap_inclusion": lambda s, d: bootstrap.inclusion(_triples(s, d).select("account").distinct(), 3, 42),
     "bootstrap_ci": lambda s, d: bootstrap.percentile_ci(_samples(s, d), ["dataset", "metric", "method"]),
     "paired_diff_ci": lambda s, d: bootstrap.paired_differences(_samples(s, d)),
+    "bootstrap_approaches": _approach_samples,
+    "weighted_12h_min2_filtered": lambda s, d: create("coretweets_weighted_12h", WINDOW, 2).pairs(_kept(s, d)),
     "bootstrap_whiskers": lambda s, d: bootstrap.difference_whiskers(_samples(s, d)),
-    "friedman": lambda s, d: _published(s, d, "friedman"),
-    "nemenyi": lambda s, d: _published(s, d, "nemenyi"),
-    "wilcoxon": lambda s, d: _published(s, d, "wilcoxon"),
+    "friedman": lambda s, d: _rank_tests(s, d, "friedman"),
+    "nemenyi": lambda s, d: _rank_tests(s, d, "nemenyi"),
+    "wilcoxon": lambda s, d: _rank_tests(s, d, "wilcoxon"),
     **{f"extract_{what}_{layout}": _extract(layout, what) for layout in _KINDS for what in extract.EXTRACTORS},
 }
 
@@ -236,16 +309,8 @@ def _curve(name: str, out: str) -> str:
 
 
 _RANKED = f"WITH {_R}, {_rank(_SCORE['linf'], 'r')}, {_groups('r', 'g')} "
+_CUT = f"WITH {_R}, {_rank(_SCORE['linf'], 'r')}, rc AS (SELECT * FROM r WHERE pos <= (SELECT count(DISTINCT u) FROM (SELECT unnest([u1, u2]) AS u FROM pairs WHERE score >= 2))), {_groups('rc', 'g')} "
 _AUC = "CASE WHEN sum(ios) > 0 AND sum(n - ios) > 0 THEN round(1 - sum(ios * (before - ios_before + (n - ios) / 2.0)) / (sum(ios) * sum(n - ios)), 9) ELSE 0 END::DOUBLE"
-_MODES = (
-    f"WITH {_R}, "
-    + ", ".join(f"{_rank(_SCORE[m], f'r_{m}')}, {_groups(f'r_{m}', f'g_{m}')}" for m in _SCORE)
-    + ", modes AS ("
-    + " UNION ALL ".join(f"SELECT '{n}' AS mode, {_AUC} AS score FROM g_{m}" for n, m in (("max", "max"), ("L1", "l1"), ("L2", "l2"), ("Linf", "linf")))
-    + ") "
-)
-
-
 def _weights(variant: str, least: int = 1) -> str:
     bucket = {"12h": "date_trunc('day', {0}) + CASE WHEN hour({0}) BETWEEN 5 AND 16 THEN INTERVAL 5 HOUR ELSE INTERVAL 17 HOUR END"}.get(variant, "date_trunc('day', {0})")
     b = lambda c: "(" + bucket.format(c) + ")"
@@ -323,6 +388,38 @@ _SAMPLES = (
     f"bends AS (SELECT 'min' || least_ AS method, a.iter, unnest([u1, u2]) AS account, score FROM pairs JOIN (SELECT unnest([1, 2]) AS least_) ON score >= least_ {_KEYS_OF_PAIRS}), "
     "busers AS (SELECT method, iter, account, round((min(score) + max(score)) / 2, 9) AS key FROM bends GROUP BY 1, 2, 3), " + _measures_sql("busers", 1000, ["min1", "min2"])
 )
+_HALF = "(date_trunc('day', {0}) + CASE WHEN hour({0}) BETWEEN 5 AND 16 THEN INTERVAL 5 HOUR ELSE INTERVAL 17 HOUR END)::TIMESTAMP"
+_APPROACHES = (
+    f"WITH {_MET}, {_IO}, {_inclusion_sql(REPLICATES)}, bmet AS (SELECT a.iter, u1, u2, object, ta, tb FROM met {_KEYS_OF_PAIRS}), "
+    "bpairs AS (SELECT iter, u1, u2, count(DISTINCT object) AS score FROM bmet GROUP BY 1, 2, 3), "
+    "bin AS (SELECT DISTINCT iter, unnest([u1, u2]) AS account FROM bmet), be AS (SELECT iter, account, object, ts FROM e JOIN bin USING (account)), "
+    f"bsup AS (SELECT DISTINCT iter, u1, u2, object, {_HALF.format('least(ta, tb)')} AS b0, {_HALF.format('greatest(ta, tb)')} AS b1 FROM bmet), "
+    f"bbuck AS (SELECT DISTINCT iter, unnest([b0, b1]) AS b FROM bsup), bpop AS (SELECT iter, object, {_HALF.format('ts')} AS b, count(*) AS n FROM be GROUP BY 1, 2, 3), "
+    "bpop2 AS (SELECT iter, object, b, n FROM bpop JOIN bbuck USING (iter, b)), btot AS (SELECT iter, object, count(*) AS total FROM be GROUP BY 1, 2), "
+    "bw AS (SELECT s.iter, u1, u2, round(sum((coalesce(p0.n, 0) + coalesce(p1.n, 0)) / (2.0::DOUBLE * total)), 9) AS score FROM bsup s JOIN btot USING (iter, object) "
+    "LEFT JOIN bpop2 p0 ON p0.iter = s.iter AND p0.object = s.object AND p0.b = s.b0 LEFT JOIN bpop2 p1 ON p1.iter = s.iter AND p1.object = s.object AND p1.b = s.b1 GROUP BY 1, 2, 3), "
+    "cu AS (SELECT iter, account, max(score)::DOUBLE AS top, round((min(score) + max(score)) / 2, 9) AS mid FROM (SELECT iter, unnest([u1, u2]) AS account, score FROM bpairs) GROUP BY 1, 2), "
+    "wu AS (SELECT iter, account, round((min(score) + max(score)) / 2, 9) AS mid FROM (SELECT iter, unnest([u1, u2]) AS account, score FROM bw WHERE score > 0) GROUP BY 1, 2), "
+    "ausers AS (SELECT 'coretweets' AS method, iter, account, [mid] AS key FROM cu UNION ALL SELECT 'weighted_12h', iter, account, [mid] FROM wu "
+    "UNION ALL SELECT 'lexicographic', iter, account, [top, coalesce(wu.mid, '-inf'::DOUBLE)] FROM cu LEFT JOIN wu USING (iter, account)), " + _measures_sql("ausers", REPLICATES, ["coretweets", "weighted_12h", "lexicographic"])
+)
+_LAYOUTS = (
+    "lt AS (SELECT 'cimaio:' || userid AS account, retweet_tweetid AS object, make_timestamp(tweet_time * 1000) AS ts, good::VARCHAR AS label, 0 AS iter FROM cimaio_posts WHERE retweet_tweetid IS NOT NULL AND userid IS NOT NULL AND tweet_time IS NOT NULL "
+    "UNION ALL SELECT 'anon:' || accountid, reposted_postid, post_time::TIMESTAMP, is_control::VARCHAR, 1 FROM anon_posts WHERE is_repost AND accountid IS NOT NULL AND reposted_postid IS NOT NULL AND post_time IS NOT NULL "
+    "UNION ALL SELECT * FROM (SELECT 'twitter:' || author_id AS account, referenced_tweets[1].id AS object, CASE WHEN regexp_full_match(created_at, '\\d{4}-\\d{2}-\\d{2}T\\d{2}:\\d{2}:\\d{2}\\.\\d{1,6}Z') THEN try_cast(replace(replace(created_at, 'T', ' '), 'Z', '') AS TIMESTAMP) END AS ts, user_info.username, 2 FROM twitter_posts WHERE referenced_tweets[1].\"type\" = 'retweeted') WHERE account IS NOT NULL AND object IS NOT NULL AND ts IS NOT NULL), "
+    "le AS (SELECT iter, account, object, min(ts) AS ts FROM lt GROUP BY 1, 2, 3), "
+    "lfirst AS (SELECT account, min(ROW(ts, object, coalesce(label, ''))) AS r FROM lt WHERE iter < 2 OR label IS NOT NULL GROUP BY 1), io AS (SELECT account FROM lfirst WHERE struct_extract(r, 3) IN ('', '0')), "
+    "lp AS (SELECT a.iter, a.account AS u1, b.account AS u2, count(DISTINCT a.object) AS score FROM le a JOIN le b ON a.iter = b.iter AND a.object = b.object AND a.account < b.account AND abs(epoch_us(a.ts) - epoch_us(b.ts)) <= 60000000 GROUP BY 1, 2, 3), "
+    "lends AS (SELECT iter, unnest([u1, u2]) AS account, score::DOUBLE AS score FROM lp), musers AS ("
+    + " UNION ALL ".join(f"SELECT '{n}' AS method, iter, account, round({_SCORE[m]}, 9) AS key FROM lends GROUP BY 2, 3" for n, m in (("max", "max"), ("L1", "l1"), ("L2", "l2"), ("Linf", "linf")))
+    + "), "
+    + _measures_sql("musers", 3, ["max", "L1", "L2", "Linf"])
+    + ", ms AS (SELECT ['cimaio', 'anon', 'twitter'][iter + 1] AS dataset, metric, method, round(score, 6) AS score FROM samples)"
+)
+_TESTED_SQL = (
+    f"WITH {_LAYOUTS}, f AS (SELECT dataset, method, rank() OVER w + (count(*) OVER (PARTITION BY dataset, score) - 1) / 2.0::DOUBLE AS r, count(*) OVER (PARTITION BY dataset, score) AS t "
+    "FROM ms WHERE metric = 'auc' AND method <> 'L1' WINDOW w AS (PARTITION BY dataset ORDER BY score DESC)) "
+)
 _GAPS = _SAMPLES + ", gaps AS (SELECT a.metric, a.method AS method_a, b.method AS method_b, a.score - b.score AS d FROM samples a JOIN samples b ON a.metric = b.metric AND a.iter = b.iter AND a.method < b.method) "
 
 
@@ -362,6 +459,10 @@ ORACLE = {
     "weighted_12h": f"WITH {_weights('12h')} SELECT * FROM w",
     "weighted_12h_min2": f"WITH {_weights('12h', 2)} SELECT * FROM w",
     **{f"user_scores_{m}": f"WITH {_weights('12h')}, {_ends('w')} SELECT account, round({a}, 9) AS score FROM ends GROUP BY 1" for m, a in _SCORE.items()},
+    "user_scores_l3": f"WITH {_weights('12h')}, {_ends('w')}, v AS (SELECT account, list(score) AS v, min(score) AS lo, max(score) AS hi FROM ends GROUP BY 1), "
+    "b AS (SELECT account, v, lo, hi, list_reduce(list_transform(range(101), lambda i: {'a': 0.0::DOUBLE, 'b': 1.0::DOUBLE}), lambda s, m: CASE WHEN list_sum(list_transform(v, lambda x: sign((s.a + s.b) / 2 - (x - lo) / (hi - lo)) * pow((s.a + s.b) / 2 - (x - lo) / (hi - lo), 2))) < 0 "
+    "THEN {'a': (s.a + s.b) / 2, 'b': s.b} ELSE {'a': s.a, 'b': (s.a + s.b) / 2} END) AS z FROM v WHERE hi > lo) "
+    "SELECT account, CASE WHEN len(v) = 1 THEN lo ELSE round(lo, 2) END AS score FROM v WHERE hi = lo UNION ALL SELECT account, round(lo + (hi - lo) * (z.a + z.b) / 2, 2) FROM b",
     "ranking_groups": _RANKED + "SELECT account, score, grp, pos FROM r",
     "legacy_ranking": f"WITH {_R}, {_rank('max(score)', 'r')} SELECT account, score, grp, pos FROM r",
     "lexicographic": f"WITH {_weights('12h')}, pairs AS (SELECT u1, u2, count(DISTINCT object) AS score FROM met GROUP BY 1, 2), "
@@ -380,8 +481,16 @@ ORACLE = {
     "auc": _RANKED + f"SELECT {_AUC} AS value FROM g",
     "average_precision": _RANKED + "SELECT round(sum(ios * (ios_before + ios)::DOUBLE / (before + n)) / sum(ios), 9) AS value FROM g",
     "ndcg": _RANKED + ", d AS (SELECT grp, count(*) AS n, count(*) FILTER (WHERE is_io) AS ios, sum(1 / log2(pos + 1)) AS d FROM r GROUP BY 1), p AS (SELECT sum(ios) AS p FROM d) SELECT round((SELECT sum(ios * d / n) FROM d) / (SELECT sum(1 / log2(pos + 1)) FROM r, p WHERE pos <= p), 9) AS value",
-    "method_rankings": _MODES + "SELECT 'cimaio' AS dataset, 'auc' AS metric, mode AS method, round(score, 6) AS score, rank() OVER (ORDER BY round(score, 6) DESC) AS rank FROM modes",
-    "best_ranking_mode": _MODES + "SELECT mode, CASE mode WHEN 'max' THEN 2e9 WHEN 'Linf' THEN 1e9 WHEN 'L1' THEN 1 ELSE 2 END::DOUBLE AS place, round(score, 9) AS mean, 0::DOUBLE AS std, row_number() OVER (ORDER BY score DESC, mode DESC) = 1 AS best FROM modes",
+    "method_rankings": f"WITH {_LAYOUTS} SELECT dataset, metric, method, score, rank() OVER (PARTITION BY dataset, metric ORDER BY score DESC) AS rank FROM ms",
+    "best_ranking_mode": f"WITH {_LAYOUTS}, b AS (SELECT method AS mode, round(avg(score), 9) AS mean, round(stddev_pop(score), 9) AS std FROM ms WHERE metric = 'auc' GROUP BY 1) SELECT mode, CASE mode WHEN 'max' THEN 2e9 WHEN 'Linf' THEN 1e9 WHEN 'L1' THEN 1 ELSE 2 END::DOUBLE AS place, mean, std, row_number() OVER (ORDER BY mean DESC, mode DESC) = 1 AS best FROM b",
+    "auc_truncated": _CUT + f"SELECT {_AUC} AS value FROM g",
+    "ap_truncated": _CUT + "SELECT round(sum(ios * (ios_before + ios)::DOUBLE / (before + n)) / sum(ios), 9) AS value FROM g",
+    "ndcg_truncated": _CUT + ", d AS (SELECT grp, count(*) AS n, count(*) FILTER (WHERE is_io) AS ios, sum(1 / log2(pos + 1)) AS d FROM rc GROUP BY 1), p AS (SELECT sum(ios) AS p FROM d) SELECT round((SELECT sum(ios * d / n) FROM d) / (SELECT sum(1 / log2(pos + 1)) FROM rc, p WHERE pos <= p), 9) AS value",
+    "all_curves": f"WITH {_R}, " + ", ".join(f"{_rank(_SCORE[m], f'r_{m}')}, {_groups(f'r_{m}', f'g_{m}')}, {_curve(f'g_{m}', f'c_{m}')}" for m in _SCORE) + " " + " UNION ALL ".join(f"SELECT '{n}' AS method, x, y FROM c_{m}" for n, m in (("max", "max"), ("L1", "l1"), ("L2", "l2"), ("Linf", "linf"))),
+    "top_pairs": f"WITH {_P} SELECT * FROM pairs ORDER BY score DESC, u1, u2 LIMIT 5",
+    "pair_difference": f"WITH {_P}, two AS (SELECT * FROM pairs WHERE score >= 2) SELECT 'first' AS side, * FROM (SELECT * FROM pairs EXCEPT ALL SELECT * FROM two) UNION ALL SELECT 'second', * FROM (SELECT * FROM two EXCEPT ALL SELECT * FROM pairs)",
+    "grouped_by_object": f"WITH {_E} SELECT * FROM e",
+    "grouped_by_account": f"WITH {_E} SELECT * FROM e",
     "activity_stats": _stats_sql("n_posts"),
     "active_day_stats": _stats_sql("n_days"),
     "across_datasets": f"WITH {_T}, a AS (SELECT 'cimaio' AS dataset, account, count(*) AS n FROM t GROUP BY 2 UNION ALL SELECT 'anon', accountid, count(*) FROM anon_posts WHERE is_repost AND accountid IS NOT NULL AND reposted_postid IS NOT NULL AND post_time IS NOT NULL GROUP BY 2), s AS (SELECT dataset, count(*) AS count, round(avg(n), 9) AS mean, round(stddev_pop(n), 9) AS std FROM a GROUP BY 1) SELECT * FROM s UNION ALL SELECT 'Across datasets', count(*), round(avg(mean), 9), round(stddev_pop(mean), 9) FROM s",
@@ -389,9 +498,18 @@ ORACLE = {
     + "SELECT 'none' AS filter, count(DISTINCT account) AS n_users, count(DISTINCT account) FILTER (WHERE account IN (SELECT account FROM io)) AS n_io, 0::BIGINT AS n_pairs FROM e "
     + "UNION ALL SELECT 'min' || k.k, count(DISTINCT u), count(DISTINCT u) FILTER (WHERE u IN (SELECT account FROM io)), (SELECT count(*) FROM pairs WHERE score >= k.k) FROM k LEFT JOIN m ON m.k = k.k GROUP BY k.k",
     "bootstrap_inclusion": _INC,
+    "bootstrap_approaches": _APPROACHES + " SELECT metric, method, iter, score FROM samples",
+    # events of accounts with a pair only
+    "weighted_12h_min2_filtered": f"WITH {_T}, e0 AS (SELECT account, object, min(ts) AS ts FROM t GROUP BY 1, 2), with_pair AS (SELECT DISTINCT a.account FROM e0 a JOIN e0 b ON a.object = b.object AND a.account <> b.account AND abs(epoch_us(a.ts) - epoch_us(b.ts)) <= 60000000), "
+    + _weights("12h", 2).replace(_E, "e AS (SELECT * FROM e0 WHERE account IN (SELECT account FROM with_pair))")
+    + " SELECT * FROM w",
     "bootstrap_ci": _SAMPLES + " SELECT 'cimaio' AS dataset, metric, method, round(avg(score), 9) AS mean, round(quantile_cont(score, 0.025), 9) AS lower, round(quantile_cont(score, 0.975), 9) AS upper FROM samples GROUP BY metric, method",
     "paired_diff_ci": _GAPS + "SELECT 'cimaio' AS dataset, metric, method_a, method_b, round(avg(d), 9) AS mean, round(quantile_cont(d, 0.0125), 9) AS lower, round(quantile_cont(d, 0.9875), 9) AS upper, quantile_cont(d, 0.0125) > 0 OR quantile_cont(d, 0.9875) < 0 AS significant FROM gaps GROUP BY metric, method_a, method_b",
     "bootstrap_whiskers": _GAPS + "SELECT 'cimaio' AS dataset, metric, method_a, method_b, " + ", ".join(f"round(quantile_cont(d, {q}), 9) AS {n}" for n, q in (("low", 0.0125), ("q1", 0.25), ("median", 0.5), ("q3", 0.75), ("high", 0.9875))) + " FROM gaps GROUP BY metric, method_a, method_b",
-    "friedman": "SELECT 4.0::DOUBLE AS statistic, round(exp(-2), 6) AS p_value",
+    "friedman": _TESTED_SQL
+    + ", m AS (SELECT method, sum(r) AS s FROM f GROUP BY 1), c AS (SELECT 1 - sum(t * t - 1)::DOUBLE / (3 * 3 * 8) AS c FROM f), x AS (SELECT CASE WHEN c = 0 THEN 0 ELSE (12.0::DOUBLE / (3 * 3 * 4) * sum(s * s) - 3 * 3 * 4) / c END AS x FROM m, c GROUP BY c) SELECT round(x, 6) AS statistic, round(exp(-x / 2), 6) AS p_value FROM x",
+    "wilcoxon": f"WITH {_LAYOUTS}, w AS (SELECT round(a.score - b.score, 6) AS d FROM ms a JOIN ms b USING (dataset, metric) WHERE a.method = 'max' AND b.method = 'Linf'), "
+    "r AS (SELECT d, rank() OVER (ORDER BY abs(d)) + (count(*) OVER (PARTITION BY abs(d)) - 1) / 2.0::DOUBLE AS r FROM w WHERE d <> 0) "
+    "SELECT least(coalesce(sum(r) FILTER (WHERE d > 0), 0), coalesce(sum(r) FILTER (WHERE d < 0), 0))::DOUBLE AS statistic, (SELECT round(median(d), 6) FROM w) AS median_difference FROM r",
     **{f"extract_{what}_{layout}": _extract_sql(layout, what) for layout in _KINDS for what in extract.EXTRACTORS},
 }
