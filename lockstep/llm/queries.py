@@ -46,6 +46,13 @@ def p2_counts(spark: SparkSession, d: str) -> DataFrame:
     return frequent_items(_items(spark, d).select("field", "item"), support=0.01)
 
 
+def p2_bounds(spark: SparkSession, d: str) -> DataFrame:
+    """The frequent items with their exact count, the items of their field, and whether the summary keeps its bounds."""
+    found = frequent_items(_items(spark, d).select("field", "item"), support=0.01)
+    kept = (F.col("count") <= F.col("exact")) & (F.col("exact") <= F.col("upper")) & ((F.col("upper") - F.col("count")) * 1001 <= F.col("n"))
+    return found.select("field", "item", "exact", "n", kept.alias("bounds_hold"))
+
+
 def p2_summary(spark: SparkSession, d: str) -> DataFrame:
     """The whole summary of a thousand counters per field."""
     return misra_gries(_items(spark, d).select("field", "item"))
@@ -196,7 +203,7 @@ def p9_redundancy(spark: SparkSession, d: str) -> DataFrame:
     return redundancy(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_counts, p2_summary, p4_found, p4_pairs, p6_found, p6_classes, p7_found, p7_phrases, p7_matches, p8_found, p8_mixture, p8_shares, p9_found, p9_redundancy)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_counts, p2_bounds, p2_summary, p4_found, p4_pairs, p6_found, p6_classes, p7_found, p7_phrases, p7_matches, p8_found, p8_mixture, p8_shares, p9_found, p9_redundancy)}
 
 _ITEMS_SQL = r"""
 WITH posts AS (SELECT *, regexp_replace(retweet_tweetid, '^\s+|\s+$', '', 'g') AS retweet FROM cimaio_posts),
@@ -237,6 +244,7 @@ met AS (SELECT doc_id, item_id, d, i FROM doc_runs JOIN item_runs USING (run))
 """
 ORACLE = {
     "p2_found": _ITEMS_SQL + "SELECT field, item FROM filled GROUP BY field, item HAVING count(*) * 100 >= (SELECT count(*) FROM filled f WHERE f.field = filled.field)",
+    "p2_bounds": _ITEMS_SQL + "SELECT field, item, count(*) AS exact, (SELECT count(*) FROM filled f WHERE f.field = filled.field) AS n, true AS bounds_hold FROM filled GROUP BY field, item HAVING count(*) * 100 >= (SELECT count(*) FROM filled f WHERE f.field = filled.field)",
     "p4_found": _PAIRS_SQL + "SELECT userid_a, userid_b FROM r",
     "p4_pairs": _PAIRS_SQL + "SELECT userid_a, userid_b, n_ab, n_a, n_b, n, round(lift, 9) AS lift, round(conviction, 9) AS conviction FROM r",
     "p6_found": _LIKE_SQL + "SELECT * FROM alike",
