@@ -25,7 +25,7 @@ from lockstep.operators.prepare import earliest, first_labels, io_accounts
 from lockstep.operators.ranking import user_scores
 from lockstep.plans.approaches import PLAIN, Approach, Lexicographic, all_approaches, create
 from lockstep.operators.profile import best_mode
-from lockstep.session import build_session, cut
+from lockstep.session import build_session, cut, scope
 from lockstep.sources.readers import Dataset, Experiment, folders_of, load_dataset, read_dataset, read_experiment, read_raw
 from lockstep.sources.reports import ci_report, critical_difference, general_report, metric_report, save_text, score_matrix
 from lockstep.sources.writers import load_result, read_results, save_result, write_dataset
@@ -64,7 +64,8 @@ def process(data: Dataset, root: str, dataset: str, approach: Approach | Lexicog
         return False
     if data.events.isEmpty():
         return None
-    save_result(approach.rank(data.events), root, dataset, approach)
+    with scope(spark):
+        save_result(approach.rank(data.events), root, dataset, approach)
     return True
 
 
@@ -324,10 +325,11 @@ def main(arguments: list[str] | None = None) -> None:
                 curve_areas(found, base).write.mode("overwrite").parquet(f"{folder}/areas")
     else:
         for dataset in datasets_of(spark, config):
-            data = read_dataset(spark, f"{config.data_dir}/{dataset}")
-            intervals = cut(bootstrap_intervals(data, dataset, approaches_of(config), options.iterations, options.seed, options.ci), "intervals")
-            for name in evaluate.METRICS:
-                print(ci_report(intervals, dataset, name, options.ci))
+            with scope(spark):
+                data = read_dataset(spark, f"{config.data_dir}/{dataset}")
+                intervals = cut(bootstrap_intervals(data, dataset, approaches_of(config), options.iterations, options.seed, options.ci), "intervals")
+                for name in evaluate.METRICS:
+                    print(ci_report(intervals, dataset, name, options.ci))
 
 
 if __name__ == "__main__":

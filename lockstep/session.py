@@ -13,6 +13,8 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 _LOCAL_SCRATCH: dict[str, str] = {}
 _SHIPPED: set[str] = set()
 _FOLDERS: set[str] = set()
+_SCOPES: list[list[str]] = []
 
 
 def build_session(app: str = "lockstep", master: str = "local[*]", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -91,4 +94,24 @@ def cut(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
             atexit.register(shutil.rmtree, local, True)
     path = f"{folder}/{uuid.uuid4().hex}-{name}"
     df.write.parquet(path, compression=compression)
+    for held in _SCOPES:
+        held.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Free the intermediate tables made inside once it ends.
+
+    Results that read them must be written, collected or counted before; scopes may
+    lie in one another.  Without a scope tables stay until the application ends.
+    """
+    held: list[str] = []
+    _SCOPES.append(held)
+    try:
+        yield
+    finally:
+        _SCOPES[:] = [h for h in _SCOPES if h is not held]
+        for path in held:
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

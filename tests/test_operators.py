@@ -14,6 +14,7 @@ from lockstep.functions.scan import prefix_scan
 from lockstep.operators import bootstrap, coaction, daily, evaluate, extract, prepare, profile, ranking, weighted
 from lockstep.plans import approaches, reference_queries
 from lockstep.plans.experiment import analyse, approaches_of, bootstrap_intervals, bootstrap_samples, compare, convert, curve_areas, curves, main, measure, pnorm_benchmark, prepare as prepare_dataset, report, run, significance
+from lockstep.session import cut, scope
 from lockstep.sources import readers, reports, writers
 from lockstep.streaming.live import live_activity, live_coactions
 
@@ -174,6 +175,16 @@ def test_lexicographic_refinement(spark):
     assert listed(ranking.refine(table([]), primary)) == []
 
 
+def test_scope_frees_its_tables(spark):
+    outer = cut(spark.range(3).toDF("a"), "outer")
+    with scope(spark):
+        with scope(spark):
+            inner = cut(outer, "inner")
+            assert inner.count() == 3
+        assert not os.path.exists(inner.inputFiles()[0].removeprefix("file://"))
+    assert outer.count() == 3
+
+
 def test_prefix_scan(spark):
     df = spark.createDataFrame([(i * 7 % 101, i) for i in range(101)], "k int, row int").repartition(5)
     got = {r.k: (r.place, r.total) for r in prefix_scan(df, [F.col("k").asc()], "place", {"total": "k"}).collect()}
