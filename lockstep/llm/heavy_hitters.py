@@ -25,6 +25,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lockstep.session import cut
+
 _STATE = "bucket bigint, field string, item string, count bigint, n bigint, error bigint"
 _NAMES = ["bucket", "field", "item", "count", "n", "error"]
 _KINDS = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
@@ -117,13 +119,13 @@ def frequent_items(items: DataFrame, support: float = 0.01, k: int = 1000, fan_i
 
     The summary gives the candidates; it misses none, as ``k`` must exceed
     ``1 / support``.  A second scan counts them exactly.  At most
-    ``1 / (support - 1 / (k + 1))`` candidates per field exist, which bounds the
-    broadcast.
+    ``1 / (support - 1 / (k + 1))`` candidates per field exist; they are written, so
+    that the engine knows their size and broadcasts them unless fields are very many.
     """
     if k * support <= 1:
         raise ValueError("k must exceed 1 / support")
     share = F.lit(Decimal(str(support)))
     summary = misra_gries(items, k, fan_in)
-    candidates = summary.filter(F.col("upper") >= F.col("n") * share)
-    counted = items.join(F.broadcast(candidates), ["field", "item"]).groupBy("field", "item", "count", "upper", "n").agg(F.count("*").alias("exact"))
+    candidates = cut(summary.filter(F.col("upper") >= F.col("n") * share), "candidates")
+    counted = items.join(candidates, ["field", "item"]).groupBy("field", "item", "count", "upper", "n").agg(F.count("*").alias("exact"))
     return counted.filter(F.col("exact") >= F.col("n") * share)
