@@ -76,8 +76,8 @@ def set_classes(rows: DataFrame, threshold: float, min_size: int = 1, largest: i
     sets above ``largest``, if to any; those above it are in no class.
     """
     tokens = cut(_keyed(rows).select("oid", "vid").distinct(), "tokens")
-    sizes = tokens.groupBy("oid").agg(F.count("*").cast("int").alias("size")).filter(F.col("size") >= min_size)
-    large = cut(sizes.filter(F.col("size") + 1e-9 >= largest * threshold), "large")
+    sizes = cut(tokens.groupBy("oid").agg(F.count("*").cast("int").alias("size")).filter(F.col("size") >= min_size), "sizes")
+    large = sizes.filter(F.col("size") + 1e-9 >= largest * threshold)
     sizes = sizes.filter(F.col("size") <= largest)
     # sizes that some other set is near enough to; there are at most as many as the root of twice the rows
     kinds = sizes.groupBy("size").agg(F.count("*").alias("k"))
@@ -105,7 +105,7 @@ def set_classes(rows: DataFrame, threshold: float, min_size: int = 1, largest: i
 
 def large_pairs(rows: DataFrame, large: DataFrame, threshold: float, largest: int = LARGEST) -> DataFrame:
     """``(field, a, b, overlap, similarity)`` of similar sets of which one has more than ``largest`` values."""
-    if large.agg(F.max("size")).first()[0] is None or large.filter(F.col("size") > largest).isEmpty():
+    if large.filter(F.col("size") > largest).isEmpty():
         return rows.sparkSession.createDataFrame([], "field string, a string, b string, overlap bigint, similarity double")
     whole = _keyed(rows).join(large, "oid").select("field", "owner", "value", "size").distinct()
     side = lambda x: whole.select("field", "value", F.col("owner").alias(x), F.col("size").alias(f"size_{x}"))
@@ -286,7 +286,7 @@ def candidate_pairs(classes: DataFrame, threshold: float, min_size: int = 1) ->
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
     # signatures of very many sets are split into parts, which every probe visits
     counts = posted.groupBy("sig").agg(F.count("*").alias("k"))
-    group = max(GROUP, posted.count() // HOT)
+    group = max(GROUP, written.count() // HOT)
     hot = F.broadcast(cut(counts.filter(F.col("k") > group).select("sig", F.ceil(F.col("k") / group).alias("parts")), "hot"))  # HOT rows at most
     split = lambda df, at: df.join(hot, "sig", "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("long"))).withColumn("part", at)
     as_part = lambda df, x: df.select("sig", "part", *[F.col(n).alias(f"{n}_{x}") for n in names])
@@ -338,7 +338,7 @@ def similar_classes(rows: DataFrame, threshold: float = 0.5, min_size: int = 1,
     reps = names.select(F.col("oid").alias("sid"), F.col("owner").alias("rep"))
     several = members.join(names, "oid").join(reps, "sid").select("field", "rep", "owner")
     alone = names.join(members.select("oid"), "oid", "left_anti").select("field", F.col("owner").alias("rep"), "owner")
-    great = cut(large_pairs(rows, large, threshold, largest), "great")
+    great = large_pairs(rows, large, threshold, largest)
     ends = great.select("field", F.explode(F.array("a", "b")).alias("rep")).distinct().withColumn("owner", F.col("rep"))
     # a set below the bound may be similar to sets on both sides of it
     alone = alone.unionByName(ends.join(several.unionByName(alone), ["field", "owner"], "left_anti").select("field", "rep", "owner"))
