@@ -35,16 +35,14 @@ _WORD = 64
 def inclusion_bits(spark: SparkSession, n: int, iterations: int, seed: int = 42, only: DataFrame | None = None) -> DataFrame:
     """``(idx, word, bits)``: the replicates, as bits of words of 64, in which ``n`` draws of ``n`` with replacement hit a place.
 
-    ``only(idx)`` are the places asked for; draws of others are dropped where they
-    are made.  Draws of a replicate lie together, so tasks combine theirs first and
-    send a few words per place.
+    Draws of a replicate lie together, so tasks combine theirs first and send a few
+    words per place.  ``only(idx)`` are the places asked for.
     """
     draws = spark.range(iterations * n).select(F.expr(f"id div {max(n, 1)}").alias("iter"), (F.col("id") % max(n, 1)).alias("draw"))
     drawn = _drawn(draws, seed, max(n, 1))
-    if only is not None:
-        drawn = drawn.join(only, "idx", "left_semi")
     bit = F.expr(f"shiftleft(1L, cast(iter % {_WORD} as int))")
-    return drawn.groupBy("idx", F.expr(f"cast(iter div {_WORD} as int)").alias("word")).agg(F.bit_or(bit).alias("bits"))
+    words = drawn.groupBy("idx", F.expr(f"cast(iter div {_WORD} as int)").alias("word")).agg(F.bit_or(bit).alias("bits"))
+    return words if only is None else words.join(only, "idx", "left_semi")
 
 
 def unpack(bits: DataFrame) -> DataFrame:
@@ -72,10 +70,14 @@ def replicate_scores(counts: DataFrame, bits: DataFrame, mode: str) -> DataFrame
     word = lambda u: bits.select(F.col("idx").alias(u), "word", F.col("bits").alias(f"bits_{u}"))
     both = counts.join(word("u1"), "u1").join(word("u2"), ["u2", "word"])
     both = both.withColumn("bits", F.col("bits_u1").bitwiseAND(F.col("bits_u2"))).filter("bits <> 0")
-    ends = both.select(F.explode(F.array("u1", "u2")).alias("id"), "score", "word", "bits")
-    if mode in ("max", "Linf"):
-        ends = ends.groupBy("id", "score", "word").agg(F.bit_or("bits").alias("bits"))
-    return end_scores(unpack(ends).select(F.struct("iter", "id").alias("account"), "score"), mode)
+    ends = both.select(F.explode(F.array("u1", "u2")).alias("id"), F.col("score").cast("double").alias("score"), "word", "bits").filter("score <> 0")
+    if mode not in ("max", "Linf"):
+        return end_scores(unpack(ends).select(F.struct("iter", "id").alias("account"), "score"), mode)
+    ends = cut(ends.groupBy("id", "score", "word").agg(F.bit_or("bits").alias("bits")), "ends")
+    # unpacked only where an account's rows lie together, so replicates are never shuffled
+    least = F.min("score") if mode == "Linf" else F.max("score")
+    scores = unpack(ends.repartition("id")).groupBy("id", "iter").agg(F.round((least + F.max("score")) / 2, 9).alias("score"))
+    return scores.select(F.struct("iter", "id").alias("account"), "score")
 
 
 def replicate_events(events: DataFrame, included: DataFrame) -> DataFrame:
@@ -95,15 +97,17 @@ def _places_gain(places: pd.Series) -> pd.Series:
     return pd.Series(gains[places.to_numpy(int)])
 
 
-def replicate_metrics(rankings: DataFrame, io: DataFrame, iterations: int, methods: list[str]) -> DataFrame:
+def replicate_metrics(rankings: DataFrame, io: DataFrame, iterations: int, methods: list[str], stripe: Column | None = None) -> DataFrame:
     """``(metric, method, iter, score)`` of ``rankings(method, iter, account, key)``: AUC, AP and NDCG, the greatest key first.
 
     Every replicate is cut to the least number of users that a method ranks there;
-    a replicate in which some method ranks nobody scores 0.  Tie groups are windowed,
-    and users only of the one group that the cut divides, ids ascending.
+    a replicate in which some method ranks nobody scores 0.  Tie groups are windowed.
+    Of the one group that the cut divides, ids ascending, users are counted by
+    ``stripe``, which rises with the id, and windowed only in the stripe that is divided.
+    ``rankings`` is read more than once.
     """
-    flags = io.select("account").distinct().withColumn("is_io", F.lit(1))
-    users = cut(rankings.join(flags, "account", "left"), "replicate_users")
+    flags = cut(io.select("account").distinct().withColumn("is_io", F.lit(1)), "flags")
+    users = rankings.join(flags, "account", "left").withColumn("stripe", F.lit(0).cast("long") if stripe is None else stripe)
     per = cut(users.groupBy("method", "iter", "key").agg(F.count("*").alias("n"), F.count("is_io").alias("ios")), "replicate_groups")
     every = rankings.sparkSession.range(iterations).select(F.col("id").alias("iter"), F.explode(F.array(*[F.lit(m) for m in methods])).alias("method"))
     sizes = every.join(per.groupBy("method", "iter").agg(F.sum("n").alias("users")), ["method", "iter"], "left")
@@ -112,9 +116,15 @@ def replicate_metrics(rankings: DataFrame, io: DataFrame, iterations: int, metho
     before = lambda c: F.coalesce(F.sum(c).over(above), F.lit(0))
     per = per.withColumns({"before": before("n"), "ios_before": before("ios")}).join(x_max, "iter").filter("before < x_max")
     per = cut(per.withColumn("taken", F.least("n", F.col("x_max") - F.col("before"))), "replicate_cut")
-    divided = users.join(per.filter("taken < n").select("method", "iter", "key", "taken"), ["method", "iter", "key"])
+    groups = cut(per.filter("taken < n").select("method", "iter", "key", "taken"), "divided")
+    divided = users.join(groups, ["method", "iter", "key"])
+    stripes = divided.groupBy("method", "iter", "stripe").agg(F.max("taken").alias("taken"), F.count("*").alias("k"), F.count("is_io").alias("ios"))
+    upto = Window.partitionBy("method", "iter").orderBy("stripe").rowsBetween(Window.unboundedPreceding, -1)
+    sums = {"left": F.col("taken") - F.coalesce(F.sum("k").over(upto), F.lit(0)), "part": F.coalesce(F.sum("ios").over(upto), F.lit(0))}
+    edge = cut(stripes.withColumns(sums).filter("left between 0 and k").groupBy("method", "iter").agg(F.min_by(F.struct("stripe", "left", "part"), "stripe").alias("e")).select("method", "iter", "e.*"), "edge")
     place = F.row_number().over(Window.partitionBy("method", "iter").orderBy("account"))
-    inside = divided.withColumn("place", place).filter("place <= taken").groupBy("method", "iter").agg(F.count("is_io").alias("part"))
+    at_edge = divided.join(edge, ["method", "iter", "stripe"]).withColumn("place", place).filter("place <= left").groupBy("method", "iter").agg(F.count("is_io").alias("more"))
+    inside = edge.join(at_edge, ["method", "iter"], "left").select("method", "iter", (F.col("part") + F.coalesce("more", F.lit(0))).alias("part"))
     per = per.join(inside, ["method", "iter"], "left").withColumn("ios", F.when(F.col("taken") < F.col("n"), F.col("part")).otherwise(F.col("ios")))
     gain = F.pandas_udf(_places_gain, "double")
     end, others = F.col("before") + F.col("taken"), F.col("taken") - F.col("ios")

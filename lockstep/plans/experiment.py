@@ -236,20 +236,20 @@ def bootstrap_samples(data: Dataset, approaches: list[Approach | Lexicographic],
         if a not in found:
             if a.key == PLAIN:
                 pairs, bits = counts(a.window_sec)
-                scores = bootstrap.replicate_scores(pairs.filter(F.col("score") >= a.min_coactions), bits, a.mode)
+                # not written: it is made again from small tables where it is read
+                found[a] = bootstrap.replicate_scores(pairs.filter(F.col("score") >= a.min_coactions), bits, a.mode)
             else:
                 if not sampled:
                     included = bootstrap.unpack(bootstrap.inclusion_bits(spark, n, iterations, seed)).withColumnRenamed("idx", "account")
                     sampled.append(cut(bootstrap.replicate_events(events, included), "sampled"))
-                scores = user_scores(a.pairs(sampled[0]), a.mode)
-            found[a] = cut(scores, "scores")
+                found[a] = cut(user_scores(a.pairs(sampled[0]), a.mode), "scores")
         return found[a]
 
     out = None
     for a in {a.name: a for a in approaches}.values():
         part = _replicate_keys(a, score).select(F.lit(a.name).alias("method"), "iter", "account", "key")
         out = part if out is None else out.unionByName(part)
-    return bootstrap.replicate_metrics(out, placed(data.io.select("account").distinct()), iterations, sorted({a.name for a in approaches}))
+    return bootstrap.replicate_metrics(out, placed(data.io.select("account").distinct()), iterations, sorted({a.name for a in approaches}), F.floor(F.col("account") / max(1, n // 256)))
 
 
 def bootstrap_intervals(data: Dataset, dataset: str, approaches: Approach | Lexicographic | list[Approach | Lexicographic], iterations: int = 1000, seed: int = 42, level: float = 95.0) -> DataFrame:
