@@ -100,8 +100,12 @@ def sections(text: str, lang: str) -> dict[str, list[str]]:
 
 def closed(line: str) -> bool:
     """Whether a line ends like a sentence or a statement."""
-    plain = _TAG.sub("", _LINK.sub("x", line)).rstrip()
-    if not _CLOSED.search(plain[-200:]):
+    plain = line
+    if "://" in line or "](" in line or "www." in line.lower():
+        plain = _LINK.sub("x", plain)
+    if "<" in plain:
+        plain = _TAG.sub("", plain).rstrip()
+    if plain[-1:].isalnum() or not _CLOSED.search(plain[-200:]):
         return False
     return plain[-1] not in _SEPARATORS or plain.count(plain[-1]) == 1
 
