@@ -69,6 +69,8 @@ def _reject_constant(name: str):
 
 def _clean(text: str) -> str:
     """Lone surrogates cannot be stored as UTF-8; they become question marks."""
+    if text.isascii():
+        return text
     try:
         text.encode()
         return text
@@ -106,10 +108,6 @@ def _scalar(value) -> str:
     return _clean(value)
 
 
-def _shape(value) -> str:
-    return "object" if isinstance(value, dict) else "scalar"
-
-
 def _flat(value) -> Iterator:
     """Elements below a value, lists inside lists opened."""
     stack = [value]
@@ -121,21 +119,20 @@ def _flat(value) -> Iterator:
             yield top
 
 
-def _edges_of(record: dict, root: str) -> Counter:
-    found: Counter = Counter()
+def _add_edges(found: Counter, record: dict, root: str) -> None:
+    """Count the edges of a record in ``found``."""
     stack = [(root, record)]
     while stack:
         name, obj = stack.pop()
         for key, value in obj.items():
             key = _clean(key)
             repeated = isinstance(value, list)
-            for one in _flat(value):
-                if one is None:
-                    continue
-                found[(name, key, _shape(one), repeated)] += 1
+            for one in _flat(value) if repeated else (value,):
                 if isinstance(one, dict):
+                    found[name, key, "object", repeated] += 1
                     stack.append((key, one))
-    return found
+                elif one is not None:
+                    found[name, key, "scalar", repeated] += 1
 
 
 def schema_graph(df: DataFrame, payload: str, root: str = "record", root_key: str | None = None) -> DataFrame:
@@ -147,7 +144,7 @@ def schema_graph(df: DataFrame, payload: str, root: str = "record", root_key: st
             for text in batch.column(0).to_pylist():
                 record = parse_record(text, root_key)
                 if record is not None:
-                    total.update(_edges_of(record, root))
+                    _add_edges(total, record, root)
         rows = [(p, c, s, r, n) for (p, c, s, r), n in total.items()]
         columns = list(zip(*rows)) if rows else [[], [], [], [], []]
         kinds = [pa.string(), pa.string(), pa.string(), pa.bool_(), pa.int64()]
@@ -161,6 +158,8 @@ def schema_graph(df: DataFrame, payload: str, root: str = "record", root_key: st
 
 def _token(key: str) -> str:
     """A key as a part of a JSON pointer."""
+    if "~" not in key and "/" not in key:
+        return key
     return key.replace("~", "~0").replace("/", "~1")
 
 
